@@ -13,5 +13,26 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnwick.llm.secret_scan import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnwick.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), ["doc_id"]).select("row.doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnwick.llm.common import cut
+    from tarnwick.llm.simhash_index import edited_prints, near_rows
+
+    prints = cut(edited_prints(table(spark, sf_dir, "documents")))
+    near = near_rows(prints.select(prints.fp_own.alias("fp")))
+    return prints.join(near.withColumnRenamed("fp", "fp_own"), "fp_own").drop("fp_own")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
