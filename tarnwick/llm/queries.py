@@ -3,10 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tarnwick.llm.common import table
 
 
+#: Files of the public tokenizers; see their README.
+WORD_TOKENIZER, BYTE_RANKS = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
+
+
+def op3_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnwick.llm.topk_search import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tarnwick.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnwick.llm.simhash_dedup import near_duplicates
 
@@ -19,6 +38,14 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op8_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tarnwick.llm.token_attribution import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN, fields=("source", "text"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnwick.llm.mixing import mix
 
