@@ -161,15 +161,18 @@ def fit(labelled: DataFrame, waves: int = 256, width: float = 4.0, ridge: float
     return model
 
 
-def labelled_rows(stats: DataFrame, labels: DataFrame, id_col: str, label_col: str, most: int = MOST_LABELLED) -> DataFrame:
-    """(stats, label, fold) of labelled rows outside the held-out fold, at most about `most`, in a bounded number of partitions."""
-    fold = crc32_mod(F.col("_id"), FOLDS)
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("label")).where("_id is not null and label is not null").where(fold != HELD_OUT)
-    rows = known.join(stats.select(F.col(id_col).alias("_id"), "stats"), "_id").select("stats", "label", fold.alias("fold"), F.pmod(F.xxhash64("_id"), F.lit(1 << 20)).alias("h"))
-    rows = cut(rows)
-    n = rows.count()
-    kept = rows if n <= most else rows.where(F.col("h") < int((1 << 20) * most / n))
-    return kept.select("stats", "label", "fold").coalesce(16)
+def known_labels(labels: DataFrame, id_col: str, label_col: str, most: int = MOST_LABELLED) -> DataFrame:
+    """(_id, label) outside the held-out fold: at most about `most` rows, those with the smallest hash of their id."""
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("label")).where("_id is not null and label is not null")
+    known = known.where(crc32_mod(F.col("_id"), FOLDS) != HELD_OUT)
+    n = known.count()
+    return known if n <= most else known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int((1 << 20) * most / n))
+
+
+def labelled_rows(stats: DataFrame, known: DataFrame, id_col: str) -> DataFrame:
+    """(stats, label, fold) of the known rows, in a bounded number of partitions; `known` is bounded, and so broadcast."""
+    rows = stats.select(F.col(id_col).alias("_id"), "stats").join(F.broadcast(known), "_id")
+    return cut(rows.select("stats", "label", crc32_mod(F.col("_id"), FOLDS).alias("fold"))).coalesce(16)
 
 
 def scorer(model: Model):
@@ -188,14 +191,19 @@ def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     back as often as they came; an empty table gives an empty result; other columns are not looked at.
     """
     stats = cut(df.select(F.col(id_col), statistics_column(F.col(text_col)).alias("stats")))
-    model = fit(labelled_rows(stats, labels, id_col, label_col))
+    model = fit(labelled_rows(stats, known_labels(labels, id_col, label_col), id_col))
     return stats.select(id_col, (crc32_mod(F.col(id_col), FOLDS) == HELD_OUT).alias("held_out"), scorer(model)("stats").alias("score")).withColumn(
         "predicted", (F.col("score") >= threshold).cast("int")
     )
 
 
 def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of df, with all their columns, that the classifier does not reject. Texts stay where they are: nothing is shuffled but statistics."""
-    stats = df.select(F.col(id_col), statistics_column(F.col(text_col)).alias("stats"))
-    model = fit(labelled_rows(stats, labels, id_col, label_col))
+    """The rows of df, with all their columns, that the classifier does not reject; nulls and repeats as in score().
+
+    Labelled rows are found first, so that statistics are made for them alone before the fit, and then for each row where it lies:
+    no text is shuffled.
+    """
+    known = known_labels(labels, id_col, label_col)
+    some = df.select(F.col(id_col), F.col(text_col)).join(F.broadcast(known.select(F.col("_id").alias(id_col))), id_col, "left_semi")
+    model = fit(labelled_rows(some.select(id_col, statistics_column(F.col(text_col)).alias("stats")), known, id_col))
     return df.where(scorer(model)(statistics_column(F.col(text_col))) >= threshold)

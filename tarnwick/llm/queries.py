@@ -12,6 +12,18 @@ from tarnwick.llm.common import table
 WORD_TOKENIZER, BYTE_RANKS = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnwick.llm.quality_classifier import score
+
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnwick.llm.html_extract import extract_main
+
+    return extract_main(table(spark, sf_dir, "pages"))
+
+
 def op3_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnwick.llm.topk_search import top_k
 
@@ -32,6 +44,12 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnwick.llm.toxicity import score
+
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnwick.llm.secret_scan import scan
 

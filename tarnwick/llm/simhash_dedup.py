@@ -149,6 +149,14 @@ def links(prints: DataFrame, radius: int = 2, blocks: int = 4, tile: int = 2048)
     return pairs.select("fps_a", "fps", F.expr("code_a = code and sub_a = sub").alias("same")).mapInPandas(compared, "a long, b long")
 
 
+def classes(nodes: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """(fp, component_id) from (fp, first_id), one row a fingerprint: the smallest id of its component."""
+    roots = components(links(nodes, radius, blocks), "a", "b").withColumnRenamed("node", "fp")
+    rooted = cut(nodes.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
+    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return rooted.join(smallest, "root").select("fp", "component_id")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, blocks: int = 4) -> DataFrame:
     """(id, fingerprint, component_id) for every row of df; other columns are not looked at.
 
@@ -160,8 +168,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     prints = cut(df.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), shingle).alias("fp")))
     nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("first_id")))
-    roots = components(links(nodes, radius, blocks), "a", "b").withColumnRenamed("node", "fp")
-    rooted = cut(nodes.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = rooted.join(smallest, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select(F.col("id").alias(id_col), hex64(F.col("fp")).alias("fingerprint"), "component_id")
+    return prints.join(classes(nodes, radius, blocks), "fp").select(F.col("id").alias(id_col), hex64(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, blocks: int = 4) -> DataFrame:
+    """The rows of df, with all their columns, of which each group of near-duplicates keeps one: that with the smallest id.
+
+    Rows with an id come before those without; among rows with equal ids the first in the table stays. Rows are numbered
+    once, with their fingerprints, in a table cut to the shared folder, so that a row lost and read again has the same number.
+    """
+    names = df.columns
+    rows = cut(df.withColumns({"_fp": fingerprint_column(F.col(text_col), shingle), "_row": F.monotonically_increasing_id()}))
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_row").alias("row"))
+    nodes = cut(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(order).alias("first_id")))
+    kept = nodes.join(classes(nodes, radius, blocks), "fp").where(F.col("first_id.row") == F.col("component_id.row")).select(F.col("first_id.row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*names)

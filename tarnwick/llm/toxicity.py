@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,20 +19,60 @@ FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 BUCKETS = 1 << 22
 #: Rows that the classifier is fitted on, at most: confirmed toxic ones, unlabelled ones. Features kept, at most.
-MOST_POSITIVE, MOST_UNLABELLED, MOST_FEATURES = 20_000, 40_000, 4_096
+MOST_POSITIVE, MOST_UNLABELLED, MOST_FEATURES = 10_000, 20_000, 4_096
 _EDGE = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 128))
 
 
-def features(text: str | None, beginnings: tuple[int, ...] = (4, 5, 6)) -> np.ndarray:
-    """Sorted buckets of the words of a text and of their first characters, each once. Letters A-Z and their accents are folded in case."""
+BEGINNINGS, LEVELS = (4, 5, 6), 4
+#: Words that a scoring worker remembers as carrying no feature of the model.
+REMEMBERED = 400_000
+
+
+def _folded(word: bytes) -> str:
+    return word.strip(_EDGE).decode("utf-8", "replace").lower()
+
+
+def _bucket(gram: str) -> int:
+    return zlib.crc32(gram.encode()) % BUCKETS
+
+
+def buckets(found: set[str]) -> np.ndarray:
+    """Sorted buckets of distinct words and of how they begin: one for a beginning, one more for each further word with it, up to LEVELS."""
+    begun = Counter(w[:n] for w in found for n in BEGINNINGS if len(w) >= n)
+    grams = [f"{w}$" for w in found] + [f"{b}^{k}" for b, n in begun.items() for k in range(min(n, LEVELS))]
+    return np.unique(np.fromiter(map(_bucket, grams), np.int64, len(grams))) if grams else np.zeros(0, np.int64)
+
+
+def features(text: str | None) -> np.ndarray:
+    """Buckets of a whole text. Letters are folded in case, marks at the edges of words are dropped."""
     found: set[str] = set()
     for words in _word_blocks((text or "").encode("utf-8", "replace")):
-        found.update(w.strip(_EDGE).decode("utf-8", "replace").lower() for w in set(words))
+        found.update(map(_folded, set(words)))
     found.discard("")
-    grams = {w.encode() + b"$" for w in found}
-    for n in beginnings:
-        grams.update(w[:n].encode() + b"^" for w in found if len(w) >= n)
-    return np.unique(np.fromiter(map(zlib.crc32, grams), np.int64, len(grams)) % BUCKETS) if grams else np.zeros(0, np.int64)
+    return buckets(found)
+
+
+class Reader:
+    """Positions in `kept` of a text's buckets. Words without any are remembered, so that most cost a set difference."""
+
+    def __init__(self, kept: np.ndarray) -> None:
+        self.kept, self.wanted, self.plain = kept, set(kept.tolist()), set()
+
+    def tells(self, word: str) -> bool:
+        return _bucket(f"{word}$") in self.wanted or any(_bucket(f"{word[:n]}^{k}") in self.wanted for n in BEGINNINGS if len(word) >= n for k in range(LEVELS))
+
+    def positions(self, text: str | None) -> np.ndarray:
+        found: set[str] = set()
+        if len(self.plain) > REMEMBERED:
+            self.plain.clear()
+        for words in _word_blocks((text or "").encode("utf-8", "replace")):
+            for raw in set(words) - self.plain:
+                word = _folded(raw)
+                if word and self.tells(word):
+                    found.add(word)
+                else:
+                    self.plain.add(raw)
+        return _positions(buckets(found), self.kept)
 
 
 @dataclass
@@ -50,7 +91,7 @@ def _margins(found: list[np.ndarray], weights: np.ndarray, bias: float) -> np.nd
     return bias + np.bincount(np.repeat(np.arange(len(found)), sizes), weights=weights[flat], minlength=len(found))
 
 
-def learn(positive: list[np.ndarray], unlabelled: list[np.ndarray], n_features: int, prior: float, rounds: int = 300, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def learn(positive: list[np.ndarray], unlabelled: list[np.ndarray], n_features: int, prior: float, rounds: int = 300, rate: float = 0.05, decay: float = 5e-4) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk, by Adam on the whole of both sets.
 
     risk = prior * E_p[loss(+)] + max(0, E_u[loss(-)] - prior * E_p[loss(-)]), with logistic losses. Where the
@@ -80,23 +121,27 @@ def learn(positive: list[np.ndarray], unlabelled: list[np.ndarray], n_features:
     return parameters[:-1], float(parameters[-1])
 
 
-def chosen(counts: list[tuple[int, int, int]], n: int, m: int, most: int = MOST_FEATURES, least: float = 4.0) -> np.ndarray:
-    """Buckets (bucket, in positive, in unlabelled) that stand out among positive rows, the most telling first cut to `most`."""
+def chosen(counts: list[tuple[int, int, int]], n: int, m: int, most: int = MOST_FEATURES, least: float = 4.0, purest: int = 20) -> tuple[np.ndarray, float]:
+    """Buckets of (bucket, in positive, in unlabelled) that stand out among positive rows, the most telling first cut to `most`; and the share of
+    unlabelled rows that are positive: what the `purest` most telling buckets have there against what they have among positive rows."""
     if not counts:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), 1.0
     bucket, p, u = np.array(counts, np.int64).T
     a, b = p / max(n, 1), u / max(m, 1)
     pooled = (p + u) / max(n + m, 1)
     z = (a - b) / np.sqrt(np.maximum(pooled * (1 - pooled) * (1 / max(n, 1) + 1 / max(m, 1)), 1e-12))
-    stands = (z >= least) & (a >= 2 * b)
     order = np.lexsort((bucket, -z))
-    return np.sort(bucket[order[stands[order]][:most]])
+    order = order[((z >= least) & (a >= 2 * b))[order]]
+    top = order[:purest]
+    share = float(b[top].sum() / a[top].sum()) if len(top) else 1.0
+    return np.sort(bucket[order[:most]]), share
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from confirmed toxic rows and rows taken as unlabelled, none of them in the held-out fold.
 
-    Unlabelled rows are any rows but the confirmed ones' duplicates of id, whatever their label says; the prior is the share of toxic rows among the labelled.
+    Unlabelled rows are any rows but the confirmed ones' duplicates of id, whatever their label says; the prior is the share of toxic rows among the labelled, or what telling words say of the
+    unlabelled rows, if that is less: with too high a prior the corrected risk falls below zero before the model has learnt.
     Both sets are bounded (rows with the smallest hash of their id), so what is counted, and the kept buckets of them that the driver receives, are too.
     """
     fold = crc32_mod(F.col("_id"), FOLDS)
@@ -120,12 +165,13 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     if not n or not m:
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))))
     each = rows.select("p", F.explode("found").alias("bucket")).groupBy("bucket").agg(F.sum("p").alias("pos"), F.sum(1 - F.col("p")).alias("unl"))
-    kept = chosen([tuple(r) for r in each.where(F.col("pos") >= 3).where(F.col("pos") * m >= F.col("unl") * n * 2).collect()], n, m)
+    kept, share_seen = chosen([tuple(r) for r in each.where(F.col("pos") >= 3).where(F.col("pos") * m >= F.col("unl") * n * 2).collect()], n, m)
     if not len(kept):
         return Model(kept, np.zeros(0), float(np.log(prior / (1 - prior))))
     sets: dict[int, list[np.ndarray]] = {0: [], 1: []}
     for p, found in rows.select("p", selected(kept)("found")).orderBy("p").collect():
         sets[p].append(np.array(found, np.int64))
+    prior = min(0.9, max(1e-4, min(prior, share_seen)))
     weights, bias = learn(sets[1], sets[0], len(kept), prior)
     return Model(kept, weights, bias)
 
@@ -155,8 +201,9 @@ def selected(kept: np.ndarray):
 def scored(text: Column, model: Model) -> Column:
     @F.pandas_udf("double")
     def made(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        reader = Reader(model.kept)
         for some in texts:
-            yield pd.Series(model.score([_positions(features(x), model.kept) for x in some]), dtype=float)
+            yield pd.Series(model.score([reader.positions(x) for x in some]), dtype=float)
 
     return made(text)
 
