@@ -107,7 +107,7 @@ class Writer:
             out.append(f"<{tag}>{self.own(self.prose(3, 14)[: r.choice([30, 60, 200])].rsplit('&', 1)[0])}</{tag}>")
         end = lambda tag: "" if self.loose else f"</{tag}>"
         as_div = r.random() < 0.15
-        for _ in range(r.randint(1, 12)):
+        for _ in range(r.choice([0, 1, *range(1, 12)]) if out else r.randint(1, 12)):
             kind = r.random()
             if kind < 0.62:
                 tag = "div" if as_div else "p"
@@ -130,15 +130,16 @@ class Writer:
 
     def write(self) -> tuple[str, str]:
         r = self.r
-        some = lambda parts, p: [self.part(x) for x in parts if r.random() < p]
+        alone = r.random() < 0.1  # an article and nothing else
+        some = lambda parts, p: [self.part(x) for x in parts if not alone and r.random() < p]
         before = some(["notice"], 0.25) + some(["header"], 0.5) + some(["nav"], 0.7) + some(["form", "nav"], 0.15) + some(["ad"], 0.4) + some(["sidebar"], 0.15)
         blocks = self.body()
         for extra, p in (("ad", 0.2), ("share", 0.25), ("notice", 0.1), ("sidebar", 0.1), ("form", 0.06), ("nav", 0.05)):
-            if r.random() < p:
+            if not alone and r.random() < p:
                 at = r.randint(0, len(blocks))
                 opened = at and blocks[at - 1].startswith("<p") and not blocks[at - 1].endswith("</p>")
                 blocks.insert(at, ("</p>" if opened else "") + self.part(extra))
-        if r.random() < 0.12:
+        if not alone and r.random() < 0.12:
             blocks.append(self.part("comments"))
         inside = "".join(f"{x}\n" if r.random() < 0.3 else x for x in blocks)
         layout = r.random()

@@ -1,0 +1,410 @@
+"""Each training-data query against a brute-force version, on a small table and on awkward rows."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pandas as pd
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tarnwick.llm import queries as q
+from tests.llm.conftest import SF, read
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return [(r.doc_id, r.text or "", r.source) for r in read(spark, "documents").orderBy("doc_id").collect()]
+
+
+def test_top_k_against_all_products(spark):
+    rows = {r.vec_id: np.floor(256 * np.array(r.embedding, np.float64)) for r in read(spark, "embeddings").collect()}
+    want = set()
+    for a in rows:
+        if a % 50 == 0:
+            best = sorted(((-int(rows[a] @ v), b) for b, v in rows.items() if b != a))[:5]
+            want |= {(a, k + 1, b, -s) for k, (s, b) in enumerate(best)}
+    assert {tuple(r)[:4] for r in q.op3_maxscore_top_k(spark, SF).select("query_id", "rank", "vec_id", "score").collect()} == want
+
+
+def test_top_k_awkward_vectors(spark):
+    from tarnwick.llm.topk_search import top_k
+
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, -1.0]), (0, [1.0, -1.0]), (1, [0.5, 0.5]), (2, None), (3, [nan, 1.0]), (4, [inf, 0.0]), (5, [None, 1.0]), (None, [1.0, 1.0]), (6, [0.5, 0.5]), (7, [])]
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, shard string")
+    got = [tuple(r) for r in top_k(df, F.col("vec_id") == 0, k=3).orderBy("rank").collect()]
+    assert got == [(0, 1, 1, 0), (0, 2, 6, 0)]
+    assert top_k(df.limit(0), F.col("vec_id") == 0).count() == 0
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(q.WORD_TOKENIZER))
+
+
+def _check_packing(rows, texts, tokenizer):
+    ids = {k: np.array(tokenizer.encode(t, add_special_tokens=False).ids + [0], "<u4") for k, t in texts.items()}
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_doc[r.doc_id].append(r)
+        by_sequence[r.sequence_id].append((r.offset, r.length))
+    assert set(by_doc) == set(ids)
+    for k, parts in by_doc.items():
+        parts.sort(key=lambda r: r.piece)
+        assert [r.start for r in parts] == list(range(0, len(ids[k]), 2048)) and sum(r.length for r in parts) == len(ids[k])
+        for r in parts:
+            assert r.ids_crc32 == zlib.crc32(ids[k][r.start : r.start + r.length].tobytes())
+    for places in by_sequence.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    return sum(r.length for r in rows) / (2048 * len(by_sequence))
+
+
+def test_packing_round_trip(spark, docs, tokenizer):
+    rows = q.op4_best_fit_packing(spark, SF).collect()
+    total = sum(r.length for r in rows)
+    assert _check_packing(rows, {k: t for k, t, _ in docs}, tokenizer) > 0.9
+    assert len({r.sequence_id for r in rows}) <= -(-total // 2048) * 1.03 + 1
+
+
+def test_packing_awkward_rows(spark, odd_docs, tokenizer):
+    from tarnwick.llm.packing import pack_documents
+
+    df = odd_docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    rows = pack_documents(df, public_tokenizers.path(q.WORD_TOKENIZER)).collect()
+    _check_packing(rows, {r.doc_id: r.text or "" for r in df.select("doc_id", "text").collect()}, tokenizer)
+    assert pack_documents(odd_docs, public_tokenizers.path(q.WORD_TOKENIZER)).where("piece = 0").count() == odd_docs.count()
+    assert pack_documents(odd_docs.limit(0), public_tokenizers.path(q.WORD_TOKENIZER)).count() == 0
+
+
+def test_configurations_cover_no_more_than_capacity():
+    from tarnwick.llm.packing import configurations, pack
+
+    lengths = np.random.default_rng(3).integers(1, 2048, 3000)
+    sizes, demand = np.unique(np.minimum(-(-lengths[lengths > 300] // 100) * 100, 2048), return_counts=True)
+    for pattern, times in configurations(sizes, demand, 2048):
+        assert (pattern * sizes).sum() <= 2048 and times > 0
+    sequence, _ = pack(lengths, 2048)
+    assert sequence.max() + 1 <= lengths.sum() / 2048 * 1.03 + 1
+
+
+def simhash(text, n=3):
+    words = WORDS.findall(re.sub("[A-Z]+", lambda m: m[0].lower(), text))
+    grams = [" ".join(words[i : i + n]) for i in range(len(words) - n + 1)] or ([" ".join(words)] if words else [])
+    if not grams:
+        return 0
+    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def components(prints, radius=2):
+    """The smallest id that links reach, by comparing all pairs."""
+    root = {k: k for k in prints}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    keys = sorted(prints)
+    for i, a in enumerate(keys):
+        for b in keys[:i]:
+            if (prints[a] ^ prints[b]).bit_count() <= radius:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {k: find(k) for k in keys}
+
+
+def test_near_dedup_against_all_pairs(spark, docs):
+    prints = {k: simhash(t) for k, t, _ in docs}
+    roots = components(prints)
+    assert {(r.doc_id, r.fingerprint, r.component_id) for r in q.op5_simhash_near_dedup(spark, SF).collect()} == {(k, f"{prints[k]:016x}", roots[k]) for k in prints}
+
+
+@pytest.mark.parametrize("tile", [4, 64])
+def test_tiled_links_find_every_component(spark, tile):
+    from tarnwick.llm.components import components as joined
+    from tarnwick.llm.simhash_dedup import links
+
+    rng = np.random.default_rng(5)
+    values = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 60)]
+    for v in values[:40]:
+        for _ in range(4):
+            values.append(values[-1] ^ (1 << int(rng.integers(0, 63))) if rng.random() < 0.5 else v ^ (1 << int(rng.integers(0, 63))))
+    values = list(dict.fromkeys(values))
+    want = components({v: v & (2**64 - 1) for v in values})
+    got = {r.node: r.root for r in joined(links(spark.createDataFrame([(v,) for v in values], "fp long"), 2, 4, tile), "a", "b").collect()}
+    assert {v: got.get(v, v) for v in values} == want
+
+
+def test_near_dedup_awkward_rows(spark, odd_docs):
+    from tarnwick.llm.simhash_dedup import keep_one, near_duplicates
+
+    got = near_duplicates(odd_docs).collect()
+    assert len(got) == odd_docs.count()
+    by_id = {r.doc_id: r for r in got if r.doc_id is not None}
+    assert by_id[2].fingerprint == "0" * 16 and by_id[6].component_id == by_id[3].component_id == 2
+    assert by_id[10].component_id == 7 and near_duplicates(odd_docs.limit(0)).count() == 0
+    kept = keep_one(odd_docs)
+    assert kept.columns == odd_docs.columns
+    assert Counter(r.doc_id for r in kept.collect()) == Counter([k for k in {r.component_id for r in got if r.doc_id is not None}] + [None] * sum(r.doc_id is None and r.component_id is None for r in got))
+
+
+ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def base_spans(text):
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= 12]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return sorted(found)
+
+
+def _check_scan(rows, texts):
+    names = ("assign", "access", "hex")
+    for r in rows:
+        found = base_spans(texts[r.doc_id])
+        listed = ",".join(f"{names[k]}:{a}:{b}" for a, k, b in found)
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == n for _, k, _ in found) for n in range(3))
+        assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+        assert set(filter(None, listed.split(","))) <= set(r.spans.split(","))
+
+
+def test_secret_scan_base_spans(spark, docs):
+    _check_scan(q.op7_secret_scan(spark, SF).collect(), {k: t for k, t, _ in docs})
+
+
+def test_secret_scan_awkward_rows(spark, odd_docs):
+    from tarnwick.llm.secret_scan import redact, scan
+
+    df = odd_docs.where("doc_id is not null")
+    _check_scan(scan(df).collect(), {r.doc_id: r.text or "" for r in df.select("doc_id", "text").collect()})
+    assert scan(odd_docs).count() == odd_docs.count() and scan(odd_docs.limit(0)).count() == 0
+    clean = redact(odd_docs)
+    assert clean.columns == odd_docs.columns and clean.count() == odd_docs.count()
+    for r in clean.select("text").collect():
+        assert r.text is None or not base_spans(r.text)
+
+
+def test_weak_candidates_need_their_parts(spark):
+    from tarnwick.llm.secret_scan import scan
+
+    secret, far = "aB3dEfGhIjKlMnOpQrStUvWx", "z " * 400
+    texts = [f"user: jane.doe then {secret}", f"user: jane.doe {far} {secret}", f"only {secret} here", "visit https://host.example/x", f"user = jane.doe {secret} at https://host.example/x"]
+    got = {r.doc_id: r.spans for r in scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [bool(got[i]) for i in range(5)] == [True, False, False, False, True]
+    assert "endpoint" in got[4] and "long" in got[0] and "ident" in got[0]
+
+
+def test_token_counts_add_up(spark, odd_docs):
+    from tarnwick.llm.token_attribution import byte_encoder, count_tokens
+
+    ranks = public_tokenizers.path(q.BYTE_RANKS)
+    encoder, _ = byte_encoder(ranks, public_tokenizers.PATTERN)
+    df = odd_docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    rows = count_tokens(df, ranks, public_tokenizers.PATTERN, fields=("source", "text")).collect()
+    got, ends = Counter(), {}
+    for r in rows:
+        got[r.doc_id] += r.n_tokens
+        assert r.start == ends.get(r.doc_id, 0)
+        ends[r.doc_id] = r.stop
+    for r in df.collect():
+        whole = (r.source or "") + "\n" + (r.text or "")
+        assert got[r.doc_id] == len(encoder.encode_ordinary(whole)) and ends[r.doc_id] == len(whole)
+    assert count_tokens(odd_docs.limit(0), ranks, public_tokenizers.PATTERN).count() == 0
+
+
+def test_tokens_across_a_boundary_go_to_the_larger_part():
+    from tarnwick.llm.token_attribution import attribute
+
+    counts, over = attribute(np.array([0, 4, 4, 6]), 10, np.array([3, 6, 7, 10]))
+    assert counts.tolist() == [1, 0, 1, 2] and over.tolist() == [0, 0, 0, 0]
+    counts, over = attribute(np.array([0, 4]), 8, np.array([3, 5, 8]))
+    assert counts.tolist() == [2, 1] and over.tolist() == [1, 0]
+
+
+def _check_mix(rows, docs, share=1.5, most=2):
+    sizes = defaultdict(int)
+    for _, t, s in docs:
+        sizes[s] += len(WORDS.findall(t or ""))
+    order = sorted(sizes, key=lambda s: (s is None, s))
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+    left, target, free = share * sum(sizes.values()), {}, set(order)
+    while free:
+        full = {s for s in free if left * weight[s] / sum(weight[x] for x in free) > most * sizes[s]}
+        if not full:
+            unit = left / sum(weight[x] for x in free)
+            target |= {s: unit * weight[s] for s in free}
+            break
+        target |= {s: most * sizes[s] for s in full}
+        left, free = left - sum(target[s] for s in full), free - full
+    taken, source = Counter(), {k: s for k, _, s in docs}
+    for r in rows:
+        s = source[r.doc_id]
+        assert r.source_size == sizes[s] and r.target == pytest.approx(target[s])
+        assert 0 <= r.taken <= most * r.size and (r.size == 0 or r.taken % r.size == 0)
+        taken[s] += r.taken
+    return {s: (taken[s], target[s]) for s in order}
+
+
+def test_mix_meets_targets_and_repeats(spark, docs):
+    rows = q.op9_source_mix(spark, SF).collect()
+    assert len(rows) == len(docs) and {r.doc_id: r.size for r in rows} == {k: len(WORDS.findall(t)) for k, t, _ in docs}
+    for s, (taken, target) in _check_mix(rows, docs).items():
+        largest = max(len(WORDS.findall(t)) for _, t, x in docs if x == s)
+        assert abs(taken - target) <= max(largest, 0.02 * target)
+    assert sorted(rows) == sorted(q.op9_source_mix(spark, SF).collect())
+
+
+def test_mix_awkward_rows(spark, odd_docs):
+    from tarnwick.llm.mixing import mix
+
+    got = mix(odd_docs, ["doc_id", "source"])
+    rows = got.select("row.*", "size", "source_size", "target", "taken").collect()
+    assert len(rows) == odd_docs.count() and all(r.taken <= 2 * r.size for r in rows)
+    assert mix(odd_docs.limit(0), ["doc_id"]).count() == 0
+
+
+def spark_hash(parts, seed=42):
+    for x in parts:
+        seed = xxhash.xxh64_intdigest(x.encode(), seed)
+    return seed
+
+
+def table_simhash(text):
+    words = WORDS.findall(text.lower())
+    if not words:
+        return 0
+    grams = list(zip(words, words[1:], words[2:], strict=False)) or [(" ".join(words), "", "")]
+    hashes = [spark_hash(g) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_fingerprints_and_edits_against_brute_force(spark, docs):
+    rows = {r.doc_id: r for r in q.op10_simhash_fingerprints(spark, SF).collect()}
+    prints = {k: table_simhash(t) for k, t, _ in docs}
+    assert set(rows) == set(prints)
+    for n, (k, t, _) in enumerate(docs):
+        other = docs[(n + 1) % len(docs)]
+        tail = len(t) // 4
+        edited = t[: len(t) - tail] + other[1][:tail]
+        r = rows[k]
+        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert (r.fingerprint, r.edited_fingerprint) == (f"{prints[k]:016x}", f"{table_simhash(edited):016x}")
+        bits = (prints[k] ^ prints[other[0]]).bit_count()
+        assert r.near_next == pytest.approx(max(0, np.cos(np.pi * bits / 64)))
+        assert r.near_rows == sum((prints[k] ^ p).bit_count() <= 3 for x, p in prints.items() if x != k)
+
+
+def test_block_tables_find_all_neighbours(spark):
+    from tarnwick.llm.simhash_index import neighbours
+
+    rng = np.random.default_rng(1)
+    base = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 40)]
+    values = base + [v ^ sum(1 << int(b) for b in rng.choice(63, int(rng.integers(1, 6)), replace=False)) for v in base for _ in range(3)]
+    near = lambda a, b: 0 < ((a ^ b) & (2**64 - 1)).bit_count() <= 3
+    want = {(a, b) for a in values for b in values if a < b and near(a, b)}
+    got = [tuple(r) for r in neighbours(spark.createDataFrame([(v,) for v in values], "fp long")).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_fingerprints_awkward_rows(spark, odd_docs):
+    from tarnwick.llm.simhash_index import edited_prints
+
+    rows = edited_prints(odd_docs).collect()
+    assert len(rows) == odd_docs.count()
+    prints = defaultdict(set)
+    for r in rows:
+        prints[r.doc_id].add(r.fingerprint)
+    assert prints[1] and prints[7] == prints[10] and prints[3] == prints[2] == prints[6] == {"0" * 16}
+    assert edited_prints(odd_docs.limit(0)).count() == 0
+
+
+def test_extraction_on_unseen_layouts(spark):
+    from tarnwick.llm.html_extract import extract_main
+    from tarnwick.llm.html_pages import labelled_pages
+
+    pages = labelled_pages(150, seed=77)
+    df = spark.createDataFrame([(i, "u", h) for i, (h, _) in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in extract_main(df).collect()}
+    exact = sum(got[i].text == main for i, (h, main) in enumerate(pages) if h.endswith(">"))
+    assert exact >= 0.85 * sum(h.endswith(">") for h, _ in pages)
+    assert all(r.n_chars == len(r.text) for r in got.values())
+
+
+def test_extraction_of_given_pages(spark):
+    rows = q.op2_html_extraction(spark, SF).collect()
+    pages = {r.page_id: r.html for r in read(spark, "pages").collect()}
+    for r in rows:
+        body = re.search(r"<article>(.*?)(?:</article>|\Z)", pages[r.page_id], re.S)[1]
+        import html
+
+        assert r.text == " ".join(html.unescape(re.sub(r"</?b>", "", re.sub(r"<(?!/?b>)[^>]*(?:>|\Z)", " ", body))).split())
+
+
+def test_extraction_awkward_pages(spark):
+    from tarnwick.llm.html_extract import blocks, extract_main
+
+    rows = [(1, None, None), (None, "u", ""), (2, "u", "<"), (3, "u", "<article><p>" + "word " * 200_000), (3, "u", "<div>" * 20_000 + "deep"), (4, "u", "<!-- open"), (5, "u", "<p>a &lt; b &amp; c&nbsp;d<script>x<p></script></p>")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")
+    got = extract_main(df).collect()
+    assert len(got) == len(rows) and all(r.text is not None for r in got)
+    assert max(len(r.text) for r in got) == 999_999
+    assert [b.text for b in blocks(rows[-1][2])] == ["a < b & c d"]
+    assert extract_main(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name, held", [("op1_quality_classifier", 0), ("op6_toxicity", 2)])
+def test_scores_on_held_out_labels(spark, name, held):
+    sf = "/root/testdata/sf0.01"
+    column, folds = ("quality", 5) if name.startswith("op1") else ("toxic", 4)
+    truth = {r.doc_id: r[column] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = getattr(q, name)(spark, sf).collect()
+    assert len(rows) == 1000 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % folds == held) for r in rows)
+    seen = [(r.score, truth[r.doc_id]) for r in rows if r.held_out and r.doc_id in truth]
+    good, bad = [s for s, y in seen if y], [s for s, y in seen if not y]
+    auc = np.mean([(a > b) + 0.5 * (a == b) for a in good for b in bad])
+    assert auc > (0.97 if name.startswith("op1") else 0.75)
+
+
+def test_scores_of_awkward_rows(spark, odd_docs, labels):
+    from tarnwick.llm import quality_classifier, toxicity
+
+    for operator in (quality_classifier, toxicity):
+        for known in (labels, labels.limit(0)):
+            rows = operator.score(odd_docs, known).collect()
+            assert len(rows) == odd_docs.count() and all(0 <= r.score <= 1 for r in rows)
+        assert operator.score(odd_docs.limit(0), labels).count() == 0
+    kept = quality_classifier.keep_good(odd_docs, labels)
+    assert kept.columns == odd_docs.columns and kept.count() <= odd_docs.count()
+
+
+def test_isotonic_is_the_nearest_rising_sequence():
+    from tarnwick.llm.quality_classifier import isotonic
+
+    assert isotonic(np.array([1.0, 3, 2, 4]), np.ones(4)).tolist() == [1, 2.5, 2.5, 4]
+
+
+def test_oracle_sql_of_top_k(spark):
+    import duckdb
+
+    from tarnwick.llm.oracles import ORACLE_SQL
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
+    want = {tuple(r) for r in con.execute(ORACLE_SQL["op3_maxscore_top_k"]).fetchall()}
+    got = {tuple(r) for r in q.op3_maxscore_top_k(spark, SF).select("query_id", "rank", "vec_id", "score").collect()}
+    assert got == want and pd.DataFrame(got).shape[1] == 4
