@@ -168,6 +168,8 @@ def described(found: list[Block]) -> Iterator[Iterable[str]]:
         out = [*b.above, *traits[i]]
         out += [f"<{x}" for x in traits[i - 1][:2]] if i else ["<none"]
         out += [f">{x}" for x in traits[i + 1][:2]] if i < last else [">none"]
+        if not last:
+            out.append("only")
         if i < 3:
             out.append(f"first{i}")
         if i > last - 2:
