@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwick.llm.common import cut
 from tarnwick.llm.simhash_index import text_key
 
 #: Fixed patterns of the base kinds. Runs that are too short are dropped; where a shorter match could not
@@ -64,7 +65,7 @@ def spans(texts: DataFrame, text_col: str = "text", scope: int = SCOPE) -> DataF
     upto = Window.partitionBy("k0", "k1", "kind").orderBy("pos")
     stop = (F.sum("gap").over(upto) + F.sum("len").over(upto)).cast("long")
     placed = runs.select("k0", "k1", "kind", (stop - F.col("len")).alias("start"), stop.alias("stop"), "counted")
-    placed = placed.where((F.col("kind") != 0) | (F.col("counted") >= ASSIGN_LEAST)).drop("counted")
+    placed = cut(placed.where((F.col("kind") != 0) | (F.col("counted") >= ASSIGN_LEAST)).drop("counted"))  # texts are searched once
     role = F.element_at(F.array(*[F.lit(ROLE[k]) for k in KINDS]), F.col("kind") + 1)
     bins = lambda more: F.explode(F.sequence(F.floor(F.col("start") / scope) - more, F.floor((F.col("stop") - 1) / scope) + more))
     base = placed.where(F.col("kind") < len(BASE))
@@ -101,10 +102,10 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: i
     """
     found = spans(df, text_col, scope)
     one = F.struct("start", "kind", "stop")
-    by_text = found.groupBy("k0", "k1").agg(
+    by_text = cut(found.groupBy("k0", "k1").agg(  # a table, so that the join below may split a text with many copies
         *[F.count_if(F.col("kind") == no).alias(f"n_{kind}") for no, kind in enumerate(BASE)],
         F.collect_list(F.when(F.col("kind") < len(BASE), one)).alias("base"), F.collect_list(one).alias("all"),
-    )
+    ))
     rows = df.select(F.col(id_col).alias("id"), *[k.alias(f"k{i}") for i, k in enumerate(text_key(F.col(text_col)))])
     return rows.join(by_text, ["k0", "k1"], "left").select(
         F.col("id").alias(id_col), *[F.coalesce(f"n_{kind}", F.lit(0)).alias(f"n_{kind}") for kind in BASE],
