@@ -25,7 +25,7 @@ def tokens(text: Column, stopwords: tuple[str, ...] = STOPWORDS, least: int = 3)
 
 def singular(token: Column) -> Column:
     """Plural endings of roles reduced: -ies to -y, -ers and the like without s; other words as they are."""
-    out = F.when((F.char_length(token) > 4) & token.endswith("ies"), F.concat(F.expr("''"), F.regexp_replace(token, "ies$", "y")))
+    out = F.when((F.char_length(token) > 4) & token.endswith("ies"), F.regexp_replace(token, "ies$", "y"))
     return out.when((F.char_length(token) > 4) & token.rlike(f"({'|'.join(PLURALS)})$"), F.regexp_replace(token, "s$", "")).otherwise(token)
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from tarnwick.plans import reports, texts
+
 
 def queries() -> dict:
-    return {}
+    return reports.QUERIES | texts.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return reports.SQL | texts.SQL
