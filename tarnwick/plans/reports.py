@@ -48,12 +48,12 @@ def admin_search(s: SparkSession, d: str) -> DataFrame:
 
 
 def semi_join_activity(s: SparkSession, d: str) -> DataFrame:
-    big = table(s, d, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"))
+    big = table(s, d, "orders").where("o_totalprice > 450000").select(F.col("o_custkey").alias("c_custkey"))
     return table(s, d, "customer").select("c_custkey", "c_name").join(big, "c_custkey", "left_semi")
 
 
 def anti_join_seen(s: SparkSession, d: str) -> DataFrame:
-    seen = table(s, d, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"))
+    seen = table(s, d, "orders").where("o_totalprice > 450000").select(F.col("o_custkey").alias("c_custkey"))
     return table(s, d, "customer").select("c_custkey", "c_name").join(seen, "c_custkey", "left_anti")
 
 
@@ -152,7 +152,7 @@ SQL = {
     "recent_feed_topk": "SELECT o_custkey, o_orderkey, o_orderdate, c_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey ORDER BY o_orderdate DESC, o_orderkey LIMIT 8",
     "admin_search": "SELECT p_partkey, p_name, p_brand FROM part WHERE p_name ILIKE '%red%' OR p_brand ILIKE '%brand#1%'",
     "semi_join_activity": "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)",
-    "anti_join_seen": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)",
+    "anti_join_seen": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)",
     "first_per_group": "SELECT user_id, event_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1",
     "last_per_group": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "follow_up_due": """SELECT o_custkey, CAST(DATE '2001-01-01' - min(o_orderdate) FILTER (o_orderstatus = 'O')::DATE AS INTEGER) AS waiting FROM orders GROUP BY o_custkey
