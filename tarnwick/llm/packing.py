@@ -17,7 +17,7 @@ from tarnwick.llm.common import cut
 
 #: Texts are tokenized in groups of about this many bytes; words are remembered up to this many.
 GROUP = 4 << 20
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 
 
 class WordTokens:
@@ -64,13 +64,23 @@ class WordTokens:
         return ids, upto[bounds - bounds[0]][1:]
 
 
+_WORDS: dict[str, WordTokens] = {}
+
+
+def word_tokens(path: str) -> WordTokens:
+    """One for each Python worker, so that what a task has learnt serves the next one."""
+    if path not in _WORDS:
+        _WORDS[path] = WordTokens(path)
+    return _WORDS[path]
+
+
 def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """(id, piece, start, length, ids_crc32): each document's ids with end_id after them, cut every `capacity` ids."""
     kind = df.schema[id_col].dataType
     schema = f"{id_col} {kind.simpleString()}, piece int, start long, length long, ids_crc32 long"
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(tokenizer)
+        tokens = word_tokens(tokenizer)
         for batch in batches:
             sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
             at = 0
