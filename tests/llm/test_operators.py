@@ -357,11 +357,11 @@ def test_extraction_of_given_pages(spark):
 def test_extraction_awkward_pages(spark):
     from tarnwick.llm.html_extract import blocks, extract_main
 
-    rows = [(1, None, None), (None, "u", ""), (2, "u", "<"), (3, "u", "<article><p>" + "word " * 200_000), (3, "u", "<div>" * 20_000 + "deep"), (4, "u", "<!-- open"), (5, "u", "<p>a &lt; b &amp; c&nbsp;d<script>x<p></script></p>")]
+    rows = [(1, None, None), (None, "u", ""), (2, "u", "<"), (3, "u", "<article><h1>A title</h1><p>" + "word, and " * 100_000 + "end.</p>"), (3, "u", "<div>" * 20_000 + "deep"), (4, "u", "<!-- open"), (5, "u", "<p>a &lt; b &amp; c&nbsp;d<script>x<p></script></p>")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")
     got = extract_main(df).collect()
     assert len(got) == len(rows) and all(r.text is not None for r in got)
-    assert max(len(r.text) for r in got) == 999_999
+    assert max(len(r.text) for r in got) == len("A title ") + 1_000_004
     assert [b.text for b in blocks(rows[-1][2])] == ["a < b & c d"]
     assert extract_main(df.limit(0)).count() == 0
 
