@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tarnwick.plans import reports, texts
+from tarnwick.plans import postings, reports, texts
 
 
 def queries() -> dict:
-    return reports.QUERIES | texts.QUERIES
+    return reports.QUERIES | texts.QUERIES | postings.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return reports.SQL | texts.SQL
+    return reports.SQL | texts.SQL | postings.SQL
