@@ -79,7 +79,7 @@ def liveness(status: Column, requested_id: Column, final_url: Column, body: Colu
 
 def final_rank(quality: Column, fit: Column, tier: Column, reposts: Column, first_party: Column, language_gap: Column) -> Column:
     """.55 fit + .45 quality where a fit is known, else the quality; then what tier, reposts, origin and language take or give."""
-    base = F.coalesce(F.bround(0.55 * fit + 0.45 * quality, 1), quality.cast("double"))
+    base = F.coalesce(F.bround(F.round(0.55 * fit + 0.45 * quality, 6), 1), quality.cast("double"))
     less = F.when(tier == "Suspicious", 15).when(tier == "Proceed with Caution", 5).otherwise(0) + 3 * F.least(F.coalesce(reposts, F.lit(0)), F.lit(3))
     return F.round(base - less + F.when(first_party, 2.5).otherwise(0.0) - F.when(language_gap, 6.0).otherwise(0.0), 1)
 

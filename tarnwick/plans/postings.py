@@ -128,7 +128,7 @@ SQL = {
         f AS (SELECT *, CASE WHEN doc_id % 11 = 0 THEN least(raw, 1.5) WHEN risk >= 2.5 THEN least(raw, 2.5) ELSE raw END - CASE WHEN bad AND NOT good THEN 0.3::DOUBLE ELSE 0 END - CASE WHEN gap THEN 0.6::DOUBLE ELSE 0 END AS g FROM s),
         r AS (SELECT risk >= 2.5 OR doc_id % 11 = 0 AS stop, round(round(least(5.0, greatest(1.0, g)), 6), 1) AS score FROM f)
         SELECT CASE WHEN stop THEN 'skip' WHEN score >= 4 THEN 'apply' WHEN score >= 3 THEN 'consider' ELSE 'skip' END AS verdict, count(*) AS n, round(sum(score::DECIMAL(6,1))::DOUBLE, 1) AS total FROM r GROUP BY 1""",
-    "final_ranks": """SELECT p_partkey, round(CASE WHEN p_partkey % 3 <> 0 THEN round_even(0.55::DOUBLE * (p_size * 2) + 0.45::DOUBLE * p_size, 1) ELSE p_size::DOUBLE END - CASE WHEN p_size < 5 THEN 15 WHEN p_size < 15 THEN 5 ELSE 0 END
+    "final_ranks": """SELECT p_partkey, round(CASE WHEN p_partkey % 3 <> 0 THEN round_even(round(0.55::DOUBLE * (p_size * 2) + 0.45::DOUBLE * p_size, 6), 1) ELSE p_size::DOUBLE END - CASE WHEN p_size < 5 THEN 15 WHEN p_size < 15 THEN 5 ELSE 0 END
         - 3 * least(p_partkey % 5, 3) + CASE WHEN p_brand = 'Brand#11' THEN 2.5::DOUBLE ELSE 0 END - CASE WHEN p_partkey % 2 = 0 THEN 6 ELSE 0 END, 1) AS rank FROM part""",
     "connector_health": """WITH p AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) - 1 AS back, count(*) OVER (PARTITION BY event_type) AS n FROM events)
         SELECT event_type, count(*) AS calls, count(*) FILTER (event_id % 4 > 0) AS with_rows, round_even(100.0::DOUBLE * count(*) FILTER (event_id % 4 > 0) / count(*), 1) AS hit_rate, max(value) AS max_ms,
