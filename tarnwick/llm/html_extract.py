@@ -26,9 +26,10 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 _SCOPE = frozenset("ul ol dl table div section article aside main body header footer nav form blockquote td th li dd figure".split())
 
 _TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b[^>]*(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""",
+    rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})(?=[\s/>]|\Z)(?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""",
     re.S | re.I,
 )
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for name in _RAW.split("|")}
 _ATTR = re.compile(r"""\b(class|id|role|itemprop|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""", re.I)
 _PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -89,12 +90,24 @@ def blocks(page: str | None, known: frozenset[str] | None = None) -> list[Block]
             links -= tag == "a"
         del stack[n:]
 
-    for m in _TOKEN.finditer(page):
+    unclosed: set[str] = set()
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             pieces.append(page[at : m.start()])
             if links > 0:
                 linked += m.start() - at
         at = m.end()
+        if m["raw"]:
+            # An unclosed element loses only its tag, but script and style run to the end of the page; each name is sought in vain once.
+            name = m["raw"].lower()
+            if name not in unclosed and not (name == "svg" and m[0].endswith("/>")):
+                if end := _RAW_END[name].search(page, at):
+                    at = end.end()
+                elif name in ("script", "style"):
+                    at = len(page)
+                else:
+                    unclosed.add(name)
+            continue
         if m["tag"] is None:
             continue
         tag = m["tag"].lower()
