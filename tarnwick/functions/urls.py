@@ -7,8 +7,32 @@ from pyspark.sql import functions as F
 
 #: Fixed second-level labels under two-letter country domains.
 SECOND_LEVEL = ("co", "com", "org", "net", "ac", "gov")
-#: Fixed patterns of boards whose URLs hold an id: name, pattern with the id as group 1.
-BOARDS = (("indeed", r"indeed\.[a-z.]+/.*[?&]jk=([0-9a-z]+)"), ("linkedin", r"linkedin\.com/jobs/view/(?:[^/?#]*-)?([0-9]+)"), ("greenhouse", r"[?&]gh_jid=([0-9]+)"))
+#: Fixed patterns of boards whose URLs hold an id, in the order they are tried: name, pattern, the groups that make the id.
+BOARDS = (
+    ("linkedin", r"currentjobid=([0-9]+)", (1,)),
+    ("linkedin", r"/jobs/view/(?:[^/?#]*-)?([0-9]{6,})", (1,)),
+    ("indeed", r"[?&]jk=([a-z0-9]+)", (1,)),
+    ("jobbank", r"jobbank\.gc\.ca/jobsearch/jobposting/([0-9]+)", (1,)),
+    ("greenhouse", r"[?&]gh_jid=([0-9]+)", (1,)),
+    ("greenhouse", r"greenhouse\.io/[^/?#]+/jobs/([0-9]+)", (1,)),
+    ("lever", r"jobs\.lever\.co/([^/?#]+)/([0-9a-f-]{16,})", (1, 2)),
+    ("ashby", r"jobs\.ashbyhq\.com/([^/?#]+)/([0-9a-f-]{16,})", (1, 2)),
+    ("tanitjobs", r"tanitjobs\.com/job/([0-9]+)", (1,)),
+    ("keejob", r"keejob\.com/offres-emploi/([0-9]+)", (1,)),
+    ("ejobs", r"ejobs\.ro/user/locuri-de-munca/[^/?#]+/([0-9]+)", (1,)),
+    ("hipo", r"hipo\.ro/locuri-de-munca/locuri_de_munca/([0-9]+)", (1,)),
+    ("hellowork", r"hellowork\.com/fr-fr/emplois/([0-9]+)\.html", (1,)),
+    ("reed", r"reed\.co\.uk/jobs/[^/?#]+/([0-9]+)", (1,)),
+    ("karriere_at", r"karriere\.at/jobs/([0-9]+)", (1,)),
+    ("itjobs_pt", r"itjobs\.pt/oferta/([0-9]+)", (1,)),
+    ("rekrute", r"rekrute\.com/offre-emploi-[^/?#]*-([0-9]+)\.html", (1,)),
+    ("seek", r"(?:seek\.com\.au|seek\.co\.nz|jobstreet\.com(?:\.[a-z]{2})?)/(?:id/)?job/([0-9]+)", (1,)),
+    ("mycareersfuture", r"mycareersfuture\.gov\.sg/job/[^/?#]*-([0-9a-f]{32})", (1,)),
+    ("wanted_kr", r"wanted\.co\.kr/wd/([0-9]+)", (1,)),
+    ("djinni", r"djinni\.co/jobs/([0-9]+)-", (1,)),
+    ("finn", r"finn\.no/job/[^/?#]+[?&]finnkode=([0-9]+)", (1,)),
+    ("talent", r"talent\.com/view\?id=([a-z0-9]+)", (1,)),
+)
 EMAIL = r"[a-z0-9._%+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}"
 #: Fixed mail hosts open to all, and names of shared mailboxes.
 FREE_MAIL = ("gmail.com", "outlook.com", "yahoo.com", "hotmail.com", "gmx.de")
@@ -16,11 +40,11 @@ SHARED = ("hr", "jobs", "careers", "recruiting", "info", "contact", "hello", "su
 
 
 def canonical_url(url: Column) -> Column:
-    """board:id where a board's id is known, else the URL in lower case without scheme, www, query, fragment and last slash."""
+    """board:id where a board's id is known, else the URL in lower case without scheme, www, query, fragment, last slash and session id."""
     low = F.lower(F.trim(url))
-    known = [F.when(F.regexp_extract(low, p, 1) != "", F.concat(F.lit(f"{name}:"), F.regexp_extract(low, p, 1))) for name, p in BOARDS]
+    known = [F.when(low.rlike(p), F.concat(F.lit(f"{name}:"), F.concat_ws("/", *[F.regexp_extract(low, p, g) for g in groups]))) for name, p, groups in BOARDS]
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(low, r"^[a-z]+://", ""), r"^www\.", ""), r"[?#].*$", "")
-    return F.coalesce(*known, F.regexp_replace(bare, r"/+$", ""))
+    return F.coalesce(*known, F.regexp_replace(F.regexp_replace(bare, r"/+$", ""), r";jsessionid=[^/?]*", ""))
 
 
 def host(url: Column) -> Column:
