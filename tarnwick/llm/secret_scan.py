@@ -17,7 +17,8 @@ ASSIGN_LEAST = 12
 #: Fixed patterns of weak candidates: account names and other key ids, long mixed tokens, addresses of services.
 IDENT = r"""(?:A(?:SIA|ROA|IDA|GPA)[A-Z0-9]{12,}|(?i:(?:client_id|user(?:name)?|login|account))["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,})"""
 LONG = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9A-Z+/_=-]*[a-z])(?=[0-9a-z+/_=-]*[A-Z])[A-Za-z0-9+/_=-]{20,}"
-ENDPOINT = r"""(?:https?://[^\s"'<>]+|[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9.]))"""
+#: Groups that repeat are possessive (++): Java's engine recurses once for each turn of any other, and long texts would exhaust its stack.
+ENDPOINT = r"""(?:https?://[^\s"'<>]+|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)++|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9.]))"""
 
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ("assign", "access", "hex", "ident", "long", "endpoint")
@@ -28,13 +29,8 @@ ROLE = {"assign": "secret", "access": "ident", "hex": "secret", "ident": "ident"
 NEEDS = {"ident": ["secret"], "long": ["ident"], "endpoint": ["ident", "secret"]}
 #: Code points between two parts of one credential, at most.
 SCOPE = 200
-
-
-def has_candidate(text: Column) -> Column:
-    found = F.lit(False)
-    for pattern in PATTERNS.values():
-        found = found | F.coalesce(text.rlike(pattern), F.lit(False))
-    return found
+#: Code points of a piece in which redact() cuts spans out.
+CHUNK = 4_096
 
 
 def _found(text: Column, no: int, kind: str) -> Column:
@@ -49,18 +45,28 @@ def _found(text: Column, no: int, kind: str) -> Column:
     return F.when(text.rlike(PATTERNS[kind]), F.struct(F.lit(no).alias("kind"), zipped.alias("runs")))
 
 
+def found_runs(text: Column) -> Column:
+    """What the patterns find in a text, by kind; null if nothing. The only step that reads texts."""
+    kinds = F.filter(F.array(*[_found(text, no, kind) for no, kind in enumerate(KINDS)]), lambda x: x.isNotNull())
+    return F.when(F.size(kinds) > 0, kinds)
+
+
 def spans(texts: DataFrame, text_col: str = "text", scope: int = SCOPE) -> DataFrame:
-    """(k0, k1, kind, start, stop) for each distinct text, which k0 and k1 stand for.
+    """(k0, k1, kind, start, stop) for each distinct text, which k0 and k1 stand for; see linked()."""
+    text = F.col("text")
+    rows = texts.select(F.col(text_col).alias("text")).where("text is not null")
+    return linked(rows.select(*[k.alias(f"k{i}") for i, k in enumerate(text_key(text))], found_runs(text).alias("found")), scope)
+
+
+def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """(k0, k1, kind, start, stop) of the spans that count, from (k0, k1, found) with found_runs() of each text.
 
     `kind` indexes KINDS. Base kinds always count. A weak candidate counts only if it overlaps no base
     span and each part that it needs (an access identifier, a secret) lies within `scope` code points
     of it. The interval join meets in bins of `scope` code points, where each role is
     reduced to its first start and last stop, so a text full of candidates makes no pairs.
     """
-    text = F.col("text")
-    rows = texts.select(F.col(text_col).alias("text")).where("text is not null")
-    kinds = F.filter(F.array(*[_found(text, no, kind) for no, kind in enumerate(KINDS)]), lambda x: x.isNotNull())
-    runs = rows.select(*[k.alias(f"k{i}") for i, k in enumerate(text_key(text))], F.explode(kinds).alias("f")).select("k0", "k1", "f.kind", F.posexplode("f.runs").alias("pos", "run"))
+    runs = found.select("k0", "k1", F.explode("found").alias("f")).select("k0", "k1", "f.kind", F.posexplode("f.runs").alias("pos", "run"))
     runs = runs.where("run.len is not null").select("k0", "k1", "kind", "pos", "run.gap", "run.len", "run.counted").distinct()
     upto = Window.partitionBy("k0", "k1", "kind").orderBy("pos")
     stop = (F.sum("gap").over(upto) + F.sum("len").over(upto)).cast("long")
@@ -98,7 +104,9 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: i
 
     Null and empty texts have no spans: counts 0, the digest of an empty string, an empty list. Equal texts
     are scanned in each row but placed once, by a 128-bit key; repeated rows come back as often as they
-    came; an empty table gives an empty result; other columns are not looked at. Offsets count code points.
+    came; an empty table gives an empty result; other columns are not looked at, whatever their names. Offsets count
+    code points. Very long texts are searched whole, in time that grows with their length; spans that start
+    together are listed in the order of KINDS (ties).
     """
     found = spans(df, text_col, scope)
     one = F.struct("start", "kind", "stop")
@@ -113,22 +121,46 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: i
     )
 
 
+def _pieces(found: DataFrame) -> DataFrame:
+    """(k0, k1, cuts) with what redact() cuts: for each chunk that spans touch, in order, [from, to) within it and whether a mark stands there.
+
+    Spans that touch or overlap are first joined, so that they share one mark, at their beginning.
+    """
+    order = Window.partitionBy("k0", "k1").orderBy("start", "stop")
+    ended = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = found.withColumn("no", F.sum(F.when(F.col("start") <= ended, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = opened.groupBy("k0", "k1", "no").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    parts = whole.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("start") / CHUNK), F.floor((F.col("stop") - 1) / CHUNK))))
+    begin = F.col("chunk") * CHUNK
+    inside = F.struct(
+        F.greatest(F.col("start") - begin, F.lit(0)).cast("int").alias("a"), F.least(F.col("stop") - begin, F.lit(CHUNK)).cast("int").alias("b"),
+        (F.col("start") >= begin).alias("marked"),
+    )
+    by_chunk = parts.groupBy("k0", "k1", "chunk").agg(F.array_sort(F.collect_list(inside)).alias("cuts"))
+    return by_chunk.groupBy("k0", "k1").agg(F.map_from_entries(F.collect_list(F.struct("chunk", "cuts"))).alias("cuts"))
+
+
 def redact(df: DataFrame, text_col: str = "text", mark: str = "<secret>", scope: int = SCOPE) -> DataFrame:
     """df with every span but endpoints replaced by `mark` in the text; touching spans share one mark.
 
-    Rows without a candidate pass by untouched and unshuffled. Null texts stay null. All columns of df come back.
+    Texts are searched once, and what was found is cut to the shared folder with the rows. Rows without a candidate then pass
+    unshuffled; the others meet their spans by a 128-bit key of the text, so that equal texts are cleaned alike, and are
+    rebuilt chunk by chunk, in time that grows with the text and its spans however long it is. Null and empty texts stay as they
+    are; repeated rows come back as often as they came; an empty table gives an empty result; all columns of df come back
+    untouched, whatever their names.
     """
     names = df.columns
-    keys = [k.alias(f"_k{i}") for i, k in enumerate(text_key(F.col(text_col)))]
-    hit = has_candidate(F.col(text_col))
-    found = spans(df, text_col, scope).where(F.col("kind") != KINDS.index("endpoint"))
-    by_text = found.groupBy(F.col("k0").alias("_k0"), F.col("k1").alias("_k1")).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_spans"))
-    flagged = df.where(hit).select("*", *keys).join(by_text, ["_k0", "_k1"], "left")
-    text = F.col(text_col)
-    step = lambda acc, x: F.struct(
-        F.when(x["start"] >= acc["pos"], F.concat(acc["out"], F.substring(text, acc["pos"].cast("int") + 1, (x["start"] - acc["pos"]).cast("int")), F.lit(mark))).otherwise(acc["out"]).alias("out"),
-        F.greatest(acc["pos"], x["stop"]).alias("pos"),
+    rows = cut(df.select(F.struct(*[F.col(f"`{x}`") for x in names]).alias("row"), found_runs(F.col(text_col)).alias("found")))
+    keys = [k.alias(f"k{i}") for i, k in enumerate(text_key(F.col(f"row.`{text_col}`")))]
+    flagged = rows.where("found is not null").select("row", "found", *keys)
+    found = linked(flagged.select("k0", "k1", "found"), scope).where(F.col("kind") != KINDS.index("endpoint")).select("k0", "k1", "start", "stop")
+    joined = flagged.drop("found").join(cut(_pieces(found)), ["k0", "k1"], "left")
+    step = lambda chunk: lambda acc, x: F.struct(
+        F.concat(acc["out"], F.substring(chunk, acc["pos"] + 1, x["a"] - acc["pos"]), F.when(x["marked"], F.lit(mark)).otherwise("")).alias("out"), x["b"].alias("pos"),
     )
-    last = lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"].cast("int") + 1, F.char_length(text)))
-    cleaned = F.when(F.col("_spans").isNull(), text).otherwise(F.aggregate("_spans", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("pos")), step, last))
-    return df.where(~hit).unionByName(flagged.withColumn(text_col, cleaned).select(*names))
+    rest = lambda chunk: lambda acc: F.concat(acc["out"], F.substring(chunk, acc["pos"] + 1, F.lit(CHUNK)))
+    clean = lambda chunk, no: F.coalesce(F.aggregate(F.element_at("cuts", no.cast("long")), F.struct(F.lit("").alias("out"), F.lit(0).alias("pos")), step(chunk), rest(chunk)), chunk)
+    text = F.col(f"row.`{text_col}`")
+    cleaned = F.when(F.col("cuts").isNull(), text).otherwise(F.array_join(F.transform(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), clean), ""))
+    back = lambda d, column: d.select(*[(column if x == text_col else F.col(f"row.`{x}`")).alias(x) for x in names])
+    return back(rows.where("found is null"), text).unionByName(back(joined, cleaned))
