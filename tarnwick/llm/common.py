@@ -36,7 +36,17 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read.cut_path = path
+    return read
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that cut() wrote, once nothing will read them again (what came of them is cut itself)."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def crc32_mod(key: Column, n: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import cut
+from tarnwick.llm.common import cut, discard
 
 
 def _minimum(arcs: DataFrame) -> DataFrame:
@@ -37,7 +37,8 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
         )
         down = large.join(_minimum(large), "u")
         small = down.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v")))
-        now = cut(small.where("u <> v").distinct())
+        last, now = now, cut(small.where("u <> v").distinct())
+        discard(last)
         before, seen = seen, _digest(now)
         if before == seen:
             break

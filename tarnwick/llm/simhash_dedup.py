@@ -171,15 +171,28 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return prints.join(classes(nodes, radius, blocks), "fp").select(F.col("id").alias(id_col), hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def numbered(df: DataFrame, made: Column) -> DataFrame:
+    """(row, made, no) with each row of df whole in one struct, so that no column's name can clash, and numbered.
+
+    The table is cut to the shared folder, so that a row lost and read again has the same number.
+    """
+    whole = F.struct(*[F.col(f"`{x}`") for x in df.columns])
+    return cut(df.select(whole.alias("row"), made.alias("made"), F.monotonically_increasing_id().alias("no")))
+
+
+def rank(id_col: str) -> Column:
+    """By this order the first row of a group stays: rows with an id before those without, then the smaller id, then the earlier row."""
+    key = F.col(f"row.`{id_col}`")
+    return F.struct(key.isNull().alias("none"), key.alias("id"), F.col("no").alias("row"))
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, blocks: int = 4) -> DataFrame:
     """The rows of df, with all their columns, of which each group of near-duplicates keeps one: that with the smallest id.
 
-    Rows with an id come before those without; among rows with equal ids the first in the table stays. Rows are numbered
-    once, with their fingerprints, in a table cut to the shared folder, so that a row lost and read again has the same number.
+    Rows with an id come before those without; among rows with equal ids the first in the table stays. Null and empty
+    texts are near-duplicates of each other; an empty table gives an empty result; columns of df come back untouched, whatever their names.
     """
-    names = df.columns
-    rows = cut(df.withColumns({"_fp": fingerprint_column(F.col(text_col), shingle), "_row": F.monotonically_increasing_id()}))
-    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_row").alias("row"))
-    nodes = cut(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(order).alias("first_id")))
-    kept = nodes.join(classes(nodes, radius, blocks), "fp").where(F.col("first_id.row") == F.col("component_id.row")).select(F.col("first_id.row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*names)
+    rows = numbered(df, fingerprint_column(F.col(text_col), shingle))
+    nodes = cut(rows.groupBy(F.col("made").alias("fp")).agg(F.min(rank(id_col)).alias("first_id")))
+    kept = nodes.join(classes(nodes, radius, blocks), "fp").where(F.col("first_id.row") == F.col("component_id.row")).select(F.col("first_id.row").alias("no"))
+    return rows.join(kept, "no", "left_semi").select("row.*")

@@ -2,7 +2,7 @@ import pytest
 
 SF = "/root/testdata/sf0.001"
 #: Columns whose names clash with those that operators use inside.
-CLASHING = "fp long, row string, k0 long, id string, h long, no int, size long, class string, p int, u double, stats string, label int, kind int, _row int, _id int, cut int"
+CLASHING = "fp long, row string, k0 long, id string, h long, no int, size long, class string, p int, u double, stats string, label int, kind int, _row int, _id int, cut int, _copy int, _fp long, _k0 long, _k1 long, _spans string, found string, made string, cuts string, node long, copies long, text_ string, _text string, stats2 string, predicted int, held_out string"
 
 
 @pytest.fixture(scope="session")
