@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,16 +12,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def byte_encoder(ranks_path: str, pattern: str):
-    """A byte-level encoder and the byte length of each of its ids: their sums are the token offsets."""
-    import tiktoken
+#: Runs of Unicode's white space that are too long for the pattern's engine, which counts its steps back.
+_LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
+
+
+class ByteEncoder:
+    """Ids of whole texts under a byte-level pattern whose last alternatives are `\\s+(?!\\S)|\\s+` and whose others begin with one space at most.
+
+    Such a pattern makes one piece of a run of white space, without its last character if more text follows. Long runs are
+    taken out by that rule and encoded as the piece that they are; what is between them is encoded as usual, so ids are the same.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+        import tiktoken
 
+        self.usual, self.piece = (tiktoken.Encoding(name, pat_str=p, mergeable_ranks=ranks, special_tokens={}) for name, p in (("own", pattern), ("piece", "(?s:.+)")))
+
+    def ids(self, text: str) -> np.ndarray:
+        out, at = [], 0
+        for m in _LONG_RUN.finditer(text):
+            end = m.end() if m.end() == len(text) else m.end() - 1
+            out += [self._of(self.usual, text[at : m.start()]), self._of(self.piece, text[m.start() : end])]
+            at = end
+        return np.concatenate([*out, self._of(self.usual, text[at:])])
+
+    @staticmethod
+    def _of(encoder, text: str) -> np.ndarray:
+        return np.asarray(encoder.encode_to_numpy(text, disallowed_special=()) if text else [], np.int64)
+
+
+def byte_encoder(ranks_path: str, pattern: str) -> tuple[ByteEncoder, np.ndarray]:
+    """A byte-level encoder and the byte length of each of its ids: their sums are the token offsets."""
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     size = np.zeros(max(ranks.values()) + 1, np.int64)
     for token, no in ranks.items():
         size[no] = len(token)
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), size
+    return ByteEncoder(ranks, pattern), size
 
 
 def attribute(starts: np.ndarray, total: int, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +77,8 @@ def count_tokens(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     a token across a boundary goes to the section that holds most of its bytes, to the earlier one on a tie,
     and n_crossing says how many of a section's tokens end beyond it. Null fields count as
     empty; an empty field is one section without characters (its line feed aside); repeated rows come back as often as
-    they came; an empty table gives an empty result; other columns are not looked at.
+    they came; an empty table gives an empty result; other columns are not looked at, whatever their names. Very long texts
+    are encoded whole, long runs of white space included.
     """
     schema = f"{id_col} {df.schema[id_col].dataType.simpleString()}, field string, section int, start long, stop long, n_tokens long, n_crossing long"
 
@@ -62,7 +91,7 @@ def count_tokens(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
                 bounds = [("" if x is None else x) + ("\n" if n + 1 < len(fields) else "") for n, x in enumerate(texts)]
                 whole = "".join(bounds)
                 data = np.frombuffer(whole.encode("utf-8", "replace"), np.uint8)
-                ids = np.asarray(encoder.encode_to_numpy(whole, disallowed_special=()) if whole else [], np.int64)
+                ids = encoder.ids(whole)
                 base, starts, names, no = 0, [], [], []
                 for field, text in zip(fields, bounds, strict=True):
                     length = len(text.encode("utf-8", "replace"))

@@ -263,10 +263,48 @@ def test_token_counts_add_up(spark, odd_docs):
         ends[r.doc_id] = r.stop
     for r in df.collect():
         whole = (r.source or "") + "\n" + (r.text or "")
-        assert got[r.doc_id] == len(encoder.encode_ordinary(whole)) and ends[r.doc_id] == len(whole)
+        assert got[r.doc_id] == len(encoder.usual.encode_ordinary(whole)) and ends[r.doc_id] == len(whole)
     assert count_tokens(odd_docs.limit(0), ranks, public_tokenizers.PATTERN).count() == 0
 
 
+def test_token_attribution_by_section(spark, docs):
+    """The query's counts of every section against tokens placed one by one."""
+    from tarnwick.llm.token_attribution import byte_encoder
+
+    encoder, _ = byte_encoder(public_tokenizers.path(q.BYTE_RANKS), public_tokenizers.PATTERN)
+    got = {(r.doc_id, r.field, r.section): (r.start, r.stop, r.n_tokens, r.n_crossing) for r in q.op8_token_attribution(spark, SF).collect()}
+    want = {}
+    for key, text, source in docs:
+        sections, at = [], 0
+        for field, value in (("source", (source or "") + "\n"), ("text", text)):
+            lines = re.findall(r"[^\n]*\n|[^\n]+\Z", value) or [""]
+            for no, line in enumerate(lines):
+                sections.append([field, no, at, at + len(line), 0, 0, len(line.encode())])
+                at += len(line)
+        whole = (source or "") + "\n" + text
+        owner = [k for k, s in enumerate(sections) for _ in range(s[6])]
+        byte = 0
+        for token in encoder.usual.encode_ordinary(whole):
+            size = len(encoder.usual.decode_single_token_bytes(token))
+            votes = Counter(owner[byte : byte + size])
+            best = min(votes, key=lambda k: (-votes[k], k))
+            sections[best][4] += 1
+            sections[best][5] += owner[byte + size - 1] > best
+            byte += size
+        want |= {(key, s[0], s[1]): tuple(s[2:6]) for s in sections}
+    assert got == want
+
+
+def test_long_white_space_is_encoded_like_any():
+    from tarnwick.llm.token_attribution import byte_encoder
+
+    encoder, _ = byte_encoder(public_tokenizers.path(q.BYTE_RANKS), public_tokenizers.PATTERN)
+    for run in (" ", "\n", "\u3000"):
+        for text in (f"a{run * 20_000}b c", run * 20_000, f"x {run * 15_000}", f"{run * 12_000}. {run * 11_000}\ty"):
+            assert encoder.ids(text).tolist() == encoder.usual.encode_ordinary(text)
+    assert len(encoder.ids("\n" * 2_000_000 + "w" + " " * 2_000_000)) > 3
+
+
 def test_tokens_across_a_boundary_go_to_the_larger_part():
     from tarnwick.llm.token_attribution import attribute
 
