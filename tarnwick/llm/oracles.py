@@ -5,15 +5,17 @@ from __future__ import annotations
 ORACLE_SQL = {
     "op3_maxscore_top_k": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+            SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
             FROM embeddings
-            WHERE vec_id IS NOT NULL AND len(embedding) > 0
-              AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), true)
         ), scored AS (
-            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
-            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+            SELECT q.row, q.vec_id AS query_id, c.vec_id, CAST(CASE
+                WHEN len(q.v) = len(c.v) AND len(q.v) > 0 THEN list_dot_product(q.v, c.v)
+                ELSE coalesce(list_dot_product(q.v[:least(len(q.v), len(c.v))], c.v[:least(len(q.v), len(c.v))]), 0) END AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.row <> c.row
         )
-        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
         FROM scored
         QUALIFY rank <= 5
     """,

@@ -9,19 +9,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD, QUERIES = 8_192, 512
+from tarnwick.llm.common import cut
+
+#: Vectors of a shard, at most about; fewer if that keeps more tasks busy, but not below the second.
+SHARD, LEAST_SHARD = 8_192, 1_024
 
 
 class Shard:
     """Postings of one shard: for each term (component) the values of all vectors, and their bounds."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")
-        self.ids, self.lists = ids[order], np.ascontiguousarray(vectors[order].T)
+        self.rows, self.ids, self.lists = rows[order], ids[order], np.ascontiguousarray(vectors[order].T)
         self.low, self.high = self.lists.min(axis=1), self.lists.max(axis=1)
 
     def top(self, query: np.ndarray, own: int, k: int, probe: int = 8) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best vectors but `own`, ties to the smaller id.
+        """Ids and scores of the k best vectors but that of row `own`, ties to the smaller id.
 
         A term adds between its least and its most in this shard, so each vector's score starts from the sum of all least
         ones. Terms that together cannot lift a vector to the k-th best score so far are non-essential: only the
@@ -34,7 +37,7 @@ class Shard:
         after = np.concatenate([np.cumsum(spread[terms][::-1])[::-1], [0]]) + 0  # what terms from here on can add
         base = least.sum()
         strongest = self.lists[terms[0]] * query[terms[0]]
-        allowed = self.ids != own
+        allowed = self.rows != own
         seed = np.argpartition(-strongest, min(4 * k + 1, len(strongest) - 1))[: 4 * k + 2]
         seed = seed[allowed[seed]]
         if len(seed) >= k:
@@ -59,9 +62,10 @@ class Shard:
 
 
 def _matrix(vectors: list, width: int) -> np.ndarray:
+    """floor(256 x) of each component, padded with zeros or cut to the width."""
     out = np.zeros((len(vectors), width))
     for row, v in zip(out, vectors, strict=True):
-        row[: len(v)] = np.floor(256 * np.asarray(v, np.float64))
+        row[: len(v)] = np.floor(256 * np.asarray(v, np.float64))[:width]
     return out
 
 
@@ -73,37 +77,52 @@ def _exact(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def searchable(vector: Column) -> Column:
-    return vector.isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
-def top_k(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, shard: int = SHARD, queries: int = QUERIES) -> DataFrame:
-    """(query_id, rank, id, score): the k best by inner product of floor(256 x) among all rows but those with the query's id.
+def top_k(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, shard: int = SHARD) -> DataFrame:
+    """(query_id, rank, id, score): the k best by inner product of floor(256 x) among all rows but the query's own.
 
-    The queries are the rows for which is_query holds. They are packed in blocks, and each block visits each shard once, where MaxScore
-    answers it; a shard returns at most k rows a query, and a window merges them. Rows whose id or vector
-    is null, or whose vector is empty or holds a null or non-finite component, take no part; shorter vectors count as padded with
-    zeros. Repeated rows are candidates as often as they come, but ask once. Scores beyond 64 bits are held at the largest long. An
-    empty table gives an empty result; other columns are not looked at.
+    The queries are the rows for which is_query holds. Rows are numbered and dealt into shards. Each shard is sent to its task once and
+    held there while all queries stream past it in batches, each answered by MaxScore; a shard returns at most k rows a query, and a window
+    merges them. Rows whose id or vector is null, or whose vector holds a null or non-finite component, take no part; shorter vectors (empty
+    ones too) count as padded with zeros, longer ones score by what both have. Repeated rows are candidates and queries as often as they come: a
+    row excludes itself alone, and each of several queries with one id has its own ranks. Ties go to the smaller id. Scores beyond 64
+    bits are held at the largest long. An empty table gives an empty result; other columns are not looked at.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), is_query.alias("asks")).where(F.col("id").isNotNull() & searchable(F.col("v")))
-    n, asked = rows.agg(F.count("*"), F.count_if("asks")).first()
-    shards, blocks = max(1, -(-n // shard)), max(1, -(-asked // queries))
-    gathered = lambda d, parts, name: d.groupBy(F.pmod(F.xxhash64("id", "v"), F.lit(parts)).alias(name)).agg(F.collect_list("id").alias(f"{name}_ids"), F.collect_list("v").alias(f"{name}_vs"))
-    stored = gathered(rows, shards, "shard")
-    asking = gathered(rows.where("asks").dropDuplicates(["id"]), blocks, "block").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    pairs = stored.withColumn("shard", F.col("shard").cast("long")).join(asking, "shard").select("shard_ids", "shard_vs", "block_ids", "block_vs")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    rows = cut(rows.where(F.col("id").isNotNull() & searchable(F.col("v"))).withColumn("row", F.monotonically_increasing_id()))
+    n, spread = rows.count(), 2 * df.sparkSession.sparkContext.defaultParallelism
+    shards = max(1, -(-n // shard), min(spread, n // LEAST_SHARD))
+    held = rows.select(F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard"), F.lit(0).alias("asks"), "row", "id", "v")
+    asking = rows.where("asks").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(1).alias("asks"), "row", "id", "v")
 
     def answered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, gathered, part = None, [], None
         for frame in frames:
-            for ids, vs, asks, qs in zip(frame.shard_ids, frame.shard_vs, frame.block_ids, frame.block_vs, strict=True):
-                width = max(max(map(len, vs)), max(map(len, qs)))
-                held, wanted = _exact(_matrix(vs, width), _matrix(qs, width))
-                part, out = Shard(np.asarray(ids), held), []
-                for own, query in zip(asks, wanted, strict=True):
-                    best, score = part.top(query, own, k)
-                    out += [(own, i, max(-(2**63), min(2**63 - 1, int(s)))) for i, s in zip(best, score, strict=True)]
-                yield pd.DataFrame(out, columns=["query_id", "id", "score"])
-
-    found = pairs.mapInPandas(answered, "query_id long, id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+            for (number, asks), some in frame.groupby(["shard", "asks"], sort=True):
+                if number != now:
+                    now, gathered, part = number, [], None
+                if not asks:
+                    gathered.append(some)
+                    continue
+                if not gathered:
+                    continue
+                if part is None:
+                    whole = pd.concat(gathered)
+                    width = max(1, max(map(len, whole.v)))
+                    matrix, part = _matrix(list(whole.v), width), whole
+                queries = _matrix(list(some.v), width)
+                stored, wanted = _exact(matrix, queries)
+                if not isinstance(part, Shard) or part.lists.dtype != stored.dtype:
+                    part = Shard(whole.row.to_numpy(), whole.id.to_numpy(), stored)
+                out = []
+                for row, own, query in zip(some.row, some.id, wanted, strict=True):
+                    best, score = part.top(query, row, k)
+                    out += [(row, own, i, max(-(2**63), min(2**63 - 1, int(s)))) for i, s in zip(best, score, strict=True)]
+                yield pd.DataFrame(out, columns=["row", "query_id", "id", "score"])
+
+    met = held.union(asking).repartition(shards, "shard").sortWithinPartitions("shard", "asks")
+    found = met.mapInPandas(answered, "row long, query_id long, id long, score long")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")

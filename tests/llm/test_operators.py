@@ -6,7 +6,6 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
@@ -34,16 +33,38 @@ def test_top_k_against_all_products(spark):
 
 
 def test_top_k_awkward_vectors(spark):
+    """Repeated ids with equal and unequal vectors, nulls, non-finite parts, empty, short and long vectors, against all products."""
     from tarnwick.llm.topk_search import top_k
 
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, -1.0]), (0, [1.0, -1.0]), (1, [0.5, 0.5]), (2, None), (3, [nan, 1.0]), (4, [inf, 0.0]), (5, [None, 1.0]), (None, [1.0, 1.0]), (6, [0.5, 0.5]), (7, [])]
+    rows = [(0, [1.0, -1.0]), (0, [1.0, -1.0]), (0, [-1.0, 2.0]), (1, [0.5, 0.5]), (2, None), (3, [nan, 1.0]), (4, [inf, 0.0]), (5, [None, 1.0]), (None, [1.0, 1.0]), (6, [0.5, 0.5]), (7, []), (8, [2.0]), (9, [1.0, 1.0, 9.0])]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, shard string")
-    got = [tuple(r) for r in top_k(df, F.col("vec_id") == 0, k=3).orderBy("rank").collect()]
-    assert got == [(0, 1, 1, 0), (0, 2, 6, 0)]
+    usable = [(i, v) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    for k in (3, 20):
+        want = []
+        for n, (i, v) in enumerate(usable):
+            if i in (0, 7):
+                scores = sorted((-sum(int(256 * a) * int(256 * b) for a, b in zip(v, w, strict=False)), j) for m, (j, w) in enumerate(usable) if m != n)
+                want += [(i, rank + 1, j, -s) for rank, (s, j) in enumerate(scores[:k])]
+        assert Counter(map(tuple, top_k(df, F.col("vec_id").isin(0, 7), k=k).collect())) == Counter(want)
     assert top_k(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+@pytest.mark.parametrize("shard", [7, 100])
+def test_top_k_over_many_shards(spark, shard):
+    from tarnwick.llm.topk_search import top_k
+
+    rng = np.random.default_rng(2)
+    rows = [(int(i), [float(x) for x in rng.integers(-3, 4, 6) / 2]) for i in rng.integers(0, 120, 200)]
+    got = Counter(map(tuple, top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0, shard=shard).collect()))
+    want = Counter()
+    for n, (i, v) in enumerate(rows):
+        if i % 10 == 0:
+            scores = sorted((-int(np.floor(256 * np.array(v)) @ np.floor(256 * np.array(w))), j) for m, (j, w) in enumerate(rows) if m != n)
+            want.update((i, rank + 1, j, -s) for rank, (s, j) in enumerate(scores[:5]))
+    assert got == want
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer
@@ -477,13 +498,17 @@ def test_isotonic_is_the_nearest_rising_sequence():
     assert isotonic(np.array([1.0, 3, 2, 4]), np.ones(4)).tolist() == [1, 2.5, 2.5, 4]
 
 
-def test_oracle_sql_of_top_k(spark):
+def test_oracle_sql_of_top_k(spark, tmp_path):
+    """On the given table, and on one with repeated ids."""
     import duckdb
 
     from tarnwick.llm.oracles import ORACLE_SQL
 
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
-    want = {tuple(r) for r in con.execute(ORACLE_SQL["op3_maxscore_top_k"]).fetchall()}
-    got = {tuple(r) for r in q.op3_maxscore_top_k(spark, SF).select("query_id", "rank", "vec_id", "score").collect()}
-    assert got == want and pd.DataFrame(got).shape[1] == 4
+    table = read(spark, "embeddings")
+    twice = table.where("vec_id < 120").union(table.where("vec_id between 40 and 60").selectExpr("vec_id", *[f"reverse({c}) AS {c}" if c == "embedding" else c for c in table.columns if c != "vec_id"]).select(table.columns))
+    twice.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    for sf, files in ((SF, "embeddings.parquet"), (str(tmp_path), "embeddings.parquet/*.parquet")):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/{files}'")
+        want = Counter(tuple(r) for r in con.execute(ORACLE_SQL["op3_maxscore_top_k"]).fetchall())
+        assert want == Counter(tuple(r) for r in q.op3_maxscore_top_k(spark, sf).select("query_id", "rank", "vec_id", "score").collect())
