@@ -75,7 +75,7 @@ def op10_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnwick.llm.simhash_index import edited_prints, near_rows
 
     prints = cut(edited_prints(table(spark, sf_dir, "documents")))
-    near = near_rows(prints.select(prints.fp_own.alias("fp")))
+    near = cut(near_rows(prints.select(prints.fp_own.alias("fp"))))  # a table, so that the join below may split a fingerprint with many rows
     return prints.join(near.withColumnRenamed("fp", "fp_own"), "fp_own").drop("fp_own")
 
 

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from itertools import combinations
-from math import pi
+from math import isqrt, pi
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import hex64
+from tarnwick.llm.common import cut, hex64
 
-#: At most so many ranges of ids; their first rows are broadcast, so that is at most some 2 MB.
-MOST_CELLS = 65_536
-ROWS_A_CELL = 2_000
+#: Ranges of ids: about one for so many rows, at most so many (their bounds are sent with the plan, some 3 MB), cut by a sample of so many rows a range.
+ROWS_A_CELL, MOST_CELLS, SAMPLED = 2_000, 65_536, 16
 
 
 def text_key(text: Column) -> list[Column]:
@@ -27,22 +27,24 @@ def fingerprints(texts: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
     bits. A term weighs as often as it occurs and votes with that weight for each bit that is set
     and against each that is not; a bit of the fingerprint is set if its sum is positive. Texts
     without words have fingerprint zero. Two votes share a long (32 bits each), so 32 sums do for
-    64 bits; copies of a text vote alike, so that meeting in one group changes nothing.
+    64 bits. Copies of a text vote alike, so that meeting in one group changes nothing; they are summed within a partition only, so a sum
+    stays below the shingles of one partition and no lane overflows, and a text that is common everywhere is no hot group.
     """
-    words = texts.select(*keys, F.array_remove(F.split(F.lower(F.coalesce(text_col, F.lit(""))), r"[\x20\x09-\x0D]+"), "").alias("w"))
+    grouped = [*keys, "part"]
+    words = texts.select(*keys, F.spark_partition_id().alias("part"), F.array_remove(F.split(F.lower(F.coalesce(text_col, F.lit(""))), r"[\x20\x09-\x0D]+"), "").alias("w"))
     size = F.size("w")
     grams = F.when(size >= 3, F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(size, F.lit(1))).alias("b"), F.slice("w", 3, F.greatest(size, F.lit(1))).alias("c")))
-    terms = words.select(*keys, F.explode_outer(F.coalesce(grams, F.array(F.struct(F.array_join("w", " ").alias("a"), F.lit("").alias("b"), F.lit("").alias("c"))))).alias("t"))
-    hashed = terms.where("t.c is not null").select(*keys, F.when((F.col("t.a") == "") & (F.col("t.c") == ""), None).otherwise(F.xxhash64("t.a", "t.b", "t.c")).alias("h"))
+    terms = words.select(*grouped, F.explode_outer(F.coalesce(grams, F.array(F.struct(F.array_join("w", " ").alias("a"), F.lit("").alias("b"), F.lit("").alias("c"))))).alias("t"))
+    hashed = terms.where("t.c is not null").select(*grouped, F.when((F.col("t.a") == "") & (F.col("t.c") == ""), None).otherwise(F.xxhash64("t.a", "t.b", "t.c")).alias("h"))
     lane = 0x0000000100000001
     sums = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(lane))).alias(f"s{k}") for k in range(32)]
-    voted = hashed.groupBy(*keys).agg(F.count("h").alias("n"), *sums)
+    voted = hashed.groupBy(*grouped).agg(F.count("h").alias("n"), *sums)
     fp = F.lit(0).cast("long")
     for k in range(32):
         low, high = F.col(f"s{k}").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(f"s{k}", 32)
         for bit, votes in ((k, low), (k + 32, high)):
             fp = fp.bitwiseOR(F.when(2 * votes > F.col("n"), F.lit(1 << bit if bit < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
-    return voted.select(*keys, fp.alias("fp"))
+    return voted.select(*keys, fp.alias("fp")).groupBy(*keys).agg(F.min("fp").alias("fp"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -87,29 +89,47 @@ def _union(mask: list[int], pick: tuple[int, ...]) -> Column:
     return F.lit(m - (1 << 64) if m >> 63 else m).cast("long")
 
 
+def _cell(rows: DataFrame, cells: int) -> Column:
+    """Which of about `cells` ranges the row (id, h) falls in. Bounds are quantiles of a bounded sample, so outlying ids don't crowd the others."""
+    n = max(1, rows.count())
+    sample = rows.select("id", "h").where((F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)) < SAMPLED * cells) & F.col("id").isNotNull())
+    tiles = sample.withColumn("tile", F.ntile(cells).over(Window.orderBy("id", "h")))  # a window over some SAMPLED * MOST_CELLS small rows at most
+    bounds = sorted({(r.b.id, r.b.h) for r in tiles.groupBy("tile").agg(F.min(F.struct("id", "h")).alias("b")).collect()})[1:]
+    if not bounds:
+        return F.lit(0).cast("long")
+    # Two levels of about the square root of the bounds each: what lies at or below the key is counted in the one, then in one part of the other.
+    step = isqrt(len(bounds)) + 1
+    kind = rows.schema["id"].dataType.simpleString()
+    parts = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    sent = lambda some, shape: F.from_json(F.lit(json.dumps(some, default=str)), shape)
+    one = lambda b: {"id": b[0], "h": b[1]}
+    tops = sent([one(p[0]) for p in parts], f"array<struct<id:{kind},h:bigint>>")
+    inner = sent([[one(b) for b in p] for p in parts], f"array<array<struct<id:{kind},h:bigint>>>")
+    key = F.struct("id", "h")
+    below = lambda some: F.size(F.filter(some, lambda b: b <= key))
+    top = below(tops)
+    return F.when(top == 0, 0).otherwise((top - 1) * step + below(F.element_at(inner, F.greatest(top, F.lit(1))))).cast("long")
+
+
 def with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text, next_text): each row with the text of the row after it by ascending id, the last with the first's.
 
     Rows without id come first, in no order of meaning but the same each time; equal ids go by a hash
-    of the text. Ids are cut into ranges; a window runs inside each range, which also gets a stub of
+    of the text. Ids (of any type that sorts) are cut into ranges; a window runs inside each range, which also gets a stub of
     the first row of the next range, so that no window holds the whole table.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    lo, hi, n = rows.agg(F.min("id"), F.max("id"), F.count("*")).first()
-    cells = max(1, min(MOST_CELLS, n // ROWS_A_CELL))
-    lo, hi = (0, 0) if lo is None else (lo, hi)
-    scale = cells / (float(hi) - float(lo) + 1.0)
-    cell = F.when(F.col("id").isNull(), -1 - F.pmod(F.xxhash64("text"), F.lit(cells))).otherwise(
-        F.least(F.lit(cells - 1), F.floor((F.col("id").cast("double") - F.lit(float(lo))) * F.lit(scale)))
-    )
-    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("cell", cell.cast("long"))
-    firsts = rows.groupBy("cell").agg(F.min(F.struct(F.coalesce("id", F.lit(0)).alias("id"), "h")).alias("first"))
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    cells = max(1, min(MOST_CELLS, rows.count() // ROWS_A_CELL))
+    cell = F.when(F.col("id").isNull(), -1 - F.pmod(F.col("h"), F.lit(cells))).otherwise(_cell(rows, cells))
+    rows = rows.withColumn("cell", cell.cast("long"))
+    firsts = rows.groupBy("cell").agg(F.min(F.struct("id", "h")).alias("first"))
     before = Window.orderBy("cell")  # at most 2 * MOST_CELLS rows
     ring = firsts.select(
         "first.id", "first.h", F.col("cell").alias("of"),
         F.coalesce(F.lag("cell").over(before), F.max("cell").over(before.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("cell"),
     )
-    stubs = rows.withColumnRenamed("cell", "of").withColumn("id", F.coalesce("id", F.lit(0))).join(F.broadcast(ring), ["id", "h", "of"])
+    same = [F.col("r.id").eqNullSafe(F.col("f.id")), F.col("r.h") == F.col("f.h"), F.col("r.of") == F.col("f.of")]
+    stubs = rows.withColumnRenamed("cell", "of").alias("r").join(F.broadcast(ring).alias("f"), same).select("r.id", "r.text", "r.h", "f.cell")
     both = rows.withColumn("stub", F.lit(0)).unionByName(stubs.select("id", "text", "h", "cell", F.lit(1).alias("stub")))
     order = Window.partitionBy("cell").orderBy("stub", "id", "h", "text")
     return both.withColumn("next_text", F.lead("text").over(order)).where("stub = 0").select("id", "text", "next_text")
@@ -121,7 +141,8 @@ def edited_prints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The edited text has its last floor(n_chars / share) code points replaced by the first as many of the
     next row's text (all, if fewer). near_rows counts the other rows whose fingerprint is within
     `radius` bits. Null texts count as empty; an empty table gives an empty result; repeated rows
-    come back as often as they came; other columns are not looked at.
+    come back as often as they came; other columns are not looked at, whatever their names. Very long texts are taken whole;
+    equal ids (ties) follow each other by a hash of their texts.
     """
     rows = with_next(df, id_col, text_col)
     n = F.char_length("text")
@@ -132,7 +153,7 @@ def edited_prints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.array(*text_key(F.col("text"))).alias("own"), F.array(*text_key(F.col("edited"))).alias("edit"), F.array(*text_key(F.col("next_text"))).alias("next"),
     )
     texts = rows.select(F.explode(F.array("text", "edited")).alias("t")).select("t", *[k.alias(f"k{i}") for i, k in enumerate(text_key(F.col("t")))])
-    prints = fingerprints(texts, "t", ["k0", "k1"])
+    prints = cut(fingerprints(texts, "t", ["k0", "k1"]))  # a table, so that the joins below may split a text with many copies
     for role in ("own", "edit", "next"):
         meta = meta.withColumn("k0", F.col(role)[0]).withColumn("k1", F.col(role)[1]).join(prints.withColumnRenamed("fp", f"fp_{role}"), ["k0", "k1"]).drop("k0", "k1", role)
     return meta.select(
@@ -142,7 +163,10 @@ def edited_prints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def near_rows(fps: DataFrame, radius: int = 3) -> DataFrame:
-    """(fp, near_rows) for each distinct fp: how many other rows lie within the radius, copies included."""
+    """(fp, near_rows) for each distinct fp: how many other rows lie within the radius, copies included.
+
+    Pairs are of distinct values, of which one has at most some 43,700 within 3 bits, however many rows share them.
+    """
     counts = fps.where("fp is not null").groupBy("fp").agg(F.count("*").alias("n"))
     pairs = neighbours(counts, radius)
     both = pairs.select(F.col("a").alias("fp"), F.col("b").alias("other")).union(pairs.select(F.col("b").alias("fp"), F.col("a").alias("other")))

@@ -420,6 +420,29 @@ def test_block_tables_find_all_neighbours(spark):
     assert set(got) == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_next_rows_of_uneven_and_text_ids(spark, kind, monkeypatch):
+    """An outlying id, repeated ids, null ids, ids as text; small ranges, so that there are many."""
+    from tarnwick.llm import simhash_index
+
+    monkeypatch.setattr(simhash_index, "ROWS_A_CELL", 10)
+    ids = [*range(300), *([7] * 40), -(2**62), 2**62, None, None]
+    rows = [(i if kind == "long" or i is None else f"n{i}", f"text {n}") for n, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(5)
+    got = {r.text: r.next_text for r in simhash_index.with_next(df, "doc_id", "text").collect()}
+    order, at = [], "text 0" if kind == "long" else next(iter(got))
+    for _ in rows:
+        order.append(at)
+        at = got[at]
+    assert len(set(order)) == len(rows) and at == order[0]
+    place = {t: i for i, t in rows}
+    falls = 0  # the ring of ids rises but once
+    for a, b in zip(order, order[1:] + order[:1], strict=True):
+        x, y = place[a], place[b]
+        falls += (y is None and x is not None) or (x is not None and y is not None and x > y)
+    assert falls == 1
+
+
 def test_fingerprints_awkward_rows(spark, odd_docs):
     from tarnwick.llm.simhash_index import edited_prints
 
