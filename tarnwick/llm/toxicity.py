@@ -18,7 +18,7 @@ from tarnwick.llm.simhash_dedup import _word_blocks
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 BUCKETS = 1 << 22
-#: Rows that the classifier is fitted on, at most: confirmed toxic ones, unlabelled ones. Features kept, at most.
+#: Defaults of fit(): rows that the classifier is fitted on, at most (confirmed toxic ones, unlabelled ones), and features kept, at most. None takes all.
 MOST_POSITIVE, MOST_UNLABELLED, MOST_FEATURES = 10_000, 20_000, 4_096
 _EDGE = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 128))
 
@@ -121,23 +121,42 @@ def learn(positive: list[np.ndarray], unlabelled: list[np.ndarray], n_features:
     return parameters[:-1], float(parameters[-1])
 
 
-def chosen(counts: list[tuple[int, int, int]], n: int, m: int, most: int = MOST_FEATURES, least: float = 4.0, purest: int = 20) -> tuple[np.ndarray, float]:
-    """Buckets of (bucket, in positive, in unlabelled) that stand out among positive rows, the most telling first cut to `most`; and the share of
-    unlabelled rows that are positive: what the `purest` most telling buckets have there against what they have among positive rows."""
-    if not counts:
-        return np.zeros(0, np.int64), 1.0
-    bucket, p, u = np.array(counts, np.int64).T
-    a, b = p / max(n, 1), u / max(m, 1)
-    pooled = (p + u) / max(n + m, 1)
-    z = (a - b) / np.sqrt(np.maximum(pooled * (1 - pooled) * (1 / max(n, 1) + 1 / max(m, 1)), 1e-12))
-    order = np.lexsort((bucket, -z))
-    order = order[((z >= least) & (a >= 2 * b))[order]]
-    top = order[:purest]
-    share = float(b[top].sum() / a[top].sum()) if len(top) else 1.0
-    return np.sort(bucket[order[:most]]), share
+def chosen(each: DataFrame, n: int, m: int, most: int | None = MOST_FEATURES, least: float = 4.0, purest: int = 20) -> tuple[np.ndarray, float]:
+    """Buckets of each(bucket, pos, unl) that stand out among the n positive rows against the m unlabelled ones, the `most` most telling; and the share of
+    unlabelled rows that are positive: what the `purest` most telling buckets have there against what they have among positive rows.
 
+    Spark counts, ranks and cuts; the driver receives the kept ones.
+    """
+    a, b = F.col("pos") / n, F.col("unl") / m
+    pooled = (F.col("pos") + F.col("unl")) / (n + m)
+    z = (a - b) / F.sqrt(F.greatest(pooled * (1 - pooled) * (1 / n + 1 / m), F.lit(1e-12)))
+    ranked = each.where(F.col("pos") >= 3).select("bucket", a.alias("a"), b.alias("b"), z.alias("z")).where((F.col("z") >= least) & (F.col("a") >= 2 * F.col("b"))).orderBy(F.desc("z"), "bucket")
+    rows = (ranked if most is None else ranked.limit(most)).collect()
+    top = rows[:purest]
+    share = sum(r.b for r in top) / sum(r.a for r in top) if top else 1.0
+    return np.sort(np.array([r.bucket for r in rows], np.int64)), share
+
+
+def gathered(rows: DataFrame, kept: np.ndarray) -> dict[int, list[np.ndarray]]:
+    """Positions in `kept` of each row's buckets, by p; they come packed, four bytes a position, some rows at a time."""
+
+    def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [_positions(np.asarray(x, np.int64), kept).astype("<i4") for x in frame.found]
+            yield pd.DataFrame({"p": [frame.p.to_numpy("i1").tobytes()], "sizes": [np.array([len(x) for x in found], "<i4").tobytes()], "flat": [np.concatenate(found).tobytes() if found else b""]})
+
+    sets: dict[int, list[np.ndarray]] = {0: [], 1: []}
+    for r in rows.select("p", "found").mapInPandas(packed, "p binary, sizes binary, flat binary").collect():
+        parts = np.split(np.frombuffer(r.flat, "<i4").astype(np.int64), np.cumsum(np.frombuffer(r.sizes, "<i4"))[:-1]) if r.p else []
+        for p, x in zip(np.frombuffer(r.p, "i1"), parts, strict=True):
+            sets[int(p)].append(x)
+    return {p: sorted(x, key=lambda v: (len(v), v.tobytes())) for p, x in sets.items()}
 
-def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+
+def fit(
+    df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    most_positive: int | None = MOST_POSITIVE, most_unlabelled: int | None = MOST_UNLABELLED, most_features: int | None = MOST_FEATURES,
+) -> Model:
     """A model from confirmed toxic rows and rows taken as unlabelled, none of them in the held-out fold.
 
     Unlabelled rows are any rows but the confirmed ones' duplicates of id, whatever their label says; the prior is the share of toxic rows among the labelled, or what telling words say of the
@@ -153,24 +172,22 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
         return Model(np.zeros(0, np.int64), np.zeros(0), -4.0 if not n_toxic else 4.0)
     prior = n_toxic / n_known
     h = F.pmod(F.xxhash64("_id"), F.lit(1 << 20))
-    share = lambda n, most: int((1 << 20) * min(1.0, most / max(n, 1)))
+    share = lambda n, most: 1 << 20 if most is None else int((1 << 20) * min(1.0, most / max(n, 1)))
     drawn = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_id").isNotNull() & (fold != HELD_OUT))
-    confirmed = known.where("label = 1").where(h < share(n_toxic, MOST_POSITIVE)).select("_id")
-    # ids of a bounded set of rows: at most about MOST_POSITIVE of 8 bytes
-    toxic = drawn.join(F.broadcast(confirmed), "_id").withColumn("p", F.lit(1))
-    other = drawn.where(F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(1 << 20)) < share(n_rows, MOST_UNLABELLED)).withColumn("p", F.lit(0))
+    confirmed = known.where("label = 1").where(h < share(n_toxic, most_positive)).select("_id")
+    # ids of a bounded set of rows, 8 bytes each, unless the caller lifts the bound
+    toxic = drawn.join(confirmed if most_positive is None else F.broadcast(confirmed), "_id").withColumn("p", F.lit(1))
+    other = drawn.where(F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(1 << 20)) < share(n_rows, most_unlabelled)).withColumn("p", F.lit(0))
     rows = cut(toxic.unionByName(other).select("p", features_column(F.col("_text")).alias("found")))
     sizes = dict(rows.groupBy("p").count().collect())
     n, m = sizes.get(1, 0), sizes.get(0, 0)
     if not n or not m:
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))))
     each = rows.select("p", F.explode("found").alias("bucket")).groupBy("bucket").agg(F.sum("p").alias("pos"), F.sum(1 - F.col("p")).alias("unl"))
-    kept, share_seen = chosen([tuple(r) for r in each.where(F.col("pos") >= 3).where(F.col("pos") * m >= F.col("unl") * n * 2).collect()], n, m)
+    kept, share_seen = chosen(each, n, m, most_features)
     if not len(kept):
         return Model(kept, np.zeros(0), float(np.log(prior / (1 - prior))))
-    sets: dict[int, list[np.ndarray]] = {0: [], 1: []}
-    for p, found in rows.select("p", selected(kept)("found")).orderBy("p").collect():
-        sets[p].append(np.array(found, np.int64))
+    sets = gathered(rows, kept)
     prior = min(0.9, max(1e-4, min(prior, share_seen)))
     weights, bias = learn(sets[1], sets[0], len(kept), prior)
     return Model(kept, weights, bias)
@@ -190,14 +207,6 @@ def _positions(found: np.ndarray, kept: np.ndarray) -> np.ndarray:
     return at[kept[at] == found] if len(kept) else np.zeros(0, np.int64)
 
 
-def selected(kept: np.ndarray):
-    @F.pandas_udf("array<long>")
-    def made(found: pd.Series) -> pd.Series:
-        return pd.Series([_positions(np.asarray(x, np.int64), kept) for x in found], dtype=object)
-
-    return made
-
-
 def scored(text: Column, model: Model) -> Column:
     @F.pandas_udf("double")
     def made(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -212,8 +221,8 @@ def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """(id, held_out, score, predicted) for each row of df, learnt from labels outside the held-out fold.
 
     Null and empty texts have no features and get the score of the bias alone; null ids are never learnt from and count as not held
-    out; repeated rows come back as often as they came; an empty table gives an empty result;
-    without confirmed toxic rows all scores are near 0. Other columns are not looked at.
+    out; repeated rows come back as often as they came; an empty table gives an empty result; equal texts get equal scores (ties), very long
+    ones are read whole; without confirmed toxic rows all scores are near 0. Other columns are not looked at, whatever their names.
     """
     model = fit(df, labels, id_col, text_col, label_col)
     return df.select(F.col(id_col), (crc32_mod(F.col(id_col), FOLDS) == HELD_OUT).alias("held_out"), scored(F.col(text_col), model).alias("score")).withColumn(
