@@ -25,8 +25,10 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("ul ol dl table div section article aside main body header footer nav form blockquote td th li dd figure".split())
 
+#: What stands in a tag behind its name. As in a browser, a quote opens a value only behind an equals sign; elsewhere it is a sign like any other.
+_REST = r"""(?:=\s*"[^"]*(?:"|\Z)|=\s*'[^']*(?:'|\Z)|[^>=]+|=)*+"""
 _TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})(?=[\s/>]|\Z)(?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""",
+    rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})(?=[\s/>]|\Z){_REST}(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>{_REST})(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""",
     re.S | re.I,
 )
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for name in _RAW.split("|")}
@@ -51,6 +53,12 @@ _GROUP = {name: group for group, names in _NAMES.items() for name in names.split
 _HINT = re.compile(r"\b(cookies?|subscribe|newsletter|sponsored|advertisement|copyright|all rights reserved|share|log ?in|sign (?:in|up)|comments?|repl(?:y|ies)|read more|related|privacy)\b", re.I)
 
 
+#: Features of blocks in elements of other parts than the article, by tag or by name, and of those in an article's element.
+_OTHER_TAGS = frozenset(f"t:{x}" for x in "nav header footer aside form button label select".split()) | {"hidden"}
+_OTHER = _OTHER_TAGS | {f"g:{x}" for x in _NAMES if x not in ("main", "meta")}
+_BODY = frozenset({"t:article", "t:main"})
+
+
 @dataclass
 class Block:
     text: str
@@ -140,7 +148,8 @@ def blocks(page: str | None, known: frozenset[str] | None = None) -> list[Block]
                 if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
                     own.add("hidden")
                 elif name not in ("style", "aria-hidden"):
-                    for word in map(str.lower, _PIECES.findall(value)):
+                    # A name made of several words, as comments-policy, says less of what an article is than its tag does.
+                    for word in map(str.lower, value.split() if tag in ("article", "main") else _PIECES.findall(value)):
                         own.add(f"c:{word}")
                         if word in _GROUP:
                             own.add(f"g:{_GROUP[word]}")
@@ -197,29 +206,56 @@ class Field:
     weights: dict[str, float]
     pairs: list[list[float]]
 
-    def labels(self, found: list[Block]) -> list[int]:
-        """The most probable labels, by Viterbi."""
+    def labels(self, found: list[Block], among: list[bool] | None = None) -> list[int]:
+        """The most probable labels, by Viterbi; with `among`, those under which at least one block for which it holds is main."""
         if not found:
             return []
-        (a, b), (c, d) = self.pairs
         weights, known = self.weights, self.weights.__contains__
-        rest, main = 0.0, 0.0
-        back: list[tuple[bool, bool]] = []
+        # States are (label, whether a block of `among` has been main so far); without `among` it counts as so from the start.
+        states = [(0, True), (1, True)] if among is None else [(0, False), (1, False), (0, True), (1, True)]
+        score: dict[tuple[int, bool], float] = {}
+        back: list[dict[tuple[int, bool], tuple[int, bool]]] = []
         for i, own in enumerate(described(found)):
             gain = sum([weights[x] for x in own if known(x)])
-            if i:
-                r0, r1, m0, m1 = rest + a, main + c, rest + b, main + d
-                back.append((r1 > r0, m1 > m0))
-                rest, main = max(r0, r1), max(m0, m1)
-            main += gain
-        out = [int(main > rest)]
+            counts = among is not None and among[i]
+            now, came = {}, {}
+            for label, met in states:
+                if counts and label and not met:
+                    continue
+                before = states if not counts or not label else [(x, y) for x, y in states if y == met or met]
+                best = None
+                for x, y in before if i else []:
+                    if (x, y) in score and (y == met or (met and counts and label)):
+                        value = score[x, y] + self.pairs[x][label]
+                        if best is None or value > best:
+                            best, came[label, met] = value, (x, y)
+                if not i:
+                    best = 0.0 if met == (among is None or bool(counts and label)) else None
+                if best is not None:
+                    now[label, met] = best + gain * label
+            score = now
+            back.append(came)
+        ends = [s for s in score if s[1]]
+        if not ends:
+            return [0] * len(found)
+        at = max(ends, key=lambda s: (score[s], -s[0]))
+        out = []
         for came in reversed(back):
-            out.append(int(came[out[-1]]))
+            out.append(at[0])
+            at = came.get(at, at)
         return out[::-1]
 
     def extract(self, page: str | None) -> str:
-        found = blocks(page, self.known)
-        return " ".join(b.text for b, main in zip(found, self.labels(found), strict=True) if main)
+        """The main text. A page has one unless all of its blocks stand in elements of other parts: if no block seems main, the best that don't are taken."""
+        found = blocks(page, self.known | _OTHER | _BODY)
+        labels = self.labels(found)
+        if found and not any(labels):
+            free = [not b.above & _OTHER for b in found]
+            if not any(free):
+                free = [bool(b.above & _BODY) and not b.above & _OTHER_TAGS for b in found]
+            if any(free):
+                labels = self.labels(found, free)
+        return " ".join(b.text for b, main in zip(found, labels, strict=True) if main)
 
     def __post_init__(self) -> None:
         self.known = frozenset(self.weights)
@@ -291,7 +327,8 @@ def extract_main(df: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     `labelled` has columns html and main (blocks joined by one space); at most MOST_LABELLED rows of it are used, and without it
     the field is trained on generated pages. Pages are then read one by one in Python workers: nothing is
     shuffled. Null and empty pages give an empty text, null ids and urls stay null, repeated rows come back
-    as often as they came, an empty table gives an empty result, and other columns are not looked at.
+    as often as they came (equal pages alike), very long pages are read whole, an empty table gives an empty result, and other columns are not
+    looked at, whatever their names.
     """
     if labelled is None:
         pages = labelled_pages()

@@ -32,3 +32,15 @@ def test_many_unclosed_elements_take_linear_time():
     start = time.monotonic()
     assert shown("<object>word " * 100_000).count("word") == 100_000
     assert time.monotonic() - start < 20
+
+
+def test_pages_labelled_by_hand():
+    """54 layouts that the generator does not make; the figures are in the README."""
+    from tarnwick.llm.html_extract import train
+    from tarnwick.llm.html_pages import labelled_pages
+    from tests.llm.hand_pages import PAGES
+
+    field = train(labelled_pages())
+    got = [(field.extract(page), main) for page, main in PAGES]
+    assert sum(a == b for a, b in got) >= 50
+    assert all(a for a, b in got if b)
