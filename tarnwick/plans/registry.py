@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tarnwick.plans import postings, reports, texts
+from tarnwick.plans import matching, postings, reports, texts
 
 
 def queries() -> dict:
-    return reports.QUERIES | texts.QUERIES | postings.QUERIES
+    return reports.QUERIES | texts.QUERIES | postings.QUERIES | matching.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return reports.SQL | texts.SQL | postings.SQL
+    return reports.SQL | texts.SQL | postings.SQL | matching.SQL
