@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-RANGE = r"\$([0-9]+(?:,[0-9]+)*)(k?) ?- ?\$?([0-9]+(?:,[0-9]+)*)(k?)"
+#: Fixed pattern of a range of pay: an amount, its k, and the same again.
+RANGE = r"\$([0-9]+(?:,[0-9]+)?(?:\.[0-9]+)?)([kK]?)\s*[-—–]\s*\$?([0-9]+(?:,[0-9]+)?(?:\.[0-9]+)?)([kK]?)"
 
 
 def age_hours(day: Column, as_of: Column) -> Column:
@@ -28,13 +29,17 @@ def freshness(hours: Column) -> Column:
 
 
 def salary(text: Column, hourly: int = 350, monthly: int = 30_000, low: int = 1_000, high: int = 700_000) -> Column:
-    """Struct (interval, least, most) of the first '$a - $b'; a k on either side scales both; null if out of bounds."""
-    part = lambda n: F.regexp_extract(F.lower(text), RANGE, n)
-    scale = F.when((part(2) == "k") | (part(4) == "k"), F.lit(1000.0)).otherwise(1.0)
-    amount = lambda n: F.when(part(n) != "", F.regexp_replace(part(n), ",", "").cast("double"))
+    """Struct (interval, least, most, annual) of the first '$a - $b'; null if there is none or it is out of bounds.
+
+    Amounts are cut to whole ones; a k on either side scales both, whatever their size. The least amount says what the interval is; a range whose two
+    ends lie on different sides of an interval's limit gives nothing, and both ends must be within the bounds by the year.
+    """
+    part = lambda n: F.regexp_extract(text, RANGE, n)
+    scale = F.when((F.lower(part(2)) == "k") | (F.lower(part(4)) == "k"), 1000.0).otherwise(1.0)
+    amount = lambda n: F.floor(F.regexp_replace(part(n), ",", "").try_cast("double")).cast("double") * scale
     a, b = amount(1), amount(3)
-    # a k scales what is below a thousand
-    a, b = (F.when(x < 1000, x * scale).otherwise(x) for x in (a, b))
     interval = F.when(a < hourly, "hourly").when(a < monthly, "monthly").otherwise("yearly")
-    year = a * F.when(a < hourly, 2080).when(a < monthly, 12).otherwise(1)
-    return F.when((a < b) & year.between(low, high), F.struct(interval.alias("interval"), a.alias("least"), b.alias("most"), year.alias("annual")))
+    times = F.when(a < hourly, 2080).when(a < monthly, 12).otherwise(1)
+    same = F.when(a < hourly, b < hourly).when(a < monthly, b < monthly).otherwise(True)
+    ok = same & (b > 0) & (a * times).between(low, high) & (b * times).between(low, high) & (a < b)
+    return F.when(ok, F.struct(interval.alias("interval"), a.alias("least"), b.alias("most"), (a * times).alias("annual")))

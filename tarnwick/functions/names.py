@@ -50,7 +50,8 @@ def _without_brackets(text: Column) -> Column:
 def company_key(name: Column) -> Column:
     """Letters and digits of the name without brackets and any number of legal endings."""
     words = F.trim(F.regexp_replace(_without_brackets(folded(name)), "[^a-z0-9/]+", " "))
-    core = F.regexp_replace(words, rf"(?:\s*\b(?:{'|'.join(COMPANY_ENDINGS)})\.?)+$", "")
+    longest_first = "|".join(sorted(COMPANY_ENDINGS, key=lambda x: (-len(x), x)))  # so that no turn of the possessive group needs another choice
+    core = F.regexp_replace(words, rf"(?:\s*+\b(?:{longest_first})\.?+)++$", "")
     return F.regexp_replace(core, "[^a-z0-9]", "")
 
 

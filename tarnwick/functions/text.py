@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html.entities
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,10 +32,24 @@ def singular(token: Column) -> Column:
     return out.when((F.char_length(token) > 4) & token.rlike(f"({'|'.join(PLURALS)})$"), F.regexp_replace(token, "s$", "")).otherwise(token)
 
 
+ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
+def unescaped(text: Column) -> Column:
+    """Character references with their semicolon decoded: the named ones of HTML 4, decimal and hexadecimal ones; unknown ones stay."""
+    named = F.from_json(F.lit(json.dumps({f"&{name};": chr(code) for name, code in html.entities.name2codepoint.items()} | {"&apos;": "'"})), "map<string,string>")
+    code = lambda e: F.when(e.rlike("^&#[xX]"), F.conv(F.regexp_extract(e, "([0-9a-fA-F]+);", 1), 16, 10)).when(e.startswith("&#"), F.regexp_extract(e, "([0-9]+)", 1)).try_cast("long")
+    valid = lambda n: (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+    sign = lambda n: F.when(valid(n), F.decode(F.unhex(F.lpad(F.hex(F.when(valid(n), n)), 8, "0")), "UTF-32"))
+    made = F.transform(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), lambda e: F.coalesce(F.element_at(named, e), sign(code(e)), e))
+    pieces = F.zip_with(F.split(text, ENTITY, -1), made, lambda gap, e: F.concat(gap, F.coalesce(e, F.lit(""))))
+    return F.when(text.contains("&"), F.array_join(pieces, "")).otherwise(text)
+
+
 def plain_html(page: Column) -> Column:
-    """Text of a page by removing scripts, styles and tags; white space one space; entities stay."""
-    bare = F.regexp_replace(page, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?s)<[^>]*>", " "), r"[ \t\r\n]+", " "))
+    """Text of a page: references decoded, scripts, styles and tags removed, what that leaves decoded again; white space one space."""
+    bare = F.regexp_replace(unescaped(page), r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
+    return F.trim(F.regexp_replace(unescaped(F.regexp_replace(bare, r"(?s)<[^>]*>", " ")), r"[ \t\r\n]+", " "))
 
 
 def csv_safe(cell: Column) -> Column:

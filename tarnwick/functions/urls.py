@@ -33,7 +33,17 @@ BOARDS = (
     ("finn", r"finn\.no/job/[^/?#]+[?&]finnkode=([0-9]+)", (1,)),
     ("talent", r"talent\.com/view\?id=([a-z0-9]+)", (1,)),
 )
-EMAIL = r"[a-z0-9._%+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}"
+#: Fixed parts of what looks like an address and is none: ends of file names, beginnings of mailboxes, hosts; words that a missing space glues to an address, and the ends they follow.
+FILE_ENDS = ("png", "jpg", "jpeg", "gif", "webp", "svg", "js", "css", "ico", "woff", "woff2", "ttf", "eot")
+NO_PERSON = ("noreply", "no-reply", "donotreply", "do-not-reply", "mailer-daemon", "privacy", "legal", "abuse")
+NO_DOMAIN = ("example.com", "example.org", "test.com", "sentry.io", "sentry-next.wixpress.com")
+TRAILING = ("please", "contact", "if", "we", "for", "to", "or", "and", "send", "reach", "do", "not", "apply", "email")
+COMMON_ENDS = ("com", "org", "net", "edu", "gov", "io", "ai", "co", "tech", "app", "dev", "uk", "de", "fr", "ca", "us")
+#: Patterns begin only where a run begins (lookbehind) and don't step back into it (++), so that long runs cost one pass and no stack.
+SPELLED_AT = r"(?i)(?<!\s)\s*+(?:\[at\]|\(at\)|\[@\]|\bat\b)\s*+"
+SPELLED_DOT = r"(?i)(?<!\s)\s*+(?:\[dot\]|\(dot\)|\bdot\b)\s*+"
+SPACED = r"(?<![a-zA-Z0-9._%+-])([a-zA-Z0-9._%+-]++)\s*+@\s*+([a-zA-Z0-9.-]+)\s*\.\s*+([a-zA-Z]{2,10})"
+EMAIL = r"(?<![a-zA-Z0-9._%+-])[a-zA-Z0-9._%+-]++@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,10}"
 #: Fixed mail hosts open to all, and names of shared mailboxes.
 FREE_MAIL = ("gmail.com", "outlook.com", "yahoo.com", "hotmail.com", "gmx.de")
 SHARED = ("hr", "jobs", "careers", "recruiting", "info", "contact", "hello", "support", "sales", "admin", "team")
@@ -60,9 +70,21 @@ def root_domain(name: Column) -> Column:
 
 
 def emails(text: Column) -> Column:
-    """Distinct addresses in order of appearance, in lower case; '(at)' and '[dot]' are read as signs."""
-    plain = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r" ?[\[(]at[\])] ?", "@"), r" ?[\[(]dot[\])] ?", ".")
-    return F.array_distinct(F.regexp_extract_all(plain, F.lit(EMAIL), F.lit(0)))
+    """Distinct addresses in order of appearance, in lower case; spelled-out and spaced signs are read as such, false addresses left out."""
+    plain = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), SPELLED_AT, "@"), SPELLED_DOT, ".")
+    raw = F.transform(F.regexp_extract_all(F.regexp_replace(plain, SPACED, "$1@$2.$3"), F.lit(EMAIL), F.lit(0)), F.lower)
+
+    def trimmed(e: Column) -> Column:
+        parts = F.split(e, r"\.")
+        glued = (F.size(parts) >= 3) & F.element_at(parts, -1).isin(*TRAILING) & F.element_at(parts, F.when(F.size(parts) >= 2, -2).otherwise(-1)).isin(*COMMON_ENDS)
+        return F.when(glued, F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), ".")).otherwise(e)
+
+    def real(e: Column) -> Column:
+        box, host_name = F.substring_index(e, "@", 1), F.substring_index(e, "@", -1)
+        false = e.rlike(rf"\.(?:{'|'.join(FILE_ENDS)})$") | box.rlike(rf"^(?:{'|'.join(NO_PERSON)})") | host_name.isin(*NO_DOMAIN)
+        return ~false & (F.char_length(box) >= 2) & (F.char_length(host_name) >= 4)
+
+    return F.array_distinct(F.filter(F.transform(raw, trimmed), real))
 
 
 def email_tier(address: Column) -> Column:

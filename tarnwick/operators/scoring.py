@@ -52,5 +52,5 @@ def adaptive_keep(df: DataFrame, score: str, order: list[Column], wanted: int =
 def quality(relevance: Column, fresh: Column, length: Column, has_email: Column, has_pay: Column, named: Column, boards: Column) -> Column:
     """Half the relevance, then points for age, length, address, pay, a real name and several boards; 0 to 100, half to even."""
     flag = lambda c, n: F.when(c, n).otherwise(0)
-    total = 0.5 * relevance + fresh + F.when(length >= 800, 10).when(length >= 300, 6).when(length > 0, 2).otherwise(0) + flag(has_email, 10) + flag(has_pay, 5) + flag(named, 5) + flag(boards >= 2, 3)
+    total = 0.5 * relevance + fresh + F.when(length >= 800, 10).when(length >= 250, 6).when(length >= 80, 2).otherwise(0) + flag(has_email, 10) + flag(has_pay, 5) + flag(named, 5) + flag(boards >= 2, 3)
     return F.least(F.lit(100), F.greatest(F.lit(0), F.bround(total, 0))).cast("int")

@@ -126,9 +126,14 @@ def skill_gap(s: SparkSession, d: str) -> DataFrame:
 
 
 def salary_extract(s: SparkSession, d: str) -> DataFrame:
-    text = F.concat(F.lit("pay $"), F.col("p_size").cast("string"), F.when(F.col("p_size") % 2 == 0, ",000").otherwise(""), F.lit(" - $"), (F.col("p_size") + 10).cast("string"), F.when(F.col("p_size") % 3 == 0, "k").otherwise(",000"))
+    """Ranges written in several ways: with and without thousands, k on one side, decimals, long dashes, ends on both sides of a limit."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    text = F.concat(
+        F.lit("pay $"), size.cast("string"), F.when(size % 2 == 0, ",000").when(key % 5 == 0, ".50").otherwise(""), F.when(key % 7 == 0, "K").otherwise(""),
+        F.when(key % 3 == 0, " – $").when(key % 4 == 0, "—").otherwise(" - $"), (size + 10).cast("string"), F.when(size % 3 == 0, "k").when(key % 11 == 0, "").otherwise(",000"),
+    )
     x = salary(text)
-    return table(s, d, "part").select("p_partkey", x["interval"].alias("interval"), x["least"].alias("least"), x["most"].alias("most"))
+    return table(s, d, "part").select("p_partkey", x["interval"].alias("interval"), x["least"].alias("least"), x["most"].alias("most"), x["annual"].alias("annual"))
 
 
 def fuzzy_match(s: SparkSession, d: str) -> DataFrame:
@@ -178,10 +183,15 @@ SQL = {
         SELECT user_id, CASE WHEN arg_max(event_type, (ts, event_id)) FILTER (event_type <> 'error') = 'purchase' THEN 'purchase' ELSE arg_max(event_type, (ts, event_id)) END AS state FROM e GROUP BY user_id""",
     "skill_gap": """WITH r AS (SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) AS skill, greatest(0.15, least(1.0, (100 - p_size * 2.0) / 100))::DECIMAL(10,4) AS w, p_brand FROM part)
         SELECT skill, round(sum(w)::DOUBLE, 2) AS weight, count(*) AS n, count(DISTINCT p_brand) AS n_owners FROM r GROUP BY skill ORDER BY weight DESC, n DESC, skill LIMIT 14""",
-    "salary_extract": """WITH v AS (SELECT p_partkey, p_size % 3 = 0 AS k, p_size * CASE WHEN p_size % 2 = 0 THEN 1000.0 WHEN p_size % 3 = 0 THEN 1000.0 ELSE 1.0 END::DOUBLE AS a, (p_size + 10) * 1000.0::DOUBLE AS b FROM part),
-        y AS (SELECT *, a * CASE WHEN a < 350 THEN 2080 WHEN a < 30000 THEN 12 ELSE 1 END AS annual FROM v)
-        SELECT p_partkey, CASE WHEN ok THEN CASE WHEN a < 350 THEN 'hourly' WHEN a < 30000 THEN 'monthly' ELSE 'yearly' END END AS interval, CASE WHEN ok THEN a END::DOUBLE AS least, CASE WHEN ok THEN b END::DOUBLE AS most
-        FROM (SELECT *, a < b AND annual BETWEEN 1000 AND 700000 AS ok FROM y)""",
+    "salary_extract": r"""WITH t AS (SELECT p_partkey, 'pay $' || p_size || CASE WHEN p_size % 2 = 0 THEN ',000' WHEN p_partkey % 5 = 0 THEN '.50' ELSE '' END || CASE WHEN p_partkey % 7 = 0 THEN 'K' ELSE '' END
+            || CASE WHEN p_partkey % 3 = 0 THEN ' – $' WHEN p_partkey % 4 = 0 THEN '—' ELSE ' - $' END || (p_size + 10) || CASE WHEN p_size % 3 = 0 THEN 'k' WHEN p_partkey % 11 = 0 THEN '' ELSE ',000' END AS text FROM part),
+        m AS (SELECT p_partkey, regexp_extract(text, '\$(\d+(?:,\d+)?(?:\.\d+)?)([kK]?)\s*[-—–]\s*(?:\$)?(\d+(?:,\d+)?(?:\.\d+)?)([kK]?)', ['a', 'ka', 'b', 'kb']) AS x FROM t),
+        v AS (SELECT p_partkey, floor(replace(x.a, ',', '')::DOUBLE) * f AS a, floor(replace(x.b, ',', '')::DOUBLE) * f AS b
+            FROM (SELECT *, CASE WHEN lower(x.ka) = 'k' OR lower(x.kb) = 'k' THEN 1000.0::DOUBLE ELSE 1.0 END AS f FROM m)),
+        y AS (SELECT *, CASE WHEN a < 350 THEN 'hourly' WHEN a < 30000 THEN 'monthly' ELSE 'yearly' END AS kind, a * CASE WHEN a < 350 THEN 2080 WHEN a < 30000 THEN 12 ELSE 1 END AS ya,
+            CASE WHEN a < 350 THEN CASE WHEN b < 350 THEN b * 2080 END WHEN a < 30000 THEN CASE WHEN b < 30000 THEN b * 12 END ELSE b END AS yb FROM v),
+        z AS (SELECT *, coalesce(yb > 0 AND ya BETWEEN 1000 AND 700000 AND yb BETWEEN 1000 AND 700000 AND ya < yb, false) AS ok FROM y)
+        SELECT p_partkey, CASE WHEN ok THEN kind END AS interval, CASE WHEN ok THEN a END AS least, CASE WHEN ok THEN b END AS most, CASE WHEN ok THEN ya END AS annual FROM z""",
     "fuzzy_match": """SELECT s_suppkey, arg_min(c_custkey, (gap, c_custkey)) AS c_custkey, min(gap) AS gap FROM (SELECT s_suppkey, c_custkey, round(abs(s_acctbal - c_acctbal), 2) AS gap
         FROM supplier JOIN customer ON s_nationkey = c_nationkey) WHERE gap <= 1000 GROUP BY s_suppkey""",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +17,10 @@ from tarnwick.streaming import events as streams
 QUERY = ("the", "that", "edtion", "thand", "ereren", "tionan")
 
 
-def _key() -> Column:
-    return F.md5(F.substring(T.cleaned(F.col("text")), 1, 120))
+def _key(most: int | None = None) -> Column:
+    """The whole cleaned text; its first `most` characters only where a rule says so."""
+    text = T.cleaned(F.col("text"))
+    return F.md5(text if most is None else F.substring(text, 1, most))
 
 
 def clean_tokens(s: SparkSession, d: str) -> DataFrame:
@@ -102,8 +106,11 @@ def merge_richest(s: SparkSession, d: str) -> DataFrame:
 
 
 def greedy_dedup(s: SparkSession, d: str) -> DataFrame:
-    rows = table(s, d, "documents").select("doc_id", _key().alias("block"), F.array(F.md5("text"), F.substring(_key(), 1, 8)).alias("keys"))
-    return entity.greedy_merge(rows, "block", "doc_id", "keys")
+    """Documents as postings with several keys: their whole text, and their first and last hundred words, so that rows meet across keys."""
+    words = F.filter(F.split(T.cleaned(F.coalesce("text", F.lit(""))), " "), lambda w: w != "")
+    part = lambda a: F.md5(F.array_join(a, " "))
+    keys = F.array(F.concat(F.lit("t:"), F.md5(F.coalesce("text", F.lit("")))), F.concat(F.lit("a:"), part(F.slice(words, 1, 100))), F.concat(F.lit("z:"), part(F.reverse(F.slice(F.reverse(words), 1, 100)))))
+    return entity.greedy_merge(table(s, d, "documents").select("doc_id", keys.alias("keys")), "doc_id", "keys")
 
 
 def intent_classify(s: SparkSession, d: str) -> DataFrame:
@@ -158,13 +165,26 @@ _CANON = r"""CASE WHEN regexp_extract(lower(trim(url)), 'indeed\.[a-z.]+/.*[?&]j
     WHEN regexp_extract(lower(trim(url)), 'linkedin\.com/jobs/view/(?:[^/?#]*-)?([0-9]+)', 1) <> '' THEN 'linkedin:' || regexp_extract(lower(trim(url)), 'linkedin\.com/jobs/view/(?:[^/?#]*-)?([0-9]+)', 1)
     WHEN regexp_extract(lower(trim(url)), '[?&]gh_jid=([0-9]+)', 1) <> '' THEN 'greenhouse:' || regexp_extract(lower(trim(url)), '[?&]gh_jid=([0-9]+)', 1)
     ELSE regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^[a-z]+://', ''), '^www\.', ''), '[?#].*$', ''), '/+$', '') END"""
-_EMAILS = r"list_distinct(regexp_extract_all(regexp_replace(regexp_replace(lower(coalesce(text, '')), ' ?[\[(]at[\])] ?', '@', 'g'), ' ?[\[(]dot[\])] ?', '.', 'g'), '[a-z0-9._%+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}'))"
+_SPELLED = r"regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(?i)\s*(?:\[at\]|\(at\)|\[@\]|\bat\b)\s*', '@', 'g'), '(?i)\s*(?:\[dot\]|\(dot\)|\bdot\b)\s*', '.', 'g'), '([a-zA-Z0-9._%+-]+)\s*@\s*([a-zA-Z0-9.-]+)\s*\.\s*([a-zA-Z]{2,10})', '\1@\2.\3', 'g')"
+_EMAILS = rf"""list_distinct(list_filter(list_transform(list_transform(regexp_extract_all({_SPELLED}, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{{2,10}}'), lambda e: lower(e)),
+    lambda e: CASE WHEN len(string_split(e, '.')) >= 3 AND list_contains({list(U.TRAILING)}, string_split(e, '.')[-1]) AND list_contains({list(U.COMMON_ENDS)}, string_split(e, '.')[-2]) THEN array_to_string(string_split(e, '.')[:-2], '.') ELSE e END),
+    lambda e: NOT regexp_matches(e, '\.(?:{"|".join(U.FILE_ENDS)})$') AND NOT regexp_matches(e, '^(?:{"|".join(U.NO_PERSON)})') AND NOT list_contains({list(U.NO_DOMAIN)}, regexp_replace(e, '^[^@]*@', '')) AND length(regexp_extract(e, '^[^@]*')) >= 2 AND length(regexp_replace(e, '^[^@]*@', '')) >= 4))"""
+_NAMED = "MAP {" + ", ".join(f"'&{name};': chr({code})" for name, code in name2codepoint.items()) + ", '&apos;': chr(39)}"
+_ENTITY = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
+def _entities(x: str) -> str:
+    code = "CASE WHEN e[3] IN ('x', 'X') THEN ('0x' || e[4:-2])::BIGINT ELSE e[3:-2]::BIGINT END"
+    made = f"CASE WHEN e[2] = '#' THEN CASE WHEN {code} > 0 AND {code} <= 1114111 AND NOT ({code} BETWEEN 55296 AND 57343) THEN chr(({code})::INT) ELSE e END ELSE coalesce({_NAMED}[e], e) END"
+    return f"array_to_string(list_transform(list_zip(string_split_regex({x}, '{_ENTITY}'), list_transform(regexp_extract_all({x}, '{_ENTITY}'), lambda e: {made})), lambda p: p[1] || coalesce(p[2], '')), '')"
+
+
 _GRAMS = f"""WITH t AS (SELECT item_id, {_TOKENS} AS t FROM benchmark), g AS (SELECT item_id, unnest(list_concat(t, list_transform(generate_series(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1]))) AS term FROM t),
     w AS (SELECT item_id, term, 1 + ln(count(*)) AS weight FROM g GROUP BY 1, 2)"""
-_QUALITY = "CAST(least(100, greatest(0, round_even(0.5::DOUBLE * (h * 100.0::DOUBLE / 6) + 6 + CASE WHEN l >= 800 THEN 10 WHEN l >= 300 THEN 6 WHEN l > 0 THEN 2 ELSE 0 END + {}, 0))) AS INTEGER)"
+_QUALITY = "CAST(least(100, greatest(0, round_even(0.5::DOUBLE * (h * 100.0::DOUBLE / 6) + 6 + CASE WHEN l >= 800 THEN 10 WHEN l >= 250 THEN 6 WHEN l >= 80 THEN 2 ELSE 0 END + {}, 0))) AS INTEGER)"
 _SCORED = f"""WITH s AS (SELECT doc_id, source, {_HITS} AS h, coalesce(length(text), 0) AS l, len({_EMAILS}) > 0 AS mail, coalesce(regexp_matches(text, '\\$[0-9]'), false) AS pay FROM documents),
     q AS (SELECT doc_id, {_QUALITY.format("CASE WHEN mail THEN 10 ELSE 0 END + CASE WHEN pay THEN 5 ELSE 0 END + CASE WHEN source <> 'src0' THEN 5 ELSE 0 END")} AS quality FROM s)"""
-_KEY = f"md5(substring({_CLEAN}, 1, 120))"
+_KEY = f"md5({_CLEAN})"
 _DAILY = "SELECT ts::DATE AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2"
 
 SQL = {
@@ -173,8 +193,8 @@ SQL = {
         WHEN length(x) > 4 AND regexp_matches(x, '(ers|ors|ists|ysts|ants|ents|ects)$') THEN regexp_replace(x, 's$', '') ELSE x END), ' ') AS stems FROM benchmark""",
     "canonical_urls": f"SELECT page_id, {_CANON} AS canonical, {_ROOT.format(_HOST)} AS domain FROM pages",
     "url_domain_counts": f"SELECT domain, count(*) AS n, count(DISTINCT canonical) AS n_urls FROM (SELECT {_CANON} AS canonical, {_ROOT.format(_HOST)} AS domain FROM pages) GROUP BY 1",
-    "html_to_text": r"""SELECT page_id, CAST(length(t) AS BIGINT) AS n, md5(t) AS digest FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'),
-        '(?s)<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS t FROM pages)""",
+    "html_to_text": rf"""SELECT page_id, CAST(length(t) AS BIGINT) AS n, md5(t) AS digest FROM (SELECT page_id, trim(regexp_replace({_entities("b")}, '[ \t\r\n]+', ' ', 'g')) AS t FROM (
+        SELECT page_id, regexp_replace(regexp_replace({_entities("html")}, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g') AS b FROM pages))""",
     "email_extract": f"""SELECT doc_id, email, {_ROOT.format("string_split(email, '@')[-1]")} AS domain, CASE WHEN list_contains(['gmail.com','outlook.com','yahoo.com','hotmail.com','gmx.de'], string_split(email, '@')[-1]) THEN 3
         WHEN list_contains(['hr','jobs','careers','recruiting','info','contact','hello','support','sales','admin','team'], string_split(email, '@')[1]) THEN 2 ELSE 1 END AS tier FROM (SELECT doc_id, unnest({_EMAILS}) AS email FROM documents)""",
     "ngram_tf": f"{_GRAMS} SELECT item_id, term, round(weight, 6) AS weight FROM w",

@@ -40,6 +40,37 @@ def test_query_equals_oracle(spark, con, name):
     assert not bad, bad[:3]
 
 
-def test_greedy_dedup_is_total(spark):
-    rows = registry.queries()["greedy_dedup"](spark, SF).collect()
-    assert all(r.cluster <= r.seq for r in rows) and len({r.seq for r in rows}) == len(rows)
+def _fold(rows):
+    seen, out = {}, {}
+    for seq, keys in sorted(rows):
+        cluster = next((seen[k] for k in keys if k in seen), seq)
+        for k in keys:
+            seen.setdefault(k, cluster)
+        out[seq] = cluster
+    return out
+
+
+def test_greedy_dedup_against_a_fold(spark):
+    import random
+
+    from tarnwick.operators import entity
+
+    rng = random.Random(5)
+    rows = [(i, [f"k{rng.randrange(60)}" for _ in range(rng.randrange(0, 4))]) for i in range(120)] + [(200 + i, ["k1", "k2"]) for i in range(20)]
+    got = {r.seq: r.cluster for r in entity.greedy_merge(spark.createDataFrame(rows, "seq long, keys array<string>"), "seq", "keys").collect()}
+    assert got == _fold(rows)
+
+
+def test_greedy_dedup_of_documents(spark):
+    import hashlib
+    import re
+
+    def keys(text):
+        md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+        kept = re.sub(r"[ \t\r\n]+", " ", re.sub(r"[^\w+#./ \t\r\n-]", " ", text.lower())).strip()
+        words = [w for w in kept.split(" ") if w]
+        return ["t:" + md5(text), "a:" + md5(" ".join(words[:100])), "z:" + md5(" ".join(words[-100:]))]
+
+    docs = {r.doc_id: keys(r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r.seq: r.cluster for r in registry.queries()["greedy_dedup"](spark, SF).collect()}
+    assert got == _fold(docs.items())

@@ -36,6 +36,50 @@ def test_mail(spark):
     assert _values(spark, mail.meeting_link, ["see https://x.zoom.us/j/123. ok", "none", None]) == ["https://x.zoom.us/j/123", None, None]
 
 
+def test_long_and_hostile_texts(spark):
+    from tarnwick.functions import urls
+
+    texts = ["a@b" + ".c" * 100_000, " " * 300_000 + "x", "re: " * 20_000 + "x", "inc " * 2_000 + "ltd", "w" * 1_000_000, "w" * 300_000 + "@firm.com"]
+    assert _values(spark, urls.emails, texts) == [[], [], [], [], [], ["w" * 300_000 + "@firm.com"]]
+    assert _values(spark, mail.subject_core, texts)[2] == "x"
+    assert _values(spark, names.company_key, texts)[3] == ""
+
+
+def test_addresses(spark):
+    from tarnwick.functions import urls
+
+    texts = ["Write to Jane.Doe [at] firm [dot] com or jobs@firm.co.uk.please", "noreply@firm.com a@firm.com x@y.png bb@example.com", "Bob @ firm . io, BOB@FIRM.IO", None]
+    assert _values(spark, urls.emails, texts) == [["jane.doe@firm.com", "jobs@firm.co.uk"], [], ["bob@firm.io"], []]
+
+
+def test_character_references(spark):
+    from tarnwick.functions import text
+
+    assert _values(spark, text.plain_html, ["<p>Fish &amp; chips &#8211; 5&#x20AC; &nosuch; &lt;b&gt;</p><script>x</script>", "&amp;amp; &#55555; &#0;", None]) == ["Fish & chips – 5€ &nosuch;", "& &#55555; &#0;", None]
+
+
+def test_pay_ranges(spark):
+    from tarnwick.functions.dates import salary
+
+    cases = ["$20 - $30", "$80k–120k", "$300 - $400", "$29,000 - $31,000", "$1,500.75—$2,000", "$90,000 - $120k", "$100 - $50", "pay", None]
+    want = [("hourly", 20.0, 30.0), ("yearly", 80000.0, 120000.0), None, None, ("monthly", 1500.0, 2000.0), None, None, None, None]
+    assert [r and tuple(r)[:3] for r in _values(spark, salary, cases)] == want
+
+
+def test_nordic_and_french_mail(spark):
+    assert _values(spark, mail.subject_core, ["SV: Réf: Antw: Automatic reply : Offer", "[list] VS: x"]) == ["offer", "x"]
+    assert _values(spark, mail.own_text, ["Tack!\nDen 3 maj 2024 skrev A B <a@b.c>:\nold", "Merci\n-- Message d'origine --\nold", "Hej\nFrån: A\nold"]) == ["Tack!", "Merci", "Hej"]
+    assert _values(spark, mail.meeting_link, ["join meet.google.com/abc-defg-hij."]) == ["https://meet.google.com/abc-defg-hij"]
+
+
+def test_merge_of_a_cluster(spark):
+    rows = [(1, 7, "short", "Entreprise (x)", ["A@b.co"], None, None, "Paris", 30.0, "1d ago", False, "one"), (2, 7, "a longer text", "Acme", ["a@b.co", "c@d.co"], "$5", None, "Lyon", 4.0, "4h ago", True, "two"), (3, 8, None, None, None, None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "seq long, cluster long, description string, company string, emails array<string>, salary string, direct string, place string, age_hours double, age_label string, easy boolean, site string")
+    got = {r.cluster: tuple(r)[1:] for r in entity.merge_cluster(df, "cluster", "seq").collect()}
+    assert got[7] == (1, 2, "a longer text", "Acme", "a@b.co,c@d.co", "$5", None, "Paris", 4.0, "4h ago", True, "one,two")
+    assert got[8] == (3, 1, "", "", "", None, None, None, None, None, False, "")
+
+
 def test_verdict_parts(spark):
     assert _values(spark, verdicts.amounts, ["$80k to EUR 90.000, 70,000", None]) == [[80000, 90000], []]
     assert _values(spark, lambda c: verdicts.pay_score(c, F.lit("")), ["120,000", "6000", "900", None]) == [4.5, 4.0, 3.0, 3.0]
