@@ -12,8 +12,10 @@ def _minimum(arcs: DataFrame) -> DataFrame:
     return arcs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
 
 
-def _digest(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one link up at most, and those that links lead to have none: each component is then a star around its root."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e"))
+    return ends.groupBy("e.x").agg(F.sum("e.up").alias("up"), F.max("e.down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty()
 
 
 def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
@@ -22,14 +24,15 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     Alternates large-star and small-star: each round links a node's larger (then smaller)
     neighbours to the smallest one, which halves path lengths. The hub of a large component
     is met by grouped minima (map-side combined) and by a join whose hot side Spark may split,
-    never by collecting a neighbourhood. Each round is cut to the shared folder; the driver sees
-    a count and a hash sum. Nulls and self-links are ignored. A run that has not converged after
+    never by collecting a neighbourhood. Each round is cut to the shared folder, and they end when all components are stars;
+    links always lead to a smaller node, so a star's root is its smallest. Nulls and self-links are ignored. A run that has not converged after
     `rounds` rounds raises rather than returning a partial result.
     """
     links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     now = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = _digest(now)
-    for _ in range(rounds if seen[0] else 0):
+    for _ in range(rounds):
+        if _stars(now):
+            break
         arcs = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = (
             arcs.join(_minimum(arcs), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -39,12 +42,8 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
         small = down.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v")))
         last, now = now, cut(small.where("u <> v").distinct())
         discard(last)
-        before, seen = seen, _digest(now)
-        if before == seen:
-            break
     else:
-        if seen[0]:
-            raise RuntimeError(f"components did not converge in {rounds} rounds")
+        raise RuntimeError(f"components did not converge in {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
