@@ -9,7 +9,7 @@ from math import isqrt, pi
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import cut, hex64
+from tarnwick.llm.common import hex64
 
 #: Ranges of ids: about one for so many rows, at most so many (their bounds are sent with the plan, some 3 MB), cut by a sample of so many rows a range.
 ROWS_A_CELL, MOST_CELLS, SAMPLED = 2_000, 65_536, 16
@@ -153,7 +153,7 @@ def edited_prints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.array(*text_key(F.col("text"))).alias("own"), F.array(*text_key(F.col("edited"))).alias("edit"), F.array(*text_key(F.col("next_text"))).alias("next"),
     )
     texts = rows.select(F.explode(F.array("text", "edited")).alias("t")).select("t", *[k.alias(f"k{i}") for i, k in enumerate(text_key(F.col("t")))])
-    prints = cut(fingerprints(texts, "t", ["k0", "k1"]))  # a table, so that the joins below may split a text with many copies
+    prints = fingerprints(texts, "t", ["k0", "k1"])  # in one job with the joins below, so that the texts are shuffled once for both
     for role in ("own", "edit", "next"):
         meta = meta.withColumn("k0", F.col(role)[0]).withColumn("k1", F.col(role)[1]).join(prints.withColumnRenamed("fp", f"fp_{role}"), ["k0", "k1"]).drop("k0", "k1", role)
     return meta.select(
