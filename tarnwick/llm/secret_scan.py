@@ -46,9 +46,8 @@ def _found(text: Column, no: int, kind: str) -> Column:
 
 
 def found_runs(text: Column) -> Column:
-    """What the patterns find in a text, by kind; null if nothing. The only step that reads texts."""
-    kinds = F.filter(F.array(*[_found(text, no, kind) for no, kind in enumerate(KINDS)]), lambda x: x.isNotNull())
-    return F.when(F.size(kinds) > 0, kinds)
+    """What the patterns find in a text, by kind; empty if nothing. The only step that reads texts."""
+    return F.filter(F.array(*[_found(text, no, kind) for no, kind in enumerate(KINDS)]), lambda x: x.isNotNull())
 
 
 def spans(texts: DataFrame, text_col: str = "text", scope: int = SCOPE) -> DataFrame:
@@ -152,7 +151,7 @@ def redact(df: DataFrame, text_col: str = "text", mark: str = "<secret>", scope:
     names = df.columns
     rows = cut(df.select(F.struct(*[F.col(f"`{x}`") for x in names]).alias("row"), found_runs(F.col(text_col)).alias("found")))
     keys = [k.alias(f"k{i}") for i, k in enumerate(text_key(F.col(f"row.`{text_col}`")))]
-    flagged = rows.where("found is not null").select("row", "found", *keys)
+    flagged = rows.where("size(found) > 0").select("row", "found", *keys)
     found = linked(flagged.select("k0", "k1", "found"), scope).where(F.col("kind") != KINDS.index("endpoint")).select("k0", "k1", "start", "stop")
     joined = flagged.drop("found").join(cut(_pieces(found)), ["k0", "k1"], "left")
     step = lambda chunk: lambda acc, x: F.struct(
@@ -163,4 +162,4 @@ def redact(df: DataFrame, text_col: str = "text", mark: str = "<secret>", scope:
     text = F.col(f"row.`{text_col}`")
     cleaned = F.when(F.col("cuts").isNull(), text).otherwise(F.array_join(F.transform(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), clean), ""))
     back = lambda d, column: d.select(*[(column if x == text_col else F.col(f"row.`{x}`")).alias(x) for x in names])
-    return back(rows.where("found is null"), text).unionByName(back(joined, cleaned))
+    return back(rows.where("size(found) = 0"), text).unionByName(back(joined, cleaned))
