@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tarnwick.plans import matching, postings, reports, rules, texts
+from tarnwick.plans import matching, postings, posts, reports, rules, texts
 
 
 def queries() -> dict:
-    return reports.QUERIES | texts.QUERIES | postings.QUERIES | matching.QUERIES | rules.QUERIES
+    return reports.QUERIES | texts.QUERIES | postings.QUERIES | matching.QUERIES | rules.QUERIES | posts.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return reports.SQL | texts.SQL | postings.SQL | matching.SQL | rules.SQL
+    return reports.SQL | texts.SQL | postings.SQL | matching.SQL | rules.SQL | posts.SQL
