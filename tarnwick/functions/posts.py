@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tarnwick.functions.names import folded
+from tarnwick.functions.relevance import SearchWords, core_words, search_classes, search_tokens
 
 #: Invisible characters, directives to a language model, and requests that show a reader's attention, each with its label.
 INVISIBLE = r"[\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2069}\x{feff}\x{e0000}-\x{e007f}]"
@@ -222,3 +223,35 @@ def rolling(seen: Column, new: Column, most: int = 50) -> Column:
 def thinness(source_words: Column, out_words: Column, least: int = 120, share: float = 0.6) -> Column:
     """The percentage of a CV's words that an output keeps, where it is too small; null for short sources and outputs that keep enough."""
     return F.when((source_words >= least) & (out_words < share * source_words), F.floor(100 * out_words / source_words).cast("int"))
+
+
+def strict_match(queries: list[str], title: Column, description: Column, url: Column, words: SearchWords) -> Column:
+    """Whether a posting of a feed answers one of the searches: the phrase or all telling words in the title, their like with the role, or the role with each telling word three times in the description."""
+    head, raw, classes, far = _low(title), search_tokens(title, words), search_classes(title, words), search_tokens(description, words)
+    out = F.lit(False)
+    for query in queries:
+        core = core_words(query, words)
+        if not core:
+            continue
+        telling, role = (core[:-1], core[-1]) if len(core) > 1 else (core, None)
+        every = lambda test: F.forall(F.array(*map(F.lit, telling)), test)
+        out = out | head.rlike(r"\b" + re.escape(query.lower().strip()) + r"\b") | every(lambda w: F.array_contains(raw, w))
+        if role:
+            alike = F.forall(F.array(*[F.lit(words.class_of(w)) for w in telling]), lambda c: F.array_contains(classes, c))
+            often = every(lambda w: F.size(F.filter(far, lambda x: x == w)) >= 3)
+            out = out | (F.array_contains(classes, words.class_of(role)) & (alike | often))
+    return (head != "") & (F.coalesce(url, F.lit("")) != "") & out
+
+
+def address_score(address: Column, named: Column, blocked: Column, routed: Column, hiring: tuple[str, ...], other: tuple[str, ...]) -> Column:
+    """Struct (confidence, recruitment, advice) of a mailbox: 50 for a named recruiter, 45 for a hiring mailbox, else 15, and 45 if its domain takes mail (`routed`, a column: nothing is looked up here)."""
+    low = F.lower(F.trim(F.coalesce(address, F.lit(""))))
+    box = F.substring_index(low, "@", 1)
+    bare = F.regexp_replace(box, r"[._\-+0-9]", "")
+    hires = bare.isin(*hiring) | F.exists(F.array(*map(F.lit, hiring)), lambda w: box.contains(w))
+    person = F.coalesce(named, F.lit(False))
+    wrong = ~low.contains("@") | F.coalesce(blocked, F.lit(False)) | box.isin(*other) | box.rlike(rf"^(?:{'|'.join(other)})[._-]") | ~F.coalesce(routed, F.lit(False))
+    confidence = F.when(wrong, 0).when(person, 95).when(hires, 90).otherwise(60)
+    fit = ~wrong & (person | hires)
+    advice = F.when(fit & (confidence >= 80), "send").when(confidence >= 50, "review").otherwise("do not send")
+    return F.struct(confidence.alias("confidence"), fit.alias("recruitment"), advice.alias("advice"))

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwick.functions import posts as Q
+from tarnwick.functions.relevance import SearchWords
 from tarnwick.operators import posts as O
+from tarnwick.operators import threads as T
 from tarnwick.plans.rules import _cases, _values
 from tarnwick.session import table
 
@@ -38,6 +40,18 @@ UNREAL = r"(?i)^(-?none-?|select|choose|--)$"
 LISTS = [(1, "that edtion", 20), (2, "tionan", 50), (3, "zzzz q", 0), (4, "  ", 95)]
 LATEST, SHOWN, TOP, FOUND = 150, 15, 75, 60
 
+FEEDS, WORDS = ["Flutter Developer", "golang"], SearchWords()
+ROWS = [
+    ("Flutter Developer", "x", "u"), ("Flutter lead", "x", "u"), ("Mobile Engineer", "flutter flutter and flutter", "u"), ("Mobile Engineer", "flutter flutter", "u"), ("Go guru", "x", "u"), ("Golang guru", "x", "u"), ("Go Engineer", "golang golang golang", "u"),
+    ("Flutter lead", "x", None), (None, "flutter", "u"), ("Cook", "flutter flutter flutter", "u"), ("Senior flutter programmer", "", "u"),
+]
+BOXES = [
+    ("hr@firm.com", None, False, True), ("ann@firm.com", True, False, True), ("ann@firm.com", False, None, True), ("info@firm.com", True, False, True), ("jobs.x@firm.com", None, None, False), ("jobs@firm.com", None, True, True), ("none", True, False, True),
+    (None, None, None, None), ("sales-eu@firm.com", True, False, True), ("j.o.b.s@firm.com", None, None, True),
+]
+HIRING, OTHER = ("hr", "jobs", "career", "recruit", "talent"), ("info", "support", "sales")
+AS_OF, DAYS, APPS = "2024-02-15 00:00:00", 3, 997
+
 
 def posting_guards(s: SparkSession, d: str) -> DataFrame:
     g = Q.guarded(F.col("text"))
@@ -152,6 +166,38 @@ def strongest_skills(s: SparkSession, d: str) -> DataFrame:
     return O.strongest(table(s, d, "part"), F.col("p_name"))
 
 
+def strict_feed(s: SparkSession, d: str) -> DataFrame:
+    return _cases(s, ROWS, "title string, text string, url string").select("no", Q.strict_match(FEEDS, F.col("title"), F.col("text"), F.col("url"), WORDS).alias("fits"))
+
+
+def address_scores(s: SparkSession, d: str) -> DataFrame:
+    a = Q.address_score(F.col("address"), F.col("named"), F.col("blocked"), F.col("routed"), HIRING, OTHER)
+    return _cases(s, BOXES, "address string, named boolean, blocked boolean, routed boolean").select("no", a["confidence"].alias("confidence"), a["recruitment"].alias("recruitment"), a["advice"].alias("advice"))
+
+
+def _messages(s: SparkSession, d: str) -> DataFrame:
+    """Events as messages about one of many applications."""
+    return table(s, d, "events").select((F.col("event_id") % APPS).alias("app"), "ts", "event_id", "event_type")
+
+
+def unanswered(s: SparkSession, d: str) -> DataFrame:
+    kind, n = F.col("event_type"), F.col("event_id")
+    return T.auto_closed(_messages(s, d), "app", "ts", (kind == "purchase") & (n % 5 != 0), kind == "signup", (kind == "error") & (n % 7 == 0), F.lit(AS_OF), DAYS)
+
+
+def app_threads(s: SparkSession, d: str) -> DataFrame:
+    m = _messages(s, d)
+    return T.threads(m.where("event_type <> 'signup'"), m.where("event_type = 'signup'"), "app", "ts", "event_id", F.col("event_type") == "error")
+
+
+def post_upserts(s: SparkSession, d: str) -> DataFrame:
+    """Suppliers as known posts; customers, two to a key, as a batch of posts."""
+    old = table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("title"), F.when(F.col("s_suppkey") % 3 != 0, F.col("s_name")).alias("text"), (F.col("s_suppkey") % 100).alias("fit"))
+    k = F.floor(F.col("c_custkey") / 2)
+    new = table(s, d, "customer").select(k.alias("id"), "c_custkey", F.when(k % 2 == 0, F.col("c_name")).otherwise("").alias("title"), F.when(k % 5 == 0, F.concat("c_name", "c_mktsegment")).alias("text"), (k % 70).alias("fit"))
+    return T.upserted(old, new, "id", "c_custkey", ["title"], "text", "fit")
+
+
 def _names(patterns: dict[str, str], x: str) -> str:
     each = ", ".join(f"CASE WHEN regexp_matches({x}, '{p.replace(chr(39), chr(39) * 2)}') THEN '{label}' END" for label, p in patterns.items())
     return f"array_to_string(list_filter([{each}], lambda z: z IS NOT NULL), ';')"
@@ -222,6 +268,19 @@ SQL = {
         WHERE score >= least AND (len(words) = 0 OR len(list_filter(words, lambda w: contains(said, w))) > 0) QUALIFY rank <= {SHOWN}""",
     "mail_counts": "SELECT user_id, count(*) FILTER (event_type = 'purchase') AS sent, count(*) FILTER (event_type = 'error') AS bounced, count(*) FILTER (event_id % 3 = 0) AS follow_ups FROM events GROUP BY 1",
     "opening_days": "SELECT user_id, CASE WHEN bool_or(ts::DATE = DATE '2024-01-10') THEN DATE '2024-01-10' ELSE max(ts::DATE) END AS day FROM events GROUP BY 1",
+    "strict_feed": f"""WITH a AS (SELECT no, url, lower(coalesce(title, '')) AS t, regexp_extract_all(lower(coalesce(title, '')), '[a-z]+') AS w, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS x FROM {_values(ROWS, "title text url", "VARCHAR VARCHAR VARCHAR")})
+        SELECT no, t <> '' AND coalesce(url, '') <> '' AND (list_contains(w, 'flutter') OR list_contains(w, 'golang') OR (list_has_any(w, ['developer', 'engineer', 'programmer']) AND len(list_filter(x, lambda z: z = 'flutter')) >= 3)) AS fits FROM a""",
+    "address_scores": f"""WITH a AS (SELECT *, lower(trim(coalesce(address, ''))) AS e, regexp_extract(lower(trim(coalesce(address, ''))), '^[^@]*') AS b FROM {_values(BOXES, "address named blocked routed", "VARCHAR BOOLEAN BOOLEAN BOOLEAN")}),
+        f AS (SELECT no, NOT contains(e, '@') OR coalesce(blocked, false) OR regexp_matches(b, '^(info|support|sales)([._-]|$)') OR NOT coalesce(routed, false) AS bad, coalesce(named, false) AS p,
+            regexp_matches(b, 'hr|jobs|career|recruit|talent') OR regexp_replace(b, '[._+0-9-]', '', 'g') IN ('hr', 'jobs', 'career', 'recruit', 'talent') AS h FROM a)
+        SELECT no, CASE WHEN bad THEN 0 WHEN p THEN 95 WHEN h THEN 90 ELSE 60 END AS confidence, NOT bad AND (p OR h) AS recruitment, CASE WHEN bad THEN 'do not send' WHEN p OR h THEN 'send' ELSE 'review' END AS advice FROM f""",
+    "unanswered": f"""WITH a AS (SELECT event_id % {APPS} AS app, max(ts) FILTER (event_type = 'purchase' AND event_id % 5 <> 0) AS last_follow_up, max(ts) FILTER (event_type = 'signup') AS noted, coalesce(bool_or(event_type = 'error' AND event_id % 7 = 0), false) AS alive FROM events GROUP BY 1)
+        SELECT app, last_follow_up, round_even(epoch_us(TIMESTAMP '{AS_OF}' - last_follow_up) / 86400e6, 1) AS days FROM a WHERE TIMESTAMP '{AS_OF}' - last_follow_up >= INTERVAL {DAYS} DAY AND NOT coalesce(noted >= last_follow_up, false) AND NOT alive""",
+    "app_threads": f"""WITH m AS (SELECT event_id % {APPS} AS app, * FROM events), k AS (SELECT * FROM m WHERE event_type <> 'signup' OR app NOT IN (SELECT app FROM m WHERE event_type = 'error'))
+        SELECT app, event_id, CASE WHEN event_type IN ('error', 'signup') THEN 'inbound' ELSE 'outbound' END AS direction, CAST(row_number() OVER (PARTITION BY app ORDER BY ts, event_id) AS INT) AS place FROM k""",
+    "post_upserts": """WITH n AS (SELECT c_custkey // 2 AS id, CASE WHEN (c_custkey // 2) % 2 = 0 THEN c_name END AS title, CASE WHEN (c_custkey // 2) % 5 = 0 THEN c_name || c_mktsegment END AS text, (c_custkey // 2) % 70 AS fit FROM customer WHERE c_custkey % 2 = 0)
+        SELECT coalesce(s_suppkey, id) AS id, coalesce(title, s_name) AS title, CASE WHEN length(coalesce(text, '')) > CASE WHEN s_suppkey % 3 <> 0 THEN length(s_name) ELSE 0 END THEN text WHEN s_suppkey % 3 <> 0 THEN s_name ELSE '' END AS text,
+        CASE WHEN s_suppkey IS NULL THEN CASE WHEN fit = 0 THEN 75 ELSE fit END ELSE greatest(s_suppkey % 100, coalesce(fit, 0)) END AS fit FROM supplier FULL JOIN n ON s_suppkey = id""",
     "strongest_skills": "SELECT p_name AS skill, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, skill LIMIT 8",
 }
 QUERIES = {name: globals()[name] for name in SQL}
