@@ -255,3 +255,34 @@ def address_score(address: Column, named: Column, blocked: Column, routed: Colum
     fit = ~wrong & (person | hires)
     advice = F.when(fit & (confidence >= 80), "send").when(confidence >= 50, "review").otherwise("do not send")
     return F.struct(confidence.alias("confidence"), fit.alias("recruitment"), advice.alias("advice"))
+
+
+def indian_pay(text: Column) -> Column:
+    """Struct (least, most) in rupees of a range in lakh (100,000) or crore (10,000,000); null if the text isn't one."""
+    range_ = r"(?i)^(\d+(?:\.\d+)?)\s*-\s*(\d+(?:\.\d+)?)\s*(Lacs|Lakh|Cr)"
+    clean = F.trim(text)
+    unit = F.when(F.lower(F.regexp_extract(clean, range_, 3)) == "cr", 1e7).otherwise(1e5)
+    part = lambda n: F.floor(F.regexp_extract(clean, range_, n).try_cast("double") * unit).cast("long")
+    return F.when(clean.rlike(range_), F.struct(part(1).alias("least"), part(2).alias("most")))
+
+
+def keyword_hits(text: Column, keywords: tuple[str, ...]) -> Column:
+    """How often the keywords stand in a text as whole words, all together."""
+    low = _low(text)
+    return sum((F.regexp_count(low, F.lit(rf"(?<!\w){re.escape(k.lower())}(?!\w)")) for k in keywords if k), F.lit(0))
+
+
+def span_months(y0: Column, m0: Column, y1: Column, m1: Column, present: Column, today: Column) -> Column:
+    """Months that a span of a CV covers, both ends counted, at least 1. Without an end 1, or 3 if only a year is known; without a start 0. An unknown month is January at the start and December at the end."""
+    open_ = F.coalesce(present, F.lit(False))
+    last_year, last_month = F.when(open_, F.year(today)).otherwise(y1), F.when(open_, F.month(today)).otherwise(F.coalesce(m1, F.lit(12)))
+    months = F.greatest(F.lit(1), (last_year - y0) * 12 + last_month - F.coalesce(m0, F.lit(1)) + 1)
+    return F.when(y0.isNull(), 0).when(~open_ & y1.isNull(), F.when(m0.isNull(), 3).otherwise(1)).otherwise(months)
+
+
+def found_in(query: Column, addresses: Column, mails: Column, fields: list[Column], emails_only: bool) -> Column:
+    """Whether a search stands in one of an application's addresses, its messages' names or subjects or, unless only mail is searched, its own fields."""
+    q = F.trim(F.lower(query))
+    among = lambda values: F.exists(F.coalesce(values, F.array().cast("array<string>")), lambda x: F.contains(F.lower(F.coalesce(x, F.lit(""))), q))
+    out = (F.coalesce(query, F.lit("")) == "") | among(addresses) | among(mails)
+    return F.coalesce(out if emails_only else out | among(F.array(*fields)), F.lit(False))

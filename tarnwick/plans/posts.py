@@ -50,6 +50,9 @@ BOXES = [
     (None, None, None, None), ("sales-eu@firm.com", True, False, True), ("j.o.b.s@firm.com", None, None, True),
 ]
 HIRING, OTHER = ("hr", "jobs", "career", "recruit", "talent"), ("info", "support", "sales")
+RUPEES = ["12-16 Lacs P.A.", "1-5 Cr", "2.5 - 3.25 lakh", "Not disclosed", "", None, "5 Lacs"]
+SPANS = [(2020, 3, 2021, 2, None), (2020, None, 2020, None, None), (2020, 5, None, None, True), (2019, None, None, None, None), (2019, 4, None, None, False), (None, None, 2020, 1, None), (2021, 6, 2020, 1, None), (2018, 11, 2019, None, None)]
+SPAN_TODAY, KEYWORDS = "2026-01-15", ("that", "edtion", "c++", "")
 AS_OF, DAYS, APPS = "2024-02-15 00:00:00", 3, 997
 
 
@@ -198,6 +201,27 @@ def post_upserts(s: SparkSession, d: str) -> DataFrame:
     return T.upserted(old, new, "id", "c_custkey", ["title"], "text", "fit")
 
 
+def rupee_ranges(s: SparkSession, d: str) -> DataFrame:
+    pay = Q.indian_pay(F.col("said"))
+    return _cases(s, RUPEES, "said string").select("no", pay["least"].alias("least"), pay["most"].alias("most"))
+
+
+def cv_span_months(s: SparkSession, d: str) -> DataFrame:
+    months = Q.span_months(*map(F.col, ("y0", "m0", "y1", "m1", "present")), F.lit(SPAN_TODAY).cast("date"))
+    return _cases(s, SPANS, "y0 int, m0 int, y1 int, m1 int, present boolean").select("no", months.alias("months"))
+
+
+def text_keyword_hits(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select("doc_id", Q.keyword_hits(F.col("text"), KEYWORDS).alias("hits"))
+
+
+def tracker_search(s: SparkSession, d: str) -> DataFrame:
+    """Parts as applications: type as an address, brand as a subject, name as a field; searched for the beginning of a brand and for a word of names."""
+    address, mail, own = F.array(F.concat("p_type", F.lit("@firm.com"))), F.array("p_brand", F.lit(None).cast("string")), [F.col("p_name")]
+    find = lambda q, only: Q.found_in(F.lit(q), address, mail, own, only)
+    return table(s, d, "part").select("p_partkey", find(" BRAND#1", False).alias("brand"), find("widget", False).alias("name"), find("widget", True).alias("mail"), find("economy@", True).alias("address"))
+
+
 def _names(patterns: dict[str, str], x: str) -> str:
     each = ", ".join(f"CASE WHEN regexp_matches({x}, '{p.replace(chr(39), chr(39) * 2)}') THEN '{label}' END" for label, p in patterns.items())
     return f"array_to_string(list_filter([{each}], lambda z: z IS NOT NULL), ';')"
@@ -281,6 +305,13 @@ SQL = {
     "post_upserts": """WITH n AS (SELECT c_custkey // 2 AS id, CASE WHEN (c_custkey // 2) % 2 = 0 THEN c_name END AS title, CASE WHEN (c_custkey // 2) % 5 = 0 THEN c_name || c_mktsegment END AS text, (c_custkey // 2) % 70 AS fit FROM customer WHERE c_custkey % 2 = 0)
         SELECT coalesce(s_suppkey, id) AS id, coalesce(title, s_name) AS title, CASE WHEN length(coalesce(text, '')) > CASE WHEN s_suppkey % 3 <> 0 THEN length(s_name) ELSE 0 END THEN text WHEN s_suppkey % 3 <> 0 THEN s_name ELSE '' END AS text,
         CASE WHEN s_suppkey IS NULL THEN CASE WHEN fit = 0 THEN 75 ELSE fit END ELSE greatest(s_suppkey % 100, coalesce(fit, 0)) END AS fit FROM supplier FULL JOIN n ON s_suppkey = id""",
+    "rupee_ranges": rf"""WITH a AS (SELECT no, trim(said) AS s FROM {_values(RUPEES, "said", "VARCHAR")}), b AS (SELECT no, TRY_CAST(trim(string_split(s, '-')[1]) AS DOUBLE) AS lo, TRY_CAST(regexp_extract(string_split(s, '-')[2], '^ *([0-9.]+)', 1) AS DOUBLE) AS hi,
+        CASE WHEN regexp_matches(s, '(?i)-\s*[0-9.]+\s*(lacs|lakh)') THEN 1e5 WHEN regexp_matches(s, '(?i)-\s*[0-9.]+\s*cr') THEN 1e7 END AS unit FROM a)
+        SELECT no, CAST(floor(lo * unit) AS BIGINT) AS least, CAST(floor(hi * unit) AS BIGINT) AS most FROM b""",
+    "cv_span_months": f"""SELECT no, CAST(CASE WHEN y0 IS NULL THEN 0 WHEN present THEN greatest(1, (2026 - y0) * 12 + 1 - coalesce(m0, 1) + 1) WHEN y1 IS NULL THEN CASE WHEN m0 IS NULL THEN 3 ELSE 1 END
+        ELSE greatest(1, (y1 - y0) * 12 + coalesce(m1, 12) - coalesce(m0, 1) + 1) END AS INT) AS months FROM {_values(SPANS, "y0 m0 y1 m1 present", "INT INT INT INT BOOLEAN")}""",
+    "text_keyword_hits": r"""SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9_]+'), lambda w: w IN ('that', 'edtion'))) + len(regexp_extract_all(lower(coalesce(text, '')), '\bc\+\+')) AS INT) AS hits FROM documents""",
+    "tracker_search": "SELECT p_partkey, contains(lower(p_brand), 'brand#1') AS brand, contains(lower(p_name), 'widget') AS name, false AS mail, p_type = 'ECONOMY' OR p_type LIKE '%ECONOMY' AS address FROM part",
     "strongest_skills": "SELECT p_name AS skill, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, skill LIMIT 8",
 }
 QUERIES = {name: globals()[name] for name in SQL}
