@@ -149,11 +149,17 @@ def without_chrome(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
+def _links_to_apply(text: Column) -> Column:
+    """Whether a link is one of APPLY_LINK. Each run of characters is tested once from its beginning, so long runs of links take linear time."""
+    runs = F.regexp_extract_all(text, F.lit(r"(?i)https?://[^\s]+"), F.lit(0))
+    return F.exists(runs, lambda u: u.rlike(APPLY_LINK.replace("(?i)", "(?i)^").replace("+(", "+?(")))
+
+
 def hiring_intent(text: Column, headline: Column, against: tuple[str, ...], signals: tuple[str, ...], words: tuple[str, ...]) -> Column:
     """Struct (hiring, signals) of a post: any pattern against rejects; a signal, a link to apply, a recruiter's headline or, failing those, a word accepts."""
     clean = without_chrome(text)
     said = F.lower(F.trim(F.concat_ws(" ", clean, F.coalesce(headline, F.lit("")))))
-    found = F.filter(F.array(*[F.nullif(F.trim(F.regexp_extract(said, p, 0)), F.lit("")) for p in signals], F.when(clean.rlike(APPLY_LINK), F.lit("direct_apply_link")), F.when(F.coalesce(headline, F.lit("")).rlike(HIRING_HEADLINE), F.lit("recruiter_author"))), lambda x: x.isNotNull())
+    found = F.filter(F.array(*[F.nullif(F.trim(F.regexp_extract(said, p, 0)), F.lit("")) for p in signals], F.when(_links_to_apply(clean), F.lit("direct_apply_link")), F.when(F.coalesce(headline, F.lit("")).rlike(HIRING_HEADLINE), F.lit("recruiter_author"))), lambda x: x.isNotNull())
     weak = F.lit(False)
     for w in words:
         weak = weak | said.contains(w)
