@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from tarnwick.llm.common import cut
 
-#: Texts are tokenized in groups of about this many bytes; words are remembered up to this many.
-GROUP = 4 << 20
-REMEMBERED = 1_000_000
+#: Texts are tokenized in groups of about this many bytes. Beyond so many words, those that have not come again are forgotten.
+GROUP = 1 << 20
+REMEMBERED = 300_000
 
 
 class WordTokens:
@@ -33,6 +33,26 @@ class WordTokens:
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.ends, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0
+        self.again = np.zeros(len(self.ends), bool)
+
+    def shrink(self) -> None:
+        """Keep the words that have come in more than one group since the last time, or none if they fill over half of what may be remembered."""
+        keep = np.flatnonzero(self.again[: len(self.known)])
+        if 2 * len(keep) > REMEMBERED:
+            keep = keep[:0]
+        words, (flat, upto) = list(self.known), self.ids(keep)
+        kept = [words[i] for i in keep]
+        self.forget()
+        self.known = dict(zip(kept, range(len(kept)), strict=True))
+        if kept:
+            self.flat, self.ends, self.used = flat, upto, len(flat)
+            self.again = np.zeros(len(upto), bool)
+
+    def ids(self, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words with these numbers, one after the other, and where each begins and the last one ends."""
+        first, size = self.ends[where], self.ends[where + 1] - self.ends[where]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        return self.flat[np.repeat(first - upto[:-1], size) + np.arange(upto[-1])], upto
 
     def learn(self, fresh: list[str]) -> None:
         for i in range(0, len(fresh), 10_000):
@@ -42,7 +62,7 @@ class WordTokens:
             while self.used + len(new) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
             while n + len(some) + 1 > len(self.ends):
-                self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+                self.ends, self.again = (np.concatenate([x, np.zeros_like(x)]) for x in (self.ends, self.again))
             self.flat[self.used : self.used + len(new)] = new
             self.ends[n + 1 : n + 1 + len(some)] = self.used + np.cumsum([len(e) for e in ids])
             self.used += len(new)
@@ -55,12 +75,13 @@ class WordTokens:
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
         if len(self.known) + len(words) > REMEMBERED:
-            self.forget()
+            self.shrink()
+        old = len(self.known)
         self.learn([w for w in words if w not in self.known])
-        where = np.fromiter((self.known[w] for w in words), np.int64, len(words))[coded.indices.to_numpy()] if words else np.zeros(0, np.int64)
-        first, size = self.ends[where], self.ends[where + 1] - self.ends[where]
-        upto = np.concatenate([[0], np.cumsum(size)])
-        ids = self.flat[np.repeat(first - upto[:-1], size) + np.arange(upto[-1])]
+        numbers = np.fromiter((self.known[w] for w in words), np.int64, len(words))
+        self.again[numbers[numbers < old]] = True
+        where = numbers[coded.indices.to_numpy()] if words else numbers
+        ids, upto = self.ids(where)
         return ids, upto[bounds - bounds[0]][1:]
 
 
