@@ -15,19 +15,19 @@ from pyspark.sql import functions as F
 
 from tarnwick.llm.common import cut
 
-#: Texts are tokenized in groups of about this many bytes. Beyond so many words, those that have not come again are forgotten.
+#: Texts are tokenized in groups of about this many bytes. Beyond so many words (a parameter), a worker forgets those that have not come again.
 GROUP = 1 << 20
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 
 
 class WordTokens:
     """Token ids of texts, word by word: the tokenizer drops white space and no token spans it, so each distinct word is encoded once."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
+        self.model, self.remembered = Tokenizer.from_file(path), remembered
         self.forget()
 
     def forget(self) -> None:
@@ -38,7 +38,7 @@ class WordTokens:
     def shrink(self) -> None:
         """Keep the words that have come in more than one group since the last time, or none if they fill over half of what may be remembered."""
         keep = np.flatnonzero(self.again[: len(self.known)])
-        if 2 * len(keep) > REMEMBERED:
+        if 2 * len(keep) > self.remembered:
             keep = keep[:0]
         words, (flat, upto) = list(self.known), self.ids(keep)
         kept = [words[i] for i in keep]
@@ -74,7 +74,7 @@ class WordTokens:
         bounds = lists.offsets.to_numpy()
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        if len(self.known) + len(words) > REMEMBERED:
+        if len(self.known) + len(words) > self.remembered:
             self.shrink()
         old = len(self.known)
         self.learn([w for w in words if w not in self.known])
@@ -85,23 +85,23 @@ class WordTokens:
         return ids, upto[bounds - bounds[0]][1:]
 
 
-_WORDS: dict[str, WordTokens] = {}
+_WORDS: dict[tuple[str, int], WordTokens] = {}
 
 
-def word_tokens(path: str) -> WordTokens:
+def word_tokens(path: str, remembered: int) -> WordTokens:
     """One for each Python worker, so that what a task has learnt serves the next one."""
-    if path not in _WORDS:
-        _WORDS[path] = WordTokens(path)
-    return _WORDS[path]
+    if (path, remembered) not in _WORDS:
+        _WORDS[path, remembered] = WordTokens(path, remembered)
+    return _WORDS[path, remembered]
 
 
-def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, remembered: int = REMEMBERED) -> DataFrame:
     """(id, piece, start, length, ids_crc32): each document's ids with end_id after them, cut every `capacity` ids."""
     kind = df.schema[id_col].dataType
     schema = f"{id_col} {kind.simpleString()}, piece int, start long, length long, ids_crc32 long"
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = word_tokens(tokenizer)
+        tokens = word_tokens(tokenizer, remembered)
         for batch in batches:
             sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
             at = 0
@@ -249,11 +249,11 @@ def packed(parts: DataFrame, capacity: int = 2048, shard: int = 8192) -> DataFra
     return full.unionByName(filled)
 
 
-def pack_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048) -> DataFrame:
+def pack_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, remembered: int = REMEMBERED) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset) for each piece of each row of df.
 
     A document is its token ids and one closing id 0; only documents over `capacity` are cut. Null and empty texts are
     that one id. Repeated rows and equal or null ids are packed as often as they come. An empty
     table gives an empty result; other columns are not looked at.
     """
-    return packed(cut(pieces(df, tokenizer, id_col, text_col, capacity)), capacity)
+    return packed(cut(pieces(df, tokenizer, id_col, text_col, capacity, remembered=remembered)), capacity)

@@ -10,10 +10,9 @@ from tarnwick.llm.queries import WORD_TOKENIZER
 
 
 @pytest.mark.parametrize("remembered", [0, 7, 60, 1_000_000])
-def test_forgetting_changes_no_ids(monkeypatch, remembered):
-    monkeypatch.setattr(packing, "REMEMBERED", remembered)
+def test_forgetting_changes_no_ids(remembered):
     path = public_tokenizers.path(WORD_TOKENIZER)
-    plain, words = Tokenizer.from_file(path), packing.WordTokens(path)
+    plain, words = Tokenizer.from_file(path), packing.WordTokens(path, remembered)
     often = "the same words come again and again, l'été naïve 数据 "
     for n in range(40):
         texts = [often, None, "", " \t\n ", " ".join(f"new{n}word{k}" for k in range(n)), often * 3]
@@ -24,9 +23,8 @@ def test_forgetting_changes_no_ids(monkeypatch, remembered):
         assert len(words.known) <= remembered + 100
 
 
-def test_words_that_come_again_are_kept(monkeypatch):
-    monkeypatch.setattr(packing, "REMEMBERED", 20)
-    words = packing.WordTokens(public_tokenizers.path(WORD_TOKENIZER))
+def test_words_that_come_again_are_kept():
+    words = packing.WordTokens(public_tokenizers.path(WORD_TOKENIZER), 20)
     for n in range(10):
         words.encode(pa.array([" ".join(["often", *(f"n{n}k{k}" for k in range(6))])]))
     assert "often" in words.known and "n0k0" not in words.known
