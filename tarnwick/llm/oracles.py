@@ -19,4 +19,19 @@ ORACLE_SQL = {
         FROM scored
         QUALIFY rank <= 5
     """,
+    # a turn's marks are `<turn `, the role, `>`, a line feed and `</turn>` with a line feed; each control string in a text costs one backslash more
+    "op13_chat_format": r"""
+        WITH given AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+        ), marked AS (
+            SELECT *, regexp_replace(text, '<(\\*)(/?(?:turn|part|image|audio|document))', '<\\\1\2', 'g') AS body FROM given
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, body)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, body) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(length('<turn ' || url_encode(role) || '>' || chr(10) || body || '</turn>' || chr(10))) AS BIGINT) AS formatted_chars
+        FROM marked GROUP BY conv_id
+    """,
 }

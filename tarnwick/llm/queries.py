@@ -10,6 +10,7 @@ from tarnwick.llm.common import table
 
 #: Files of the public tokenizers; see their README.
 WORD_TOKENIZER, BYTE_RANKS = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
+BYTE_TOKENIZER, PIECE_TOKENIZER = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,5 +80,34 @@ def op10_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prints.join(near.withColumnRenamed("fp", "fp_own"), "fp_own").drop("fp_own")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnwick.llm.conversation_repair import audited
+
+    return audited(table(spark, sf_dir, "conversations"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tarnwick.llm.token_alignment import align_documents
+
+    return align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_TOKENIZER), public_tokenizers.path(PIECE_TOKENIZER))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnwick.llm.chat_format import format_chats, read_chats, text_content
+
+    said = r"\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select(*own.columns).unionByName(own)
+    read = read_chats(format_chats(rows.withColumn("content", text_content(F.col("text")))))
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), sha(whole).alias("turns_sha256"),
+        F.char_length("trained").cast("long").alias("loss_chars"), sha(F.col("trained")).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
