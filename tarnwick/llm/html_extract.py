@@ -49,6 +49,9 @@ _NAMES = {
     "main": "content main article post entry story body text maincontent articlebody postbody page blog prose",
 }
 _GROUP = {name: group for group, names in _NAMES.items() for name in names.split()}
+#: Words after which a name tells of a state or of what else is on the page, as in has-sidebar or content-with-sidebar; groups of tags.
+_STATE = frozenset("has have no not with without is js enable enabled disable disabled show hide free".split())
+_TAG_GROUP = {"nav": "nav", "header": "header", "footer": "footer", "aside": "side", "form": "form", "button": "form", "label": "form", "select": "form", "article": "main", "main": "main"}
 #: Fixed words that hint at a part by its text.
 _HINT = re.compile(r"\b(cookies?|subscribe|newsletter|sponsored|advertisement|copyright|all rights reserved|share|log ?in|sign (?:in|up)|comments?|repl(?:y|ies)|read more|related|privacy)\b", re.I)
 
@@ -57,6 +60,10 @@ _HINT = re.compile(r"\b(cookies?|subscribe|newsletter|sponsored|advertisement|co
 _OTHER_TAGS = frozenset(f"t:{x}" for x in "nav header footer aside form button label select".split()) | {"hidden"}
 _OTHER = _OTHER_TAGS | {f"g:{x}" for x in _NAMES if x not in ("main", "meta")}
 _BODY = frozenset({"t:article", "t:main"})
+#: Features of blocks whose nearest named element is of another part.
+_APART = frozenset(f"n:{x}" for x in _NAMES if x not in ("main", "meta"))
+#: An element with more than this share of a page's text that holds all of its articles is a wrapper, whose names say nothing.
+_WRAPS = 0.6
 
 
 @dataclass
@@ -71,11 +78,13 @@ def blocks(page: str | None, known: frozenset[str] | None = None) -> list[Block]
     """Leaf blocks in page order: runs of text that no block element interrupts, white space made one space.
 
     `above` has the features of all ancestors (tags, groups and words of their classes, ids and roles), of which only
-    `known` ones are kept, so that a deep page stays small.
+    `known` ones are kept, so that a deep page stays small, and the group of the nearest named one, which is
+    that of its outermost part: what a comment calls its content is no article. Names of html and body and of wrappers don't count.
     """
-    found: list[Block] = []
-    nobody: frozenset[str] = frozenset()
-    stack: list[tuple[str, frozenset[str], str]] = [("", nobody, "")]
+    runs: list[tuple[str, int, str, int]] = []
+    # element by element in page order: the one around it, its tag, its features, its groups
+    around, names, own_of, groups_of = [-1], [""], [frozenset()], [frozenset()]
+    stack: list[tuple[str, int, str]] = [("", 0, "")]
     open_tags: Counter[str] = Counter()
     pieces: list[str] = []
     links = linked = 0
@@ -87,7 +96,7 @@ def blocks(page: str | None, known: frozenset[str] | None = None) -> list[Block]
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                found.append(Block(text, stack[-1][1], stack[-1][2], linked))
+                runs.append((text, stack[-1][1], stack[-1][2], linked))
             pieces.clear()
         linked = 0
 
@@ -140,22 +149,25 @@ def blocks(page: str | None, known: frozenset[str] | None = None) -> list[Block]
                         break
                     if stack[n][0] in _SCOPE:
                         break
-        above = stack[-1][1]
         own = {f"t:{tag}"} if not inline or tag == "a" else set()
+        groups = {_TAG_GROUP[tag]} if tag in _TAG_GROUP else set()
         if m["attrs"]:
             for a in _ATTR.finditer(m["attrs"]):
                 name, value = a[1].lower(), (a[2] or "").strip("\"'")
                 if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
                     own.add("hidden")
-                elif name not in ("style", "aria-hidden"):
-                    # A name made of several words, as comments-policy, says less of what an article is than its tag does.
-                    for word in map(str.lower, value.split() if tag in ("article", "main") else _PIECES.findall(value)):
-                        own.add(f"c:{word}")
-                        if word in _GROUP:
-                            own.add(f"g:{_GROUP[word]}")
-        if known is not None:
-            own &= known
-        stack.append((tag, above | own if own - above else above, stack[-1][2] if inline else tag))
+                elif name not in ("style", "aria-hidden") and tag not in ("html", "body"):
+                    for token in value.split():
+                        # A name made of several words, as comments-policy, says less of what an article is than its tag does.
+                        words = [token.lower()] if tag in ("article", "main") else list(map(str.lower, _PIECES.findall(token)))
+                        told = next((i for i, w in enumerate(words) if w in _STATE), len(words))
+                        own.update(f"c:{w}" for w in words)
+                        groups.update(_GROUP[w] for w in words[:told] if w in _GROUP)
+        around.append(stack[-1][1])
+        names.append(tag)
+        own_of.append(frozenset(own if known is None else own & known))
+        groups_of.append(frozenset(groups))
+        stack.append((tag, len(around) - 1, stack[-1][2] if inline else tag))
         open_tags[tag] += 1
         links += tag == "a"
     if at < len(page):
@@ -163,7 +175,49 @@ def blocks(page: str | None, known: frozenset[str] | None = None) -> list[Block]
         if links > 0:
             linked += len(page) - at
     flush()
-    return found
+    return _placed(runs, around, names, own_of, groups_of, known)
+
+
+def _placed(runs: list, around: list[int], names: list[str], own_of: list[frozenset], groups_of: list[frozenset], known: frozenset[str] | None) -> list[Block]:
+    """The blocks with what their elements say: elements come after those around them, so one pass up sums texts and one down spreads names."""
+    n = len(around)
+    size, articles, titled = [0] * n, [0] * n, [False] * n
+    for text, at, _, _ in runs:
+        size[at] += len(text)
+    for i in range(n - 1, 0, -1):
+        articles[i] += groups_of[i] <= {"main", "meta"} and "main" in groups_of[i]
+        titled[i] |= names[i] == "h1"
+        size[around[i]] += size[i]
+        articles[around[i]] += articles[i]
+        titled[around[i]] |= titled[i]
+    above: list[frozenset[str]] = [frozenset()] * n
+    near: list[str] = ["none"] * n
+    inside = [False] * n
+    out: dict[int, frozenset[str]] = {}
+    for i in range(1, n):
+        groups, up = groups_of[i], around[i]
+        own_articles = groups <= {"main", "meta"} and "main" in groups
+        outside = articles[0] - articles[i]
+        wraps = size[i] > _WRAPS * size[0] and not outside and (articles[i] > own_articles or titled[i]) and names[i] not in _TAG_GROUP
+        own = own_of[i]
+        if wraps:
+            groups, own = groups & {"main"}, frozenset(x for x in own if x[:2] not in ("c:", "g:"))
+        else:
+            marked = frozenset(f"g:{g}" for g in groups)
+            own = own | (marked if known is None else marked & known)
+        other = groups - {"main"}
+        if near[up] == "comment" or (near[up] not in ("none", "main", "meta") and names[i] not in ("article", "main")):
+            near[i] = near[up]
+        elif other:
+            near[i] = "comment" if "comment" in other else next(g for g in _NAMES if g in other)
+        else:
+            near[i] = "main" if "main" in groups else near[up]
+        inside[i] = inside[up] or near[up] == "main"
+        above[i] = above[up] | own if own - above[up] else above[up]
+    for i in {at for _, at, _, _ in runs}:
+        told = frozenset({f"n:{near[i]}", f"n:{near[i]}{'+' if inside[i] else '-'}"})
+        out[i] = above[i] | (told if known is None else told & known)
+    return [Block(text, out[at], tag, linked) for text, at, tag, linked in runs]
 
 
 def _traits(b: Block) -> tuple[str, ...]:
@@ -247,10 +301,10 @@ class Field:
 
     def extract(self, page: str | None) -> str:
         """The main text. A page has one unless all of its blocks stand in elements of other parts: if no block seems main, the best that don't are taken."""
-        found = blocks(page, self.known | _OTHER | _BODY)
+        found = blocks(page, self.known | _OTHER | _BODY | _APART)
         labels = self.labels(found)
         if found and not any(labels):
-            free = [not b.above & _OTHER for b in found]
+            free = [not b.above & (_OTHER_TAGS | _APART) for b in found]
             if not any(free):
                 free = [bool(b.above & _BODY) and not b.above & _OTHER_TAGS for b in found]
             if any(free):

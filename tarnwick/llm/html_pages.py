@@ -18,6 +18,9 @@ PARTS = {
     "share": (["div", "ul"], ["share", "social", "tags", "meta", "byline", "post-meta", "toolbar"]),
     "main": (["article", "main", "div", "section", "div", "article"], ["content", "post", "article-body", "entry-content", "story", "main-content", "post-body", "text", "article"]),
 }
+#: Names of wrappers and of pages that tell of their layout or state, not of what stands in them.
+WRAPPERS = "content-with-sidebar has-sidebar no-sidebar layout-sidebar-left page-wrapper site-container with-banner no-ads menu-open page-with-comments header-fixed main-wrap outer search-hidden row".split()
+STATES = "no-banner page-popup-open has-sidebar js menu-closed cookie-bar-shown single-post post-template logged-in home search-open".split()
 _SIGNS = ["&amp;", "&quot;", "&eacute;", "&#8217;", "&lt;", "&ndash;", "&nbsp;"]
 _LETTERS = ["aeioutrnslhd", "eéèauoirntls", "eäöünrstchg", "aeoñíósrdlc", "оеаинтсрвл"]
 
@@ -26,7 +29,7 @@ class Writer:
     """One random page: write() gives its HTML and the texts of its main blocks in order."""
 
     def __init__(self, seed: int) -> None:
-        self.r = random.Random(seed)
+        self.r, self.s = random.Random(seed), random.Random(seed + 1)  # the second for what stands around
         self.letters, self.main = self.r.choice(_LETTERS), []
         self.plain = self.r.random() < 0.15  # classes that say nothing
         self.loose = self.r.random() < 0.4  # end tags left out
@@ -104,7 +107,8 @@ class Writer:
         r, out = self.r, []
         if r.random() < 0.9:
             tag = r.choice(["h1", "h1", "h2"])
-            out.append(f"<{tag}>{self.own(self.prose(3, 14)[: r.choice([30, 60, 200])].rsplit('&', 1)[0])}</{tag}>")
+            title = f"<{tag}>{self.own(self.prose(3, 14)[: r.choice([30, 60, 200])].rsplit('&', 1)[0])}</{tag}>"
+            out.append(title if self.s.random() < 0.85 else f"<header{self.s.choice(['', ' class=entry-header'])}>{title}</header>")
         end = lambda tag: "" if self.loose else f"</{tag}>"
         as_div = r.random() < 0.15
         for _ in range(r.choice([0, 1, *range(1, 12)]) if out else r.randint(1, 12)):
@@ -141,11 +145,19 @@ class Writer:
                 blocks.insert(at, ("</p>" if opened else "") + self.part(extra))
         if not alone and r.random() < 0.12:
             blocks.append(self.part("comments"))
+        if not alone and self.s.random() < 0.15:  # a hidden part, which no reader sees
+            mark = self.s.choice(["hidden", "style='display:none'", "style='visibility: hidden'", "aria-hidden='true'"])
+            blocks.append(self.s.choice(["<p {}>{}</p>", "<div {}><p>{}</p></div>"]).format(mark, self.prose(3, 40)))
         inside = "".join(f"{x}\n" if r.random() < 0.3 else x for x in blocks)
         layout = r.random()
         core = inside if layout < 0.04 else self.wrap("main", inside) if layout < 0.8 else f'<div class="container"><div id="wrapper">{self.wrap("main", inside)}</div></div>'
+        wrapper, state = self.s.random(), self.s.random()
+        if wrapper < 0.15:  # the article stands in a wrapper alone
+            core = f"<div class='{self.s.choice(WRAPPERS)}'>{inside if wrapper < 0.05 else core}</div>"
+        opened, closed = ("", "") if self.s.random() < 0.75 else (f"<div class='{' '.join(self.s.sample(WRAPPERS, 2))}'>", "</div>")
+        body = "<body>" if state < 0.6 else f"<body class='{' '.join(self.s.sample(STATES, 3))}'>"
         after = some(["share"], 0.15) + some(["comments"], 0.3) + some(["sidebar"], 0.4) + some(["form"], 0.15) + some(["ad", "notice"], 0.15) + some(["footer"], 0.8)
-        page = f"<!DOCTYPE html><html><head><title>{self.phrase()}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head><body>" + "".join(before) + ("<!-- main -->" if r.random() < 0.3 else "") + core + "".join(after)
+        page = f"<!DOCTYPE html><html><head><title>{self.phrase()}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head>{body}{opened}" + "".join(before) + ("<!-- main -->" if r.random() < 0.3 else "") + core + "".join(after) + closed
         if r.random() < 0.12:  # cut off somewhere
             return page[: r.randint(len(page) // 3, len(page))].rpartition(" ")[0], " ".join(self.main)
         return page + ("" if r.random() < 0.1 else "</body></html>"), " ".join(self.main)

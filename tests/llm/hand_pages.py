@@ -64,3 +64,20 @@ PAGES = [
     (f"<article><h1>{_C}</h1></article>{_N}", _C),
     (f"<article><section><h2>One</h2><p>{_A}</p></section><section><h2>Two</h2><p>{_B}</p></section></article>{_F}", f"One {_A} Two {_B}"),
 ]
+
+#: Layouts that name their state or what else they hold, and parts inside the article.
+_LONG = "Some readers think that the bridge is far too dear for a town of this size, and they say so at great length here. " * 12
+LAYOUTS = [
+    (f"<html><body><div class='content-with-sidebar'><h1>Bridge vote</h1>{_P}</div>{_F}</body></html>", f"Bridge vote {_T}"),
+    (f"<html><body>{_N}<div class='content-with-sidebar'><h1>Bridge vote</h1>{_P}<p>{_C}</p></div><div class='sidebar'><p>Ferry fares rise</p></div>{_F}</body></html>", f"Bridge vote {_T} {_C}"),
+    (f"<html><body class='no-banner page-popup-open'><div class='post'><h1>Bridge vote</h1>{_P}</div></body></html>", f"Bridge vote {_T}"),
+    (f"<html class='js no-search'><body class='has-sidebar menu-closed'>{_N}<div class='entry'>{_P}</div>{_F}</body></html>", _T),
+    (f"<article><p>{_A}</p><div class='ad'>Buy our shoes now and save a lot of money today.</div><p>{_B}</p></article>", _T),
+    (f"<article><h1>Bridge vote</h1><p>{_A}</p><div class='ad'>Buy our shoes now</div><p>{_B}</p></article>", f"Bridge vote {_T}"),
+    (f"<article>{_P}<div class='comments'><p>Nice post, I will walk there with my dog on Sunday.</p></div></article>", _T),
+    (f"<article>{_P}<div class='comments'><div class='comment'><div class='content'><p>{_LONG}</p></div></div></div></article>", _T),
+    (f"<article>{_P}</article><div class='comments'><div class='comment'><div class='content'><p>{_LONG}</p><p>{_LONG}</p></div></div></div>", _T),
+    (f"<div class='layout-sidebar-left'><div class='post'>{_P}</div><div class='sidebar'><h3>Popular</h3><p>Ferry fares rise</p></div></div>", _T),
+    (f"<div id='page-with-comments'><h1>Bridge vote</h1>{_P}</div>", f"Bridge vote {_T}"),
+    (f"<div class='site header-fixed'><header><a href=/>Harbour Press</a></header><div class='content'>{_P}</div></div>", _T),
+]

@@ -44,3 +44,13 @@ def test_pages_labelled_by_hand():
     got = [(field.extract(page), main) for page, main in PAGES]
     assert sum(a == b for a, b in got) >= 50
     assert all(a for a, b in got if b)
+
+
+def test_layouts_that_name_their_state(spark):
+    """No article is lost to a wrapper's or a page's name, and no advert or comment inside or beside it is kept."""
+    from tarnwick.llm.html_extract import extract_main
+    from tests.llm.hand_pages import LAYOUTS
+
+    df = spark.createDataFrame([(i, "u", h) for i, (h, _) in enumerate(LAYOUTS)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract_main(df).collect()}
+    assert [(LAYOUTS[i][0], t) for i, t in got.items() if t != LAYOUTS[i][1]] == []
