@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import cut
+from tarnwick.llm.common import batches_of, cut, give_back
 
 #: Texts are tokenized in groups of about this many bytes. Beyond so many words (a parameter), a worker forgets those that have not come again.
 GROUP = 1 << 20
@@ -118,6 +118,7 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                 no, start, length, crc = np.array(rows, np.int64).T
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(no)), pa.array((start // capacity).astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)], [id_col, "piece", "start", "length", "ids_crc32"])
                 at = to
+        give_back()
 
     return df.select(id_col, text_col).mapInArrow(made, schema)
 
@@ -229,15 +230,15 @@ def pack(lengths: np.ndarray, capacity: int, groups: int = 32, small: float = 0.
 def packed(parts: DataFrame, capacity: int = 2048, shard: int = 8192) -> DataFrame:
     """parts with sequence_id and offset. Full pieces are sequences by themselves.
 
-    The others are dealt round-robin into shards of about `shard` pieces and packed shard by shard: a
+    The others are dealt by a hash of their row number into shards of about `shard` pieces and packed shard by shard: a
     plan over thousands of pieces wastes next to nothing against one over all of them, and no task or group
-    grows with the corpus. `parts` must be a table that reads the same again (see cut()).
+    grows with the corpus, however its rows are spread over partitions. `parts` must be a table that reads the same again (see cut()).
     """
     short = F.col("length") < capacity
     numbered = parts.withColumn("no", F.monotonically_increasing_id())
     full = numbered.where(~short).withColumn("sequence_id", -1 - F.col("no")).withColumn("offset", F.lit(0).cast("long")).drop("no")
     shards = max(1, -(-parts.where(short).count() // shard))
-    dealt = numbered.where(short).withColumn("no", F.pmod(F.col("no"), F.lit(shards)))
+    dealt = numbered.where(short).withColumn("no", F.pmod(F.xxhash64("no"), F.lit(shards)))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema.fields)
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
@@ -253,7 +254,9 @@ def pack_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     """(id, piece, start, length, ids_crc32, sequence_id, offset) for each piece of each row of df.
 
     A document is its token ids and one closing id 0; only documents over `capacity` are cut. Null and empty texts are
-    that one id. Repeated rows and equal or null ids are packed as often as they come. An empty
-    table gives an empty result; other columns are not looked at.
+    that one id. Repeated rows and equal or null ids are packed as often as they come; very long texts are encoded whole and cut into pieces; pieces of equal
+    length are dealt in any order. An empty table gives an empty result; other columns are not looked at.
     """
-    return packed(cut(pieces(df, tokenizer, id_col, text_col, capacity, remembered=remembered)), capacity)
+    with batches_of(df.sparkSession, 1_000):
+        parts = cut(pieces(df, tokenizer, id_col, text_col, capacity, remembered=remembered))
+    return packed(parts, capacity)

@@ -28,3 +28,24 @@ def test_words_that_come_again_are_kept():
     for n in range(10):
         words.encode(pa.array([" ".join(["often", *(f"n{n}k{k}" for k in range(6))])]))
     assert "often" in words.known and "n0k0" not in words.known
+
+
+def test_shards_are_dealt_alike_whatever_the_partitions(spark, tmp_path):
+    """Pieces of a thousand small partitions fill all shards, and no shard gets far more than its share."""
+    from tarnwick.llm.packing import packed
+
+    parts = spark.range(6000, numPartitions=1000).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "100L + id % 900 AS length", "0L AS ids_crc32")
+    rows = packed(parts, shard=100).collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault(r.sequence_id >> 32, []).append(r)
+    assert len(rows) == 6000 and len(groups) == 60 and max(map(len, groups.values())) <= 160
+    filled = {}
+    for r in rows:
+        filled.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in filled.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 2048
