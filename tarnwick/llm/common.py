@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +66,16 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def give_back() -> None:
+    """In a Python worker: memory that is free goes back to the system. Workers outlive their tasks, and those of several stages stand side by side in an executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:
+        pass  # this system's C library has no such call
+
+
 def crc32_mod(key: Column, n: int) -> Column:
     """crc32 of the key as text, modulo n; null keys count as remainder 0."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % F.lit(n), F.lit(0)).cast("int")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import batches_of, cut, discard
+from tarnwick.llm.common import batches_of, cut, discard, give_back
 from tarnwick.llm.components import components
 from tarnwick.llm.simhash_dedup import SEED, _ones, _word_blocks, links, numbered, rank
 
@@ -63,6 +63,8 @@ def _heavy(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
                 np.add.at(total, (shingles(text, size) >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
         cells = np.flatnonzero(total > 16 + 8 * total.mean())
         yield pd.DataFrame({"cell": cells, "n": total[cells].astype(np.int64)})
+        del total
+        give_back()
 
     sums = texts.mapInPandas(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     rows = sums.orderBy(F.desc("n"), "cell").limit(MOST_HEAVY).toPandas().sort_values("cell")
@@ -88,6 +90,8 @@ def _similar(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
             x, y = of(a), of(b)
             both = len(np.intersect1d(x, y, assume_unique=True))
             out.append((100 + percent) * both >= percent * (len(x) + len(y)))
+        known.clear()
+        give_back()
         return pd.Series(out, dtype=bool)
 
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -120,6 +124,7 @@ def _begun(texts: DataFrame, column: str, size: int, percent: int) -> Column:
             k0, k1 = np.array([xxhash.xxh64_intdigest(s.tobytes(), i) for i in (0, 1)], np.uint64).view(np.int64)
             fp = np.packbits(2 * _ones(h) > len(h), bitorder="little").view(np.int64)[0]
             rows.append((k0, k1, np.int32(n), fp, s[np.lexsort((s, weight))[:keep]].view(np.int64)))
+        give_back()
         return pd.DataFrame(rows, columns=["k0", "k1", "n", "fp", "head"])
 
     return begun(F.col(column))

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ THRESHOLD = 0.3
 #: Labelled rows that the model is fitted on, at most; those with the smallest hash of their id if there are more.
 MOST_LABELLED = 200_000
 BINS = 512
+#: Texts that a Python worker turns into strings at once.
+SLICE = 200
 
 _MARKS = [b".", b",", b"!", b"?", b";:", b"|", b"#$%&*@^~+=<>\\", b"\"'`()[]{}", b"-_/"]
 _CLASS = np.full(256, len(_MARKS) + 6)
@@ -61,9 +64,11 @@ def statistics(text: str | None) -> np.ndarray:
 
 
 def statistics_column(text: Column) -> Column:
-    @F.pandas_udf("array<double>")
-    def made(texts: pd.Series) -> pd.Series:
-        return pd.Series([statistics(x) for x in texts], dtype=object)
+    @F.arrow_udf("array<double>")
+    def made(texts: pa.Array) -> pa.Array:
+        # a few texts at a time become Python strings, however many the batch holds
+        flat = [statistics(x) for i in range(0, len(texts), SLICE) for x in texts.slice(i, SLICE).to_pylist()]
+        return pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(flat) if flat else np.zeros(0)), WIDTH).cast(pa.list_(pa.float64()))
 
     return made(text)
 
@@ -188,7 +193,7 @@ def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     Statistics of all texts are made once and cut to the shared folder; the fit uses labelled ones and the scores all of
     them. Null texts count as empty and get a score like any other; null ids are held out; repeated rows come
-    back as often as they came; an empty table gives an empty result; other columns are not looked at.
+    back as often as they came, and equal texts score equally; very long texts are read whole; an empty table gives an empty result; other columns are not looked at.
     """
     stats = cut(df.select(F.col(id_col), statistics_column(F.col(text_col)).alias("stats")))
     model = fit(labelled_rows(stats, known_labels(labels, id_col, label_col), id_col))
@@ -198,7 +203,7 @@ def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of df, with all their columns, that the classifier does not reject; nulls and repeats as in score().
+    """The rows of df, with all their columns whatever their names, that the classifier does not reject; nulls, repeats, long texts and empty tables as in score().
 
     Labelled rows are found first, so that statistics are made for them alone before the fit, and then for each row where it lies:
     no text is shuffled.
