@@ -16,8 +16,7 @@ from tarnwick.llm.secret_scan import redact
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go. Python workers get whole texts a thousand at a time from here on, so that they stay small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """Documents that the quality classifier rejects go; null and empty texts are judged like others, an empty table stays empty, extra columns come back as they are."""
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
@@ -30,12 +29,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark, and n_chars follows the text."""
+    """Secrets are replaced by a mark, and n_chars follows the text; null texts and their n_chars, and extra columns, stay as they are."""
     return redact(docs).withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars")))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, with all its columns; an empty table stays empty."""
     taken = mix(docs, docs.columns).where("copies > 0")
     return taken.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
