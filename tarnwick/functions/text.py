@@ -52,6 +52,11 @@ def plain_html(page: Column) -> Column:
     return F.trim(F.regexp_replace(unescaped(F.regexp_replace(bare, r"(?s)<[^>]*>", " ")), r"[ \t\r\n]+", " "))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), where the value is worked out once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def csv_safe(cell: Column) -> Column:
     """Line breaks become a dot, and a leading formula sign is disarmed."""
     flat = F.regexp_replace(cell, r"[\r\n]+", " · ")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,7 +14,6 @@ BOARDS = (
     ("linkedin", r"currentjobid=([0-9]+)", (1,)),
     ("linkedin", r"/jobs/view/(?:[^/?#]*-)?([0-9]{6,})", (1,)),
     ("indeed", r"[?&]jk=([a-z0-9]+)", (1,)),
-    ("jobbank", r"jobbank\.gc\.ca/jobsearch/jobposting/([0-9]+)", (1,)),
     ("greenhouse", r"[?&]gh_jid=([0-9]+)", (1,)),
     ("greenhouse", r"greenhouse\.io/[^/?#]+/jobs/([0-9]+)", (1,)),
     ("lever", r"jobs\.lever\.co/([^/?#]+)/([0-9a-f-]{16,})", (1, 2)),
@@ -49,10 +50,10 @@ FREE_MAIL = ("gmail.com", "outlook.com", "yahoo.com", "hotmail.com", "gmx.de")
 SHARED = ("hr", "jobs", "careers", "recruiting", "info", "contact", "hello", "support", "sales", "admin", "team")
 
 
-def canonical_url(url: Column) -> Column:
-    """board:id where a board's id is known, else the URL in lower case without scheme, www, query, fragment, last slash and session id."""
+def canonical_url(url: Column, boards: Sequence[tuple] = BOARDS) -> Column:
+    """board:id where one of the boards tells an id, else the URL in lower case without scheme, www, query, fragment, last slash and session id."""
     low = F.lower(F.trim(url))
-    known = [F.when(low.rlike(p), F.concat(F.lit(f"{name}:"), F.concat_ws("/", *[F.regexp_extract(low, p, g) for g in groups]))) for name, p, groups in BOARDS]
+    known = [F.when(low.rlike(p), F.concat(F.lit(f"{name}:"), F.concat_ws("/", *[F.regexp_extract(low, p, g) for g in groups]))) for name, p, groups in boards]
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(low, r"^[a-z]+://", ""), r"^www\.", ""), r"[?#].*$", "")
     return F.coalesce(*known, F.regexp_replace(F.regexp_replace(bare, r"/+$", ""), r";jsessionid=[^/?]*", ""))
 

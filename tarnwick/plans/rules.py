@@ -14,7 +14,7 @@ from tarnwick.session import table
 
 TODAY, NOW_MS = "2026-01-15", 1_768_435_200_000
 URLS = [
-    "https://www.linkedin.com/jobs/search?currentJobId=3812345678", "https://www.linkedin.com/jobs/view/data-engineer-at-acme-3812345679?ref=x", "https://x.io/jobs/view/123/", "https://www.jobbank.gc.ca/jobPosting/4455",
+    "https://www.linkedin.com/jobs/search?currentJobId=3812345678", "https://www.linkedin.com/jobs/view/data-engineer-at-acme-3812345679?ref=x", "https://x.io/jobs/view/123/", "https://town.example/jobPosting/4455",
     "https://site.com/o/12345678/x", "https://boards.greenhouse.io/acme?gh_jid=998877", "https://a.b/c/123", "", None, "https://indeed.com/viewjob?jk=ab12cd34ef",
     "https://www.linkedin.com/posts/ann-lee_hiring-data-engineer-in-paris-activity-7283000000000000000-aBcD", "https://www.linkedin.com/posts/nobody",
 ]
@@ -198,7 +198,7 @@ _BOX = "regexp_extract(lower(e), '^[^@]*')"
 _HOST = "regexp_extract(lower({}), '^(?:[a-z]+://)?(?:[^/@]*@)?([^/:?#]+)', 1)"
 
 SQL = {
-    "url_ids": rf"""SELECT no, {_ID} AS id, CASE WHEN coalesce(url, '') = '' THEN '' ELSE coalesce('greenhouse:' || {_first('url', '[?&]gh_jid=([0-9]+)')}, CASE WHEN low LIKE '%jobbank.gc.ca/jobsearch/jobposting/%' THEN '' ELSE {_CANON} END) END AS key,
+    "url_ids": rf"""SELECT no, {_ID} AS id, CASE WHEN coalesce(url, '') = '' THEN '' ELSE coalesce('greenhouse:' || {_first('url', '[?&]gh_jid=([0-9]+)')}, {_CANON}) END AS key,
         trim(regexp_replace(regexp_replace(regexp_extract(regexp_extract(coalesce(url, ''), '^(?:[a-z]+://)?[^/]*/+posts/([^/?#]+)', 1), '^[^_]*_(.*)$', 1), '(?i)-(?:activity|share|ugcPost)-[0-9]+.*$', ''), '[-_\s]+', ' ', 'g')) AS words
         FROM (SELECT *, lower(trim(url)) AS low FROM {_values(URLS, "url", "VARCHAR")})""",
     "snowflake_ages": f"SELECT no, CASE WHEN ms BETWEEN 1420070400000 AND {NOW_MS} + 86400000 THEN ms END AS ms FROM (SELECT no, TRY_CAST(id AS BIGINT) // 4194304 AS ms FROM {_values(SNOWFLAKES, 'id', 'VARCHAR')})",

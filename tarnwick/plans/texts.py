@@ -161,10 +161,15 @@ _ALL = f"list_filter({_BARE}, lambda x: length(x) >= 3)"
 _HITS = f"len(list_intersect([{', '.join(repr(w) for w in QUERY)}], {_ALL}))"
 _HOST = "regexp_extract(lower(url), '^(?:[a-z]+://)?(?:[^/@]*@)?([^/:?#]+)', 1)"
 _ROOT = "(SELECT array_to_string(list_slice(p, greatest(1, len(p) - CASE WHEN len(p) >= 3 AND length(p[-1]) = 2 AND list_contains(['co','com','org','net','ac','gov'], p[-2]) THEN 2 ELSE 1 END), len(p)), '.') FROM (SELECT string_split({}, '.') AS p))"
-_CANON = r"""CASE WHEN regexp_extract(lower(trim(url)), 'indeed\.[a-z.]+/.*[?&]jk=([0-9a-z]+)', 1) <> '' THEN 'indeed:' || regexp_extract(lower(trim(url)), 'indeed\.[a-z.]+/.*[?&]jk=([0-9a-z]+)', 1)
-    WHEN regexp_extract(lower(trim(url)), 'linkedin\.com/jobs/view/(?:[^/?#]*-)?([0-9]+)', 1) <> '' THEN 'linkedin:' || regexp_extract(lower(trim(url)), 'linkedin\.com/jobs/view/(?:[^/?#]*-)?([0-9]+)', 1)
-    WHEN regexp_extract(lower(trim(url)), '[?&]gh_jid=([0-9]+)', 1) <> '' THEN 'greenhouse:' || regexp_extract(lower(trim(url)), '[?&]gh_jid=([0-9]+)', 1)
-    ELSE regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^[a-z]+://', ''), '^www\.', ''), '[?#].*$', ''), '/+$', '') END"""
+def _canonical(url: str) -> str:
+    """SQL of the canonical URL, one case for each board."""
+    low = f"lower(trim({url}))"
+    cases = "".join(f" WHEN regexp_matches({low}, '{p}') THEN '{name}:' || " + " || '/' || ".join(f"regexp_extract({low}, '{p}', {g})" for g in groups) for name, p, groups in U.BOARDS)
+    bare = f"regexp_replace(regexp_replace(regexp_replace({low}, '^[a-z]+://', ''), '^www\\.', ''), '[?#].*$', '')"
+    return f"CASE{cases} ELSE regexp_replace(regexp_replace({bare}, '/+$', ''), ';jsessionid=[^/?]*', '') END"
+
+
+_CANON = _canonical("url")
 _SPELLED = r"regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(?i)\s*(?:\[at\]|\(at\)|\[@\]|\bat\b)\s*', '@', 'g'), '(?i)\s*(?:\[dot\]|\(dot\)|\bdot\b)\s*', '.', 'g'), '([a-zA-Z0-9._%+-]+)\s*@\s*([a-zA-Z0-9.-]+)\s*\.\s*([a-zA-Z]{2,10})', '\1@\2.\3', 'g')"
 _EMAILS = rf"""list_distinct(list_filter(list_transform(list_transform(regexp_extract_all({_SPELLED}, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{{2,10}}'), lambda e: lower(e)),
     lambda e: CASE WHEN len(string_split(e, '.')) >= 3 AND list_contains({list(U.TRAILING)}, string_split(e, '.')[-1]) AND list_contains({list(U.COMMON_ENDS)}, string_split(e, '.')[-2]) THEN array_to_string(string_split(e, '.')[:-2], '.') ELSE e END),

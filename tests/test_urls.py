@@ -1,8 +1,8 @@
-"""Canonical URLs of every board family of the reference, and of others."""
+"""Canonical URLs of every known board family, of a board that the caller names, and of others."""
 
 from pyspark.sql import functions as F
 
-from tarnwick.functions.urls import canonical_url
+from tarnwick.functions.urls import BOARDS, canonical_url
 
 ID = "0123456789abcdef0123456789abcdef"
 CASES = {
@@ -10,7 +10,6 @@ CASES = {
     "https://de.linkedin.com/jobs/view/data-engineer-at-acme-4012345678?trk=a": "linkedin:4012345678",
     "https://uk.indeed.com/viewjob?x=1&jk=AB12cd": "indeed:ab12cd",
     "https://apply.example.com/?jk=ab12cd": "indeed:ab12cd",
-    "https://www.jobbank.gc.ca/jobsearch/jobposting/40012345?source=s": "jobbank:40012345",
     "https://acme.com/careers?gh_jid=778899": "greenhouse:778899",
     "https://boards.greenhouse.io/acme/jobs/778899": "greenhouse:778899",
     f"https://jobs.lever.co/acme/{ID}/apply": f"lever:acme/{ID}",
@@ -46,3 +45,10 @@ def test_every_board_family(spark):
     df = spark.createDataFrame([(u,) for u in CASES], "u string")
     assert {r.u: r.c for r in df.select("u", canonical_url(F.col("u")).alias("c")).collect()} == CASES
     assert df.limit(1).select(canonical_url(F.lit(None).cast("string")).alias("c")).first().c is None
+
+
+def test_boards_are_a_parameter(spark):
+    own = (("town", r"town\.example/post/([0-9]+)", (1,)), *BOARDS)
+    urls = ["https://town.example/post/12?x=1", "https://www.karriere.at/jobs/12345"]
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    assert sorted(r[0] for r in df.select(canonical_url(F.col("u"), own)).collect()) == ["karriere_at:12345", "town:12"]
