@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tarnwick.plans import guards, inbox, matching, postings, posts, reports, rules, texts
+from tarnwick.plans import guards, inbox, matching, postings, posts, reports, rules, structured, texts
 
 
 def queries() -> dict:
-    return reports.QUERIES | texts.QUERIES | postings.QUERIES | matching.QUERIES | rules.QUERIES | posts.QUERIES | guards.QUERIES | inbox.QUERIES
+    return reports.QUERIES | texts.QUERIES | postings.QUERIES | matching.QUERIES | rules.QUERIES | posts.QUERIES | guards.QUERIES | inbox.QUERIES | structured.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return reports.SQL | texts.SQL | postings.SQL | matching.SQL | rules.SQL | posts.SQL | guards.SQL | inbox.SQL
+    return reports.SQL | texts.SQL | postings.SQL | matching.SQL | rules.SQL | posts.SQL | guards.SQL | inbox.SQL | structured.SQL
