@@ -24,9 +24,13 @@ from tarnwick.llm.simhash_dedup import SEED, _ones, _word_blocks, links, numbere
 
 #: The sketch counts shingles by so many leading bits of their hashes; at most so many of the fullest cells are broadcast.
 CELL_BITS = 22
+#: Parities by which pairs that can't be similar are told before their texts are fetched.
+SIGN_BITS = 2048
 MOST_HEAVY = 200_000
 #: Rounds in which the texts that share a shingle are compared with one of them only, before all that is left is compared.
 PIVOT_ROUNDS = 1
+#: Rounds in which each text of the pairs that are left is compared with its most promising partners only, if it has many, before all that is left is compared.
+BEST_ROUNDS = 3
 #: Texts, and pairs of texts, that a Python worker gets at once.
 TEXTS_A_BATCH, PAIRS_A_BATCH = 1_000, 200
 
@@ -104,10 +108,10 @@ def _similar(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
 
 
 def _begun(texts: DataFrame, column: str, size: int, percent: int) -> Column:
-    """A text's set as two hashes (k0, k1), its size n, the SimHash fp of its shingles and its beginning (head) in the common order."""
+    """A text's set as two hashes (k0, k1), its size n, the SimHash fp of its shingles, the parities (sign) of how many fall into each of SIGN_BITS cells, and its beginning (head) in the common order."""
     sent = texts.sparkSession.sparkContext.broadcast(_heavy(texts.select(F.col(column).alias("text")), size))
 
-    @F.pandas_udf("struct<k0:long,k1:long,n:int,fp:long,head:array<long>>")
+    @F.pandas_udf("struct<k0:long,k1:long,n:int,fp:long,sign:array<long>,head:array<long>>")
     def begun(text: pd.Series) -> pd.DataFrame:
         cells, counts = sent.value
         rows = []
@@ -123,9 +127,10 @@ def _begun(texts: DataFrame, column: str, size: int, percent: int) -> Column:
             keep = n - -(-percent * n // 100) + 1 if n else 0
             k0, k1 = np.array([xxhash.xxh64_intdigest(s.tobytes(), i) for i in (0, 1)], np.uint64).view(np.int64)
             fp = np.packbits(2 * _ones(h) > len(h), bitorder="little").view(np.int64)[0]
-            rows.append((k0, k1, np.int32(n), fp, s[np.lexsort((s, weight))[:keep]].view(np.int64)))
+            sign = np.packbits(np.bincount((s % np.uint64(SIGN_BITS)).astype(np.int64), minlength=SIGN_BITS) & 1, bitorder="little").view(np.int64)
+            rows.append((k0, k1, np.int32(n), fp, sign, s[np.lexsort((s, weight))[:keep]].view(np.int64)))
         give_back()
-        return pd.DataFrame(rows, columns=["k0", "k1", "n", "fp", "head"])
+        return pd.DataFrame(rows, columns=["k0", "k1", "n", "fp", "sign", "head"])
 
     return begun(F.col(column))
 
@@ -140,11 +145,25 @@ def _simhash_pairs(heads: DataFrame, radius: int) -> tuple[DataFrame, list[DataF
     return across.union(within), [firsts, linked]
 
 
+def _possible(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """The pairs that can be similar: two sets differ in at least as many shingles as their parities differ, so no similar pair is lost."""
+    side = lambda k: heads.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("sign").alias(f"s_{k}"))
+    apart = sum((F.bit_count(F.get("s_a", F.lit(i)).bitwiseXOR(F.get("s_b", F.lit(i)))) for i in range(SIGN_BITS // 64)), F.lit(0))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where((100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select(pairs.columns)
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose nodes are not known to be of one component."""
+    label = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+    rooted = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left")
+    return rooted.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select(pairs.columns)
+
+
 def similar_links(heads: DataFrame, texts: DataFrame, size: int = 5, percent: int = 80, radius: int = 2) -> DataFrame:
-    """(node, root): components under a similarity of at least percent / 100 of the sets of heads (node, n, fp, head), which differ.
+    """(node, root): components under a similarity of at least percent / 100 of the sets of heads (node, n, fp, sign, head), which differ.
 
     `texts` (node, text) has their texts. No pair of a component is compared once it is known to be one, so a large group of near
-    copies costs each of its texts a few comparisons. What is left after the SimHash links and the pivot rounds (they are compared together) is compared in full: pairs
+    copies costs each of its texts a few comparisons. What is left after the SimHash links and the pivot rounds (they are compared together) is compared best pairs first, and at last in full: pairs
     that share a beginning and whose sizes allow it.
     """
     posted = heads.select("node", "n", F.explode("head").alias("key"))
@@ -173,10 +192,23 @@ def similar_links(heads: DataFrame, texts: DataFrame, size: int = 5, percent: in
         flip = F.col("a") > F.col("b")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(flip, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(flip, F.col("na")).otherwise(F.col("nb")).alias("nb"))
         pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).where((100 + percent) * (F.col("c") + rest) >= percent * (F.col("na") + F.col("nb")))
-        pairs = cut(pairs.select("a", "b") if k else pairs.select("a", "b").union(suggested).distinct())
+        pairs = pairs.select("a", "b", "c")
+        pairs = pairs if k else pairs.union(suggested.withColumn("c", F.lit(0).cast("long"))).groupBy("a", "b").agg(F.max("c").alias("c"))
+        pairs = cut(_possible(pairs, heads, percent))
         discard(labelled)
+        if k == PIVOT_ROUNDS:
+            for _ in range(BEST_ROUNDS):
+                # In a large group most nodes have many candidates, and one true link makes the others needless.
+                wide = pairs.agg(F.count("*").alias("n"), F.approx_count_distinct("a").alias("nodes")).first()
+                if wide.n <= 4 * wide.nodes:
+                    break
+                best = pairs.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b")).union(pairs.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")).distinct()
+                found = found.union(_similar(cut(best), texts, size, percent))
+                roots = components(found, "a", "b")
+                last, pairs = pairs, cut(_apart(pairs, roots).join(best, ["a", "b"], "left_anti"))
+                discard(last)
         if not pairs.isEmpty():
-            found = found.union(_similar(pairs, texts, size, percent))
+            found = found.union(_similar(pairs.select("a", "b"), texts, size, percent))
             roots = components(found, "a", "b")
         discard(pairs)
     discard(posted, *used)
@@ -193,7 +225,7 @@ def keep_one_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with batches_of(df.sparkSession, TEXTS_A_BATCH):
         rows = numbered(df, _begun(df, text_col, size, percent))
     nodes = cut(rows.groupBy("made.k0", "made.k1").agg(F.min(rank(id_col)).alias("first")).select("first", F.col("first.row").alias("node")))
-    heads = cut(rows.select(F.col("no").alias("node"), "made.n", "made.fp", "made.head").join(nodes.select("node"), "node", "left_semi"))
+    heads = cut(rows.select(F.col("no").alias("node"), "made.n", "made.fp", "made.sign", "made.head").join(nodes.select("node"), "node", "left_semi"))
     roots = similar_links(heads, rows.select(F.col("no").alias("node"), F.col(f"row.`{text_col}`").alias("text")), size, percent, radius)
     rooted = nodes.join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
     kept = cut(rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("no")))
