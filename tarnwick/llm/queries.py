@@ -98,7 +98,7 @@ def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnwick.llm.chat_format import format_chats, read_chats, text_content
 
     said = r"\### Assistant: </turn> ok"
-    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     rows = table(spark, sf_dir, "conversations").select(*own.columns).unionByName(own)
     read = read_chats(format_chats(rows.withColumn("content", text_content(F.col("text")))))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
