@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import cut, table
+from tarnwick.llm.common import batches_of, cut, table
 from tarnwick.llm.jaccard_dedup import keep_one_similar
 from tarnwick.llm.mixing import mix
 from tarnwick.llm.packing import pack_documents
@@ -17,7 +17,8 @@ from tarnwick.llm.secret_scan import redact
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go; null and empty texts are judged like others, an empty table stays empty, extra columns come back as they are."""
-    return keep_good(docs, table(spark, sf_dir, "labels"))
+    with batches_of(spark, 1_000):  # whole texts may be long, so Python workers get few at once; that holds for what is read within, and so the stage writes its rows itself
+        return cut(keep_good(docs, table(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,5 +61,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over documents, each one's rows written to the shared folder and read again by the next."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        made = stage(spark, docs, sf_dir)
+        docs = made if hasattr(made, "cut_path") else cut(made)
     return STAGES[-1][1](spark, docs, sf_dir)
