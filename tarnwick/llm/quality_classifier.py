@@ -63,16 +63,30 @@ def statistics(text: str | None) -> np.ndarray:
     return out
 
 
+def table_of(texts: pa.Array) -> np.ndarray:
+    """The statistics of texts, a row each; a few texts at a time become Python strings, however many there are."""
+    rows = [statistics(x) for i in range(0, len(texts), SLICE) for x in texts.slice(i, SLICE).to_pylist()]
+    return np.stack(rows) if rows else np.zeros((0, WIDTH))
+
+
 def statistics_column(text: Column) -> Column:
     @F.arrow_udf("array<double>")
     def made(texts: pa.Array) -> pa.Array:
-        # a few texts at a time become Python strings, however many the batch holds
-        flat = [statistics(x) for i in range(0, len(texts), SLICE) for x in texts.slice(i, SLICE).to_pylist()]
-        return pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(flat) if flat else np.zeros(0)), WIDTH).cast(pa.list_(pa.float64()))
+        return pa.FixedSizeListArray.from_arrays(pa.array(table_of(texts).ravel()), WIDTH).cast(pa.list_(pa.float64()))
 
     return made(text)
 
 
+def score_column(model: Model, text: Column) -> Column:
+    """The score of a text in one step, so that a task has one Python worker."""
+
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        return pa.array(model.score(table_of(texts)) if len(texts) else np.zeros(0))
+
+    return scored(text)
+
+
 @dataclass
 class Model:
     mean: np.ndarray
@@ -211,4 +225,4 @@ def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     known = known_labels(labels, id_col, label_col)
     some = df.select(F.col(id_col), F.col(text_col)).join(F.broadcast(known.select(F.col("_id").alias(id_col))), id_col, "left_semi")
     model = fit(labelled_rows(some.select(id_col, statistics_column(F.col(text_col)).alias("stats")), known, id_col))
-    return df.where(scorer(model)(statistics_column(F.col(text_col))) >= threshold)
+    return df.where(score_column(model, F.col(text_col)) >= threshold)
