@@ -48,8 +48,22 @@ def unescaped(text: Column) -> Column:
 
 def plain_html(page: Column) -> Column:
     """Text of a page: references decoded, scripts, styles and tags removed, what that leaves decoded again; white space one space."""
-    bare = F.regexp_replace(unescaped(page), r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
-    return F.trim(F.regexp_replace(unescaped(F.regexp_replace(bare, r"(?s)<[^>]*>", " ")), r"[ \t\r\n]+", " "))
+    upto = lambda t: F.substring(t, F.lit(1), F.char_length(t) - F.char_length(F.substring_index(t, ">", -1)))
+
+    def unscripted(piece: Column) -> Column:
+        """What stands before the end of a script or style, without that element; the end is kept as a tag if nothing began."""
+        opened = upto(piece).rlike("(?i)<(?:script|style)")
+        return F.when(opened, F.regexp_replace(piece, r"(?is)<(?:script|style)[^>]*>.*$", " ")).otherwise(F.concat(piece, F.lit("</s>")))
+
+    def bared(text: Column) -> Column:
+        pieces = F.split(text, r"(?i)</(?:script|style)>", -1)
+        n = F.size(pieces)
+        return F.concat(F.array_join(F.transform(F.slice(pieces, F.lit(1), n - 1), lambda p: let(p, unscripted)), ""), F.element_at(pieces, -1))
+
+    # Tags are sought up to the last > only: there each < has its >, so that no search goes on in vain.
+    untagged = lambda t: F.concat(F.regexp_replace(upto(t), r"<[^>]*>", " "), F.substring_index(t, ">", -1))
+    bare = let(unescaped(page), lambda t: let(bared(t), untagged))
+    return F.trim(F.regexp_replace(unescaped(bare), r"[ \t\r\n]+", " "))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
