@@ -58,44 +58,44 @@ AS_OF, DAYS, APPS = "2024-02-15 00:00:00", 3, 997
 
 def posting_guards(s: SparkSession, d: str) -> DataFrame:
     g = Q.guarded(F.col("text"))
-    return _cases(s, TEXTS, "text string").select("no", g["text"].alias("text"), g["invisible"].alias("invisible"), F.array_join(g["injections"], ";").alias("injections"), F.array_join(g["attention"], ";").alias("attention"), g["hostile"].alias("hostile"))
+    return _cases(s, d, TEXTS, "text string").select("no", g["text"].alias("text"), g["invisible"].alias("invisible"), F.array_join(g["injections"], ";").alias("injections"), F.array_join(g["attention"], ";").alias("attention"), g["hostile"].alias("hostile"))
 
 
 def language_gates(s: SparkSession, d: str) -> DataFrame:
     g = Q.language_gate(F.col("title"), F.col("text"), F.col("cv"))
-    return _cases(s, GATES, "title string, text string, cv string").select("no", g["score"].alias("score"), F.array_join(g["required"], ",").alias("required"), F.array_join(g["missing"], ",").alias("missing"))
+    return _cases(s, d, GATES, "title string, text string, cv string").select("no", g["score"].alias("score"), F.array_join(g["required"], ",").alias("required"), F.array_join(g["missing"], ",").alias("missing"))
 
 
 def country_members(s: SparkSession, d: str) -> DataFrame:
     own = lambda wanted: Q.in_countries(F.col("place"), F.col("title"), F.col("url"), wanted, ATLAS)
-    return _cases(s, PLACES, "place string, title string, url string").select("no", own(["Romania"]).alias("ro"), own(["de", "Portugal"]).alias("de_pt"), own(["Worldwide"]).alias("world"))
+    return _cases(s, d, PLACES, "place string, title string, url string").select("no", own(["Romania"]).alias("ro"), own(["de", "Portugal"]).alias("de_pt"), own(["Worldwide"]).alias("world"))
 
 
 def country_names(s: SparkSession, d: str) -> DataFrame:
-    return _cases(s, NAMES, "said string").select("no", Q.country_canon(F.col("said"), ATLAS).alias("country"))
+    return _cases(s, d, NAMES, "said string").select("no", Q.country_canon(F.col("said"), ATLAS).alias("country"))
 
 
 def hiring_posts(s: SparkSession, d: str) -> DataFrame:
     h = Q.hiring_intent(F.col("text"), F.col("headline"), PARAMS_AGAINST, PARAMS_FOR, PARAMS_WORDS)
-    return _cases(s, POSTS, "text string, headline string").select("no", Q.without_chrome(F.col("text")).alias("text"), h["hiring"].alias("hiring"), F.array_join(h["signals"], ";").alias("signals"))
+    return _cases(s, d, POSTS, "text string, headline string").select("no", Q.without_chrome(F.col("text")).alias("text"), h["hiring"].alias("hiring"), F.array_join(h["signals"], ";").alias("signals"))
 
 
 def author_kinds(s: SparkSession, d: str) -> DataFrame:
     a = Q.author_kind(F.col("name"), F.col("headline"), F.col("url"), BOTS, RECRUITERS)
-    return _cases(s, AUTHORS, "name string, headline string, url string").select("no", a["kind"].alias("kind"), a["delta"].alias("delta"))
+    return _cases(s, d, AUTHORS, "name string, headline string, url string").select("no", a["kind"].alias("kind"), a["delta"].alias("delta"))
 
 
 def amounts(s: SparkSession, d: str) -> DataFrame:
-    return _cases(s, MONEY, "said string").select("no", Q.amount(F.col("said")).alias("amount"))
+    return _cases(s, d, MONEY, "said string").select("no", Q.amount(F.col("said")).alias("amount"))
 
 
 def plausible_postings(s: SparkSession, d: str) -> DataFrame:
-    return _cases(s, DUTIES, "text string").select("no", Q.plausible(F.col("text")).alias("plausible"))
+    return _cases(s, d, DUTIES, "text string").select("no", Q.plausible(F.col("text")).alias("plausible"))
 
 
 def option_choices(s: SparkSession, d: str) -> DataFrame:
     choices = F.array(*[F.struct(F.lit(t).alias("text"), F.lit(v).alias("value"), F.lit(x).cast("boolean").alias("disabled")) for t, v, x in CHOICES])
-    return _cases(s, WANTED, "wanted string").select("no", Q.best_option(choices, F.col("wanted"), UNREAL)["value"].alias("value"))
+    return _cases(s, d, WANTED, "wanted string").select("no", Q.best_option(choices, F.col("wanted"), UNREAL)["value"].alias("value"))
 
 
 def _posts(s: SparkSession, d: str) -> DataFrame:
@@ -170,12 +170,12 @@ def strongest_skills(s: SparkSession, d: str) -> DataFrame:
 
 
 def strict_feed(s: SparkSession, d: str) -> DataFrame:
-    return _cases(s, ROWS, "title string, text string, url string").select("no", Q.strict_match(FEEDS, F.col("title"), F.col("text"), F.col("url"), WORDS).alias("fits"))
+    return _cases(s, d, ROWS, "title string, text string, url string").select("no", Q.strict_match(FEEDS, F.col("title"), F.col("text"), F.col("url"), WORDS).alias("fits"))
 
 
 def address_scores(s: SparkSession, d: str) -> DataFrame:
     a = Q.address_score(F.col("address"), F.col("named"), F.col("blocked"), F.col("routed"), HIRING, OTHER)
-    return _cases(s, BOXES, "address string, named boolean, blocked boolean, routed boolean").select("no", a["confidence"].alias("confidence"), a["recruitment"].alias("recruitment"), a["advice"].alias("advice"))
+    return _cases(s, d, BOXES, "address string, named boolean, blocked boolean, routed boolean").select("no", a["confidence"].alias("confidence"), a["recruitment"].alias("recruitment"), a["advice"].alias("advice"))
 
 
 def _messages(s: SparkSession, d: str) -> DataFrame:
@@ -203,12 +203,12 @@ def post_upserts(s: SparkSession, d: str) -> DataFrame:
 
 def rupee_ranges(s: SparkSession, d: str) -> DataFrame:
     pay = Q.indian_pay(F.col("said"))
-    return _cases(s, RUPEES, "said string").select("no", pay["least"].alias("least"), pay["most"].alias("most"))
+    return _cases(s, d, RUPEES, "said string").select("no", pay["least"].alias("least"), pay["most"].alias("most"))
 
 
 def cv_span_months(s: SparkSession, d: str) -> DataFrame:
     months = Q.span_months(*map(F.col, ("y0", "m0", "y1", "m1", "present")), F.lit(SPAN_TODAY).cast("date"))
-    return _cases(s, SPANS, "y0 int, m0 int, y1 int, m1 int, present boolean").select("no", months.alias("months"))
+    return _cases(s, d, SPANS, "y0 int, m0 int, y1 int, m1 int, present boolean").select("no", months.alias("months"))
 
 
 def text_keyword_hits(s: SparkSession, d: str) -> DataFrame:

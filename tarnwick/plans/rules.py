@@ -49,60 +49,64 @@ TEXT_WORDS = R.SearchWords(stop=("the", "and"), soft=("of",), classes=(("that",
 TEXT_SEARCHES = ["that edtion", "tionan the thand", "of"]
 
 
-def _cases(s: SparkSession, rows: list, shape: str) -> DataFrame:
-    return s.createDataFrame([(n, *(r if isinstance(r, tuple) else (r,))) for n, r in enumerate(rows)], f"no int, {shape}")
+def _cases(s: SparkSession, d: str, rows: list, shape: str, own: bool = True) -> DataFrame:
+    """Each document with one of the cases by its id (no): the case's columns, of which text or body has the document's own text behind it if `own`."""
+    fields = [f.strip().split(" ") for f in shape.split(",")]
+    cases = F.array(*[F.struct(*[F.lit(x).cast(t).alias(c) for x, (c, t) in zip(r if isinstance(r, tuple) else (r,), fields, strict=True)]) for r in rows])
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("no"), F.get(cases, (F.col("doc_id") % len(rows)).cast("int")).alias("case_"), F.col("text").alias("own_"))
+    return docs.select("no", *[F.concat_ws(" ", f"case_.{c}", "own_").alias(c) if own and c in ("text", "body") else F.col(f"case_.{c}") for c, _ in fields])
 
 
 def url_ids(s: SparkSession, d: str) -> DataFrame:
     u = F.col("url")
-    return _cases(s, URLS, "url string").select("no", U.job_id(u).alias("id"), U.clean_job_url(u).alias("key"), F.coalesce(U.slug_words(u), F.lit("")).alias("words"))
+    return _cases(s, d, URLS, "url string").select("no", U.job_id(u).alias("id"), U.clean_job_url(u).alias("key"), F.coalesce(U.slug_words(u), F.lit("")).alias("words"))
 
 
 def snowflake_ages(s: SparkSession, d: str) -> DataFrame:
-    return _cases(s, SNOWFLAKES, "id string").select("no", U.snowflake_ms(F.col("id"), NOW_MS).alias("ms"))
+    return _cases(s, d, SNOWFLAKES, "id string").select("no", U.snowflake_ms(F.col("id"), NOW_MS).alias("ms"))
 
 
 def age_words(s: SparkSession, d: str) -> DataFrame:
-    return _cases(s, AGES, "said string").select("no", U.age_of_words(F.col("said")).alias("hours"))
+    return _cases(s, d, AGES, "said string").select("no", U.age_of_words(F.col("said")).alias("hours"))
 
 
 def iso_stamps(s: SparkSession, d: str) -> DataFrame:
-    return _cases(s, STAMPS, "said string").select("no", U.iso_stamp(F.col("said")).alias("iso"))
+    return _cases(s, d, STAMPS, "said string").select("no", U.iso_stamp(F.col("said")).alias("iso"))
 
 
 def deadlines(s: SparkSession, d: str) -> DataFrame:
     x = U.deadline(F.col("field"), F.col("text"), F.lit(TODAY).cast("date"))
-    return _cases(s, DEADLINES, "field string, text string").select("no", x["deadline"].alias("deadline"), x["days"].alias("days"), x["label"].alias("label"))
+    return _cases(s, d, DEADLINES, "field string, text string").select("no", x["deadline"].alias("deadline"), x["days"].alias("days"), x["label"].alias("label"))
 
 
 def mailboxes(s: SparkSession, d: str) -> DataFrame:
     e = F.col("address")
-    return _cases(s, MAILBOXES, "address string").select("no", U.trimmed_address(F.coalesce(e, F.lit(""))).alias("trimmed"), U.valid_address(e, ("board.com",)).alias("valid"), F.coalesce(U.hiring_mailbox(e, HIRING, OTHER), F.lit(False)).alias("hiring"))
+    return _cases(s, d, MAILBOXES, "address string").select("no", U.trimmed_address(F.coalesce(e, F.lit(""))).alias("trimmed"), U.valid_address(e, ("board.com",)).alias("valid"), F.coalesce(U.hiring_mailbox(e, HIRING, OTHER), F.lit(False)).alias("hiring"))
 
 
 def portal_links(s: SparkSession, d: str) -> DataFrame:
-    return _cases(s, BODIES, "body string").select("no", U.portal_link(F.col("body"), F.lit("https://own")).alias("link"))
+    return _cases(s, d, BODIES, "body string").select("no", U.portal_link(F.col("body"), F.lit("https://own")).alias("link"))
 
 
 def posting_flags(s: SparkSession, d: str) -> DataFrame:
     t, u, c, x = (F.col(n) for n in ("title", "url", "company", "text"))
-    return _cases(s, POSTINGS, "title string, url string, company string, text string").select(
+    return _cases(s, d, POSTINGS, "title string, url string, company string, text string").select(
         "no", F.coalesce(x.rlike(U.REMOTE), F.lit(False)).alias("remote"), F.coalesce(F.array_join(U.job_types(x), ","), F.lit("")).alias("types"), U.language(x).alias("language"), U.company_slug(c).alias("slug"),
         U.no_posting(t, u, c, TITLES, LINKS, LISTERS).alias("no_posting"), U.spam(t, x, c, SPAM).alias("spam"),
     )
 
 
 def pay_labels(s: SparkSession, d: str) -> DataFrame:
-    return _cases(s, PAYS, "low double, high double, text string").select("no", U.pay_label(F.col("low"), F.col("high"), F.col("text")).alias("label"))
+    return _cases(s, d, PAYS, "low double, high double, text string").select("no", U.pay_label(F.col("low"), F.col("high"), F.col("text")).alias("label"))
 
 
 def search_window(s: SparkSession, d: str) -> DataFrame:
     h, c = F.col("hours"), F.col("closed")
-    return _cases(s, WINDOW, "hours double, closed boolean").select("no", U.in_window(h, c, None).alias("any_time"), U.in_window(h, c, 24.0).alias("last_day"))
+    return _cases(s, d, WINDOW, "hours double, closed boolean").select("no", U.in_window(h, c, None).alias("any_time"), U.in_window(h, c, 24.0).alias("last_day"))
 
 
 def ats_sources(s: SparkSession, d: str) -> DataFrame:
-    return _cases(s, SOURCES, "direct string, url string, site string").select("no", U.first_party(F.col("direct"), F.col("url"), F.col("site"), HOSTS, VENDORS).alias("vendor"))
+    return _cases(s, d, SOURCES, "direct string, url string, site string").select("no", U.first_party(F.col("direct"), F.col("url"), F.col("site"), HOSTS, VENDORS).alias("vendor"))
 
 
 def ats_keywords(s: SparkSession, d: str) -> DataFrame:
@@ -117,7 +121,7 @@ def ats_keywords(s: SparkSession, d: str) -> DataFrame:
 def title_relevance(s: SparkSession, d: str) -> DataFrame:
     t, x = F.col("title"), F.col("text")
     each = [R.relevance(q, t, x, WORDS).cast("int").alias(f"q{n}") for n, q in enumerate(SEARCHES)]
-    return _cases(s, ANSWERS, "title string, text string").select("no", *each, R.best_relevance(SEARCHES[:2], t, x, WORDS).cast("int").alias("best"))
+    return _cases(s, d, ANSWERS, "title string, text string").select("no", *each, R.best_relevance(SEARCHES[:2], t, x, WORDS).cast("int").alias("best"))
 
 
 def document_relevance(s: SparkSession, d: str) -> DataFrame:
@@ -129,12 +133,12 @@ def document_relevance(s: SparkSession, d: str) -> DataFrame:
 # SQL, from the rules
 
 
-def _values(rows: list, names: str, types: str) -> str:
-    """A table of the cases, each column cast once so that nulls have a type."""
+def _values(rows: list, names: str, types: str, own: bool = True) -> str:
+    """The same as SQL; each column of the cases is cast once so that nulls have a type."""
     rows = [(n, *(r if isinstance(r, tuple) else (r,))) for n, r in enumerate(rows)]
     text = ", ".join("(" + ", ".join("NULL" if x is None else MP._q(x) if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
-    cast = ", ".join(f"CAST({n} AS {t}) AS {n}" for n, t in zip(names.split(), types.split(), strict=True))
-    return f"(SELECT no, {cast} FROM (VALUES {text}) AS v(no, {', '.join(names.split())}))"
+    cast = ", ".join(f"concat_ws(' ', CAST(v.{n} AS {t}), o.own_) AS {n}" if own and n in ("text", "body") else f"CAST(v.{n} AS {t}) AS {n}" for n, t in zip(names.split(), types.split(), strict=True))
+    return f"(SELECT o.no, {cast} FROM (SELECT doc_id AS no, text AS own_ FROM documents) o LEFT JOIN (VALUES {text}) AS v(case_, {', '.join(names.split())}) ON v.case_ = o.no % {len(rows)})"
 
 
 def _first(x: str, pattern: str, n: int = 1) -> str:
