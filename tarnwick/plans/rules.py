@@ -111,11 +111,10 @@ def ats_sources(s: SparkSession, d: str) -> DataFrame:
 
 def ats_keywords(s: SparkSession, d: str) -> DataFrame:
     """The twelve skills that each posting names most, and whether the first CV has them."""
-    jobs = s.createDataFrame(MP.JOBS, "job_id string, title string, text string")
     own = P.names(P.found_terms(P.normalized(F.lit(MP.CVS[0][1]), SHORT), SHORT.tech))
     found = P.found_terms(P.normalized(F.concat_ws("\n", "title", "text"), SHORT), SHORT.tech)
     ranked = F.slice(F.array_sort(F.transform(found, lambda x: F.struct((-x["n"]).alias("m"), x["term"].alias("keyword")))), 1, 12)
-    return jobs.select("job_id", F.posexplode(ranked).alias("rank", "k")).select("job_id", (F.col("rank") + 1).alias("rank"), "k.keyword", (-F.col("k.m")).alias("mentions"), F.array_contains(own, F.col("k.keyword")).alias("in_cv"))
+    return MP.jobs(s, d).select("job_id", F.posexplode(ranked).alias("rank", "k")).select("job_id", (F.col("rank") + 1).alias("rank"), "k.keyword", (-F.col("k.m")).alias("mentions"), F.array_contains(own, F.col("k.keyword")).alias("in_cv"))
 
 
 def title_relevance(s: SparkSession, d: str) -> DataFrame:
@@ -229,7 +228,7 @@ SQL = {
         CASE WHEN coalesce(high, 0) <> 0 AND high <> coalesce(low, 0) THEN '–$' || format('{{:,}}', CAST(floor(high) AS BIGINT)) ELSE '' END AS b FROM {_values(PAYS, "low high text", "DOUBLE DOUBLE VARCHAR")})""",
     "search_window": f"SELECT no, coalesce(hours <= 2160, true) AND NOT coalesce(closed, false) AS any_time, coalesce(hours <= 24, false) AND NOT coalesce(closed, false) AS last_day FROM {_values(WINDOW, 'hours closed', 'DOUBLE BOOLEAN')}",
     "ats_sources": f"SELECT no, coalesce({', '.join(f'''CASE WHEN contains({_HOST.format(u)}, '{h}') THEN '{v}' END''' for u in ('direct', 'url') for h, v in HOSTS.items())}, CASE lower(site) WHEN 'ats_lever' THEN 'Lever' WHEN 'ats_ashby' THEN 'Ashby' WHEN 'ats' THEN 'Company ATS' END) AS vendor FROM {_values(SOURCES, 'direct url site', 'VARCHAR VARCHAR VARCHAR')}",
-    "ats_keywords": f"""WITH j AS (SELECT job_id, {MP._norm("title || chr(10) || t")} AS norm FROM (VALUES {MP._rows(MP.JOBS)}) AS v(job_id, title, t)), f AS (SELECT job_id, unnest({MP._found("norm", SHORT.tech)}) AS s FROM j),
+    "ats_keywords": f"""WITH j AS (SELECT job_id, {MP._norm("title || chr(10) || t")} AS norm FROM {MP.JOBS_SQL}), f AS (SELECT job_id, unnest({MP._found("norm", SHORT.tech)}) AS s FROM j),
         c AS (SELECT {MP._names(MP._found(f"({MP._norm(MP._q(MP.CVS[0][1]))})", SHORT.tech))} AS own)
         SELECT job_id, CAST(row_number() OVER (PARTITION BY job_id ORDER BY s.n DESC, s.term) AS INT) AS rank, s.term AS keyword, CAST(s.n AS INT) AS mentions, list_contains(own, s.term) AS in_cv FROM f, c QUALIFY rank <= 12""",
     "title_relevance": f"""WITH a AS (SELECT *, {_search("title", WORDS)} AS t, {_search("text", WORDS)} AS x FROM {_values(ANSWERS, "title text", "VARCHAR VARCHAR")})
