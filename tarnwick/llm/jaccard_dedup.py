@@ -25,7 +25,7 @@ from tarnwick.llm.simhash_dedup import SEED, _ones, _word_blocks, links, numbere
 #: The sketch counts shingles by so many leading bits of their hashes; at most so many of the fullest cells are broadcast.
 CELL_BITS = 22
 #: Parities by which pairs that can't be similar are told before their texts are fetched.
-SIGN_BITS = 2048
+SIGN_BITS, FOLDED = 2048, 8
 MOST_HEAVY = 200_000
 #: Rounds in which the texts that share a shingle are compared with one of them only, before all that is left is compared.
 PIVOT_ROUNDS = 1
@@ -145,11 +145,16 @@ def _simhash_pairs(heads: DataFrame, radius: int) -> tuple[DataFrame, list[DataF
     return across.union(within), [firsts, linked]
 
 
+def _near(apart: Column, a: str, b: str, percent: int) -> Column:
+    """Whether sets of a and b shingles that differ in at least `apart` can be similar."""
+    return (100 + percent) * apart <= (100 - percent) * (F.col(a) + F.col(b))
+
+
 def _possible(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
     """The pairs that can be similar: two sets differ in at least as many shingles as their parities differ, so no similar pair is lost."""
     side = lambda k: heads.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("sign").alias(f"s_{k}"))
     apart = sum((F.bit_count(F.get("s_a", F.lit(i)).bitwiseXOR(F.get("s_b", F.lit(i)))) for i in range(SIGN_BITS // 64)), F.lit(0))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where((100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select(pairs.columns)
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_near(apart, "n_a", "n_b", percent)).select(pairs.columns)
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -166,33 +171,40 @@ def similar_links(heads: DataFrame, texts: DataFrame, size: int = 5, percent: in
     copies costs each of its texts a few comparisons. What is left after the SimHash links and the pivot rounds (they are compared together) is compared best pairs first, and at last in full: pairs
     that share a beginning and whose sizes allow it.
     """
-    posted = heads.select("node", "n", F.explode("head").alias("key"))
+    posted = heads.select("node", "n", F.posexplode("head").alias("i", "key"))
+    # Parities of 64 * FOLDED cells, each the sum of some of the SIGN_BITS: short enough to go along with each shared shingle.
+    fold = lambda k: F.aggregate(F.array(*[F.get("sign", F.lit(i)) for i in range(k, SIGN_BITS // 64, FOLDED)]), F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y)).alias(f"s{k}")
+    folded = heads.select("node", *[fold(k) for k in range(FOLDED)])
     shared = posted.groupBy("key").agg(F.count("*").alias("_count")).where("_count > 1").select("key")
-    posted = cut(posted.join(shared, "key", "left_semi"))
+    posted = cut(posted.join(shared.hint("merge"), "key", "left_semi"))  # by the same plan whatever its size
     fits = lambda a, b: (F.lit(100) * F.least(a, b) >= percent * F.greatest(a, b))
     suggested, used = _simhash_pairs(heads, radius)
     suggested = suggested.where(fits(F.col("na"), F.col("nb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     found, roots = texts.sparkSession.createDataFrame([], "a long, b long"), texts.sparkSession.createDataFrame([], "node long, root long")
     for k in range(PIVOT_ROUNDS + 1):
-        labelled = posted.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("label"))
+        labelled = posted.join(roots, "node", "left").select("key", "node", "n", "i", F.coalesce("root", "node").alias("label"))
         open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct("node", "n", "label"), F.xxhash64(F.lit(k), "node")).alias("p")).where("lo <> hi")
-        labelled = cut(labelled.join(open_keys.select("key", "p"), "key"))
+        labelled = labelled.join(open_keys.select("key", "p"), "key")
+        labelled = cut(labelled if k < PIVOT_ROUNDS else labelled.join(folded, "node"))
         if k < PIVOT_ROUNDS:
             pairs = labelled.where((F.col("label") != F.col("p.label")) & fits(F.col("n"), F.col("p.n"))).select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("p.node").alias("b"), F.col("p.n").alias("nb"))
         else:
             # Of two texts that are not known to be one component, at least one is outside the fullest component of the key.
             most = labelled.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("most"))
-            left = labelled.join(most, "key").where("label <> most").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-            right = labelled.join(most, "key").select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), (F.col("label") == F.col("most")).alias("main"))
-            ok = (F.col("la") != F.col("lb")) & (F.col("main") | (F.col("a") < F.col("b"))) & fits(F.col("na"), F.col("nb"))
+            left = labelled.join(most, "key").where("label <> most").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("label").alias("la"), *[F.col(f"s{x}").alias(f"sa{x}") for x in range(FOLDED)])
+            right = labelled.join(most, "key").select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("label").alias("lb"), *[F.col(f"s{x}").alias(f"sb{x}") for x in range(FOLDED)], (F.col("label") == F.col("most")).alias("main"))
+            # The first shingle that a pair shares stands early enough in both for what follows it to make them similar.
+            early = (100 + percent) * F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= percent * (F.col("na") + F.col("nb"))
+            ok = (F.col("la") != F.col("lb")) & (F.col("main") | (F.col("a") < F.col("b"))) & fits(F.col("na"), F.col("nb")) & early & _near(sum((F.bit_count(F.col(f"sa{x}").bitwiseXOR(F.col(f"sb{x}"))) for x in range(FOLDED)), F.lit(0)), "na", "nb", percent)
             pairs = left.join(right, "key").where(ok).select("a", "na", "b", "nb")
-        # Of the two beginnings, the one that ends earlier in the order holds no common shingle but the shared ones, so the sets have at
-        # most those and its rest in common. The last round counts all shared ones; in the others the bound only chooses what to try.
+        # A pivot stands for a part of the shared shingles only, so in its rounds their number only chooses what to try: pairs that share enough, and those of sets
+        # that are small enough for their parities to tell. The last round tries every pair that the parities allow.
         rest = F.greatest(F.ceil(F.col("na") * percent / 100), F.ceil(F.col("nb") * percent / 100)) - 1
         flip = F.col("a") > F.col("b")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(flip, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(flip, F.col("na")).otherwise(F.col("nb")).alias("nb"))
-        pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).where((100 + percent) * (F.col("c") + rest) >= percent * (F.col("na") + F.col("nb")))
-        pairs = pairs.select("a", "b", "c")
+        pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+        likely = ((100 + percent) * (F.col("c") + rest) >= percent * (F.col("na") + F.col("nb"))) | (F.col("na") + F.col("nb") < 2 * SIGN_BITS)
+        pairs = (pairs.where(likely) if k < PIVOT_ROUNDS else pairs).select("a", "b", "c")
         pairs = pairs if k else pairs.union(suggested.withColumn("c", F.lit(0).cast("long"))).groupBy("a", "b").agg(F.max("c").alias("c"))
         pairs = cut(_possible(pairs, heads, percent))
         discard(labelled)
