@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tarnwick.operators import purge as P
 from tarnwick.session import table
 
-LEAST = -900
+LEAST = -500
 
 
 def purge_cascade(s: SparkSession, d: str) -> DataFrame:
