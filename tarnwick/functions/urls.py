@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tarnwick.functions.text import let
+
 #: Fixed second-level labels under two-letter country domains.
 SECOND_LEVEL = ("co", "com", "org", "net", "ac", "gov")
 #: Fixed patterns of boards whose URLs hold an id, in the order they are tried: name, pattern, the groups that make the id.
@@ -40,11 +42,13 @@ NO_PERSON = ("noreply", "no-reply", "donotreply", "do-not-reply", "mailer-daemon
 NO_DOMAIN = ("example.com", "example.org", "test.com", "sentry.io", "sentry-next.wixpress.com")
 TRAILING = ("please", "contact", "if", "we", "for", "to", "or", "and", "send", "reach", "do", "not", "apply", "email")
 COMMON_ENDS = ("com", "org", "net", "edu", "gov", "io", "ai", "co", "tech", "app", "dev", "uk", "de", "fr", "ca", "us")
-#: Patterns begin only where a run begins (lookbehind) and don't step back into it (++), so that long runs cost one pass and no stack.
-SPELLED_AT = r"(?i)(?<!\s)\s*+(?:\[at\]|\(at\)|\[@\]|\bat\b)\s*+"
-SPELLED_DOT = r"(?i)(?<!\s)\s*+(?:\[dot\]|\(dot\)|\bdot\b)\s*+"
-SPACED = r"(?<![a-zA-Z0-9._%+-])([a-zA-Z0-9._%+-]++)\s*+@\s*+([a-zA-Z0-9.-]+)\s*\.\s*+([a-zA-Z]{2,10})"
-EMAIL = r"(?<![a-zA-Z0-9._%+-])[a-zA-Z0-9._%+-]++@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,10}"
+#: Patterns begin only where a run begins (lookbehind) or the match before ended (\G), and don't step back into a run (++), so that long runs cost one pass and no stack.
+#: White space and word boundaries are those of ASCII.
+_SPACE, _BOX = r"[ \t\n\f\r]", "[a-zA-Z0-9._%+-]"
+SPELLED_AT = rf"(?i)(?:(?<!{_SPACE})|\G){_SPACE}*+(?:\[at\]|\(at\)|\[@\]|(?<![a-z0-9_])at(?![a-z0-9_])){_SPACE}*+"
+SPELLED_DOT = rf"(?i)(?:(?<!{_SPACE})|\G){_SPACE}*+(?:\[dot\]|\(dot\)|(?<![a-z0-9_])dot(?![a-z0-9_])){_SPACE}*+"
+SPACED = rf"(?:(?<!{_BOX})|\G)({_BOX}++){_SPACE}*+@{_SPACE}*+([a-zA-Z0-9.-]+){_SPACE}*\.{_SPACE}*+([a-zA-Z]{{2,10}})"
+EMAIL = rf"(?:(?<!{_BOX})|\G){_BOX}++@[a-zA-Z0-9.-]+\.[a-zA-Z]{{2,10}}"
 #: Fixed mail hosts open to all, and names of shared mailboxes.
 FREE_MAIL = ("gmail.com", "outlook.com", "yahoo.com", "hotmail.com", "gmx.de")
 SHARED = ("hr", "jobs", "careers", "recruiting", "info", "contact", "hello", "support", "sales", "admin", "team")
@@ -72,8 +76,13 @@ def root_domain(name: Column) -> Column:
 
 def emails(text: Column) -> Column:
     """Distinct addresses in order of appearance, in lower case; spelled-out and spaced signs are read as such, false addresses left out."""
-    plain = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), SPELLED_AT, "@"), SPELLED_DOT, ".")
-    raw = F.transform(F.regexp_extract_all(F.regexp_replace(plain, SPACED, "$1@$2.$3"), F.lit(EMAIL), F.lit(0)), F.lower)
+
+    def found(at: Column) -> Column:
+        plain = F.when(at.rlike(r"(?i)dot"), F.regexp_replace(at, SPELLED_DOT, ".")).otherwise(at)
+        each = F.transform(F.regexp_extract_all(F.regexp_replace(plain, SPACED, "$1@$2.$3"), F.lit(EMAIL), F.lit(0)), F.lower)
+        return F.when(at.contains("@"), each).otherwise(F.array().cast("array<string>"))  # most texts end here
+
+    raw = let(F.regexp_replace(F.coalesce(text, F.lit("")), SPELLED_AT, "@"), found)
 
     def trimmed(e: Column) -> Column:
         parts = F.split(e, r"\.")

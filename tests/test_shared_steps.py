@@ -4,8 +4,9 @@ import time
 
 from pyspark.sql import functions as F
 
+from tarnwick.functions import urls
 from tarnwick.functions.lexicon import SHORT
-from tarnwick.operators import match
+from tarnwick.operators import entity, match
 from tarnwick.plans import matching
 
 PROSE = "tionan ererly build of a thand edtion, in 2020; we ship (often) and test. " * 270
@@ -27,3 +28,26 @@ def test_candidates_do_not_repeat_the_posting(spark):
     assert _seconds(out) < 25
     row = out.where("id = 7").first()
     assert (row.place_score, row.seniority_gap, row.available) == (100, False, False)
+
+
+def test_addresses_that_follow_each_other(spark):
+    cases = {
+        "ab at cd dot dot com": ["ab@cd..com"], "ann@b.com1x@yy.de": ["ann@b.com", "1x@yy.de"], "a@b.abcdefghijklmno@xx.com": ["klmno@xx.com"], "ab\x0b@cd.com": [], "ab\x0bat cd.com": [], "foo@at at bar.com": [], "jo at cd dot com at ef dot org": ["jo@cd.com"],
+    }
+    rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", urls.emails(F.col("t")).alias("e"))
+    assert {r.t: r.e for r in rows.collect()} == cases
+
+
+def test_links_of_a_hot_value(spark):
+    left, right = (spark.range(20_000).select(F.col("id").alias(c), F.lit("hot").alias(f"{c}_a"), (F.col("id") % n).alias(f"{c}_b")) for c, n in (("l", 7000), ("r", 5000)))
+    links = entity.scored_links(left, right, "l", "r", [(F.col("l_a"), F.col("r_a"), 45), (F.col("l_b"), F.col("r_b"), 30)], 30)
+    assert _seconds(links) < 20
+    got = {r.l: (r.r, r.score) for r in links.where("l in (3, 4999, 5000, 6999, 7003)").collect()}
+    assert got == {3: (3, 75), 4999: (4999, 75), 5000: (0, 45), 6999: (0, 45), 7003: (3, 75)}
+
+
+def test_nearest_in_a_hot_bin(spark):
+    left, right = (spark.range(40_000).select(F.col("id").alias(c), F.lit(1).alias("nation"), (F.col("id") % n / 100).alias("value")) for c, n in (("x", 30_000), ("y", 20_000)))
+    near = entity.nearest(left, right, "x", "y", 1000)
+    assert _seconds(near) < 20
+    assert {r.x: (r.y, r.gap) for r in near.where("x in (5, 19999, 20010, 30005)").collect()} == {5: (5, 0.0), 19999: (19999, 0.0), 20010: (19999, 0.11), 30005: (5, 0.0)}
