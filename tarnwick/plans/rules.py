@@ -111,10 +111,11 @@ def ats_sources(s: SparkSession, d: str) -> DataFrame:
 
 def ats_keywords(s: SparkSession, d: str) -> DataFrame:
     """The twelve skills that each posting names most, and whether the first CV has them."""
-    own = P.names(P.found_terms(P.normalized(F.lit(MP.CVS[0][1]), SHORT), SHORT.tech))
+    own = s.range(1).select(P.names(P.found_terms(P.normalized(F.lit(MP.CVS[0][1]), SHORT), SHORT.tech)).alias("own"))  # one row, worked out once
     found = P.found_terms(P.normalized(F.concat_ws("\n", "title", "text"), SHORT), SHORT.tech)
     ranked = F.slice(F.array_sort(F.transform(found, lambda x: F.struct((-x["n"]).alias("m"), x["term"].alias("keyword")))), 1, 12)
-    return MP.jobs(s, d).select("job_id", F.posexplode(ranked).alias("rank", "k")).select("job_id", (F.col("rank") + 1).alias("rank"), "k.keyword", (-F.col("k.m")).alias("mentions"), F.array_contains(own, F.col("k.keyword")).alias("in_cv"))
+    rows = MP.jobs(s, d).select("job_id", F.posexplode(ranked).alias("rank", "k")).crossJoin(F.broadcast(own))
+    return rows.select("job_id", (F.col("rank") + 1).alias("rank"), "k.keyword", (-F.col("k.m")).alias("mentions"), F.array_contains("own", F.col("k.keyword")).alias("in_cv"))
 
 
 def title_relevance(s: SparkSession, d: str) -> DataFrame:
