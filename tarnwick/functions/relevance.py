@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tarnwick.functions.text import PLURALS, singular
+from tarnwick.functions.text import PLURALS, let, singular
 
 #: Fixed spellings that are one word for search, in the order they are replaced.
 SPELLINGS = (
@@ -62,17 +62,26 @@ def core_words(query: str, words: SearchWords) -> list[str]:
 
 def relevance(query: str, title: Column, description: Column, words: SearchWords) -> Column:
     """0 to 100: the phrase in the title 100, all its words 90, some 40 to 80, the description alone at most 38; a technique must be named."""
+    return F.get(relevances([query], title, description, words), F.lit(0))
+
+
+def relevances(queries: list[str], title: Column, description: Column, words: SearchWords) -> Column:
+    """Array of relevance() of each query: title and description are read once for all of them."""
+    low = lambda text: F.lower(F.coalesce(text, F.lit("")))
+    each = lambda t, x, named, described: F.array(*[_judged(q, t, x, named, described, words) for q in queries])
+    return let(low(title), lambda t: let(low(description), lambda x: let(search_classes(t, words), lambda named: let(search_classes(x, words), lambda described: each(t, x, named, described)))))
+
+
+def _judged(query: str, plain_title: Column, plain_text: Column, named: Column, described: Column, words: SearchWords) -> Column:
     core = core_words(query, words)
     if not core:
         return F.lit(50)
     low = query.lower().strip()
     asked = [words.class_of(w) for w in core]
     anchors = sorted({words.class_of(w) for w in core if w in words.anchors})
-    named, described = search_classes(title, words), search_classes(description, words)
     lit = lambda values: F.array(*map(F.lit, values))
     hits = sum((F.array_contains(named, a).cast("int") for a in asked), F.lit(0))
     far = sum((F.array_contains(described, a).cast("int") for a in asked), F.lit(0))
-    plain_title, plain_text = F.lower(F.coalesce(title, F.lit(""))), F.lower(F.coalesce(description, F.lit("")))
     out = F.when(plain_title.rlike(rf"\b{re.sub(r'([^\w\s])', r'\\\1', low)}\b"), 100)
     if anchors:
         missing = ~F.arrays_overlap(named, lit(anchors))
@@ -82,4 +91,5 @@ def relevance(query: str, title: Column, description: Column, words: SearchWords
 
 
 def best_relevance(queries: list[str], title: Column, description: Column, words: SearchWords) -> Column:
-    return F.greatest(F.lit(0), *[relevance(q, title, description, words) for q in queries if q], F.lit(0))
+    asked = [q for q in queries if q]
+    return F.greatest(F.lit(0), F.array_max(relevances(asked, title, description, words))) if asked else F.lit(0)

@@ -4,10 +4,11 @@ import time
 
 from pyspark.sql import functions as F
 
-from tarnwick.functions import urls
+from tarnwick.functions import posts, relevance, rules, urls
 from tarnwick.functions.lexicon import SHORT
 from tarnwick.operators import entity, match
 from tarnwick.plans import matching
+from tarnwick.plans import posts as matching_posts
 
 PROSE = "tionan ererly build of a thand edtion, in 2020; we ship (often) and test. " * 270
 
@@ -51,3 +52,14 @@ def test_nearest_in_a_hot_bin(spark):
     near = entity.nearest(left, right, "x", "y", 1000)
     assert _seconds(near) < 20
     assert {r.x: (r.y, r.gap) for r in near.where("x in (5, 19999, 20010, 30005)").collect()} == {5: (5, 0.0), 19999: (19999, 0.0), 20010: (19999, 0.11), 30005: (5, 0.0)}
+
+
+def test_texts_are_read_once(spark):
+    rows = _texts(spark, 600).select("text", F.lit("Go Engineer").alias("title"))
+    text, title, day = F.col("text"), F.col("title"), F.lit("2026-01-15").cast("date")
+    each = {
+        "relevance": relevance.best_relevance(["Senior Full Stack Engineer", "data analyst", "golang"], title, text, relevance.SearchWords()), "deadline": rules.deadline(title, text, day),
+        "gate": posts.language_gate(title, text, title), "hiring": posts.hiring_intent(text, title, matching_posts.PARAMS_AGAINST, matching_posts.PARAMS_FOR, matching_posts.PARAMS_WORDS),
+    }
+    took = {name: _seconds(rows.select(c.alias("x"))) for name, c in each.items()}
+    assert max(took.values()) < 12, took
