@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tarnwick.functions.text import let
 from tarnwick.functions.urls import COMMON_ENDS, FILE_ENDS, NO_DOMAIN, TRAILING, canonical_url, host
 
 #: Fixed patterns of a posting's id in its URL, in the order they are tried.
@@ -27,6 +28,8 @@ DEADLINE = (
     r"(?i)(?:application\s+deadline|apply\s+(?:by|before|no\s+later\s+than)|closing\s+date|applications?\s+close(?:\s+on)?|posting\s+closes(?:\s+on)?|date\s+limite(?:\s+de\s+candidature)?|bewerbungsfrist|sista\s+ans[oö]kningsdag)"
     r"\s*[:\-–]?\s*([^\n.;]{4,40})"
 )
+#: What every text with such a phrase holds in lower case: a cheap test before the pattern.
+DEADLINE_HOLDS = ("application", "apply", "closing", "posting", "date", "bewerbungsfrist", "sista")
 #: Fixed words of links to a career portal, and of links that never are one.
 PORTAL = "career|karriere|job|opening|apply|workday|greenhouse|lever|emply|recruitee|vacanc"
 NO_PORTAL = r"linkedin\.com/company|t\.me|twitter\.com|facebook\.com|instagram\.com|youtube\.com|unsubscribe"
@@ -84,15 +87,24 @@ def loose_date(text: Column) -> Column:
     """The first date of a text: year-month-day, Month day, year or day Month year, with months in English or French."""
     months = F.create_map(*[x for name, n in MONTHS.items() for x in (F.lit(name), F.lit(n))])
     iso, named, led = r"\b(20[0-9]{2})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})\b", r"([A-Za-zÀ-ÿ]{3,10})\.?\s+([0-9]{1,2})(?:st|nd|rd|th)?,?\s+(20[0-9]{2})\b", r"\b([0-9]{1,2})(?:st|nd|rd|th)?\s+([A-Za-zÀ-ÿ]{3,10})\.?,?\s+(20[0-9]{2})\b"
-    month = lambda p, n: F.element_at(months, F.lower(F.regexp_extract(text, p, n)))
-    return F.coalesce(
-        _day(_group(text, iso, 1), _group(text, iso, 2), _group(text, iso, 3)), _day(_group(text, named, 3), month(named, 1), _group(text, named, 2)), _day(_group(text, led, 3), month(led, 2), _group(text, led, 1)),
-    )
+    month = lambda text, p, n: F.element_at(months, F.lower(F.regexp_extract(text, p, n)))
+    return let(text, lambda text: F.coalesce(
+        _day(_group(text, iso, 1), _group(text, iso, 2), _group(text, iso, 3)), _day(_group(text, named, 3), month(text, named, 1), _group(text, named, 2)), _day(_group(text, led, 3), month(text, led, 2), _group(text, led, 1)),
+    ))
 
 
 def deadline(field: Column, description: Column, today: Column, urgent_days: int = 7) -> Column:
     """Struct (deadline, days, label) from a field of its own or what follows a phrase in the description; nulls if there is none."""
-    day = F.coalesce(loose_date(F.coalesce(field, F.lit(""))), loose_date(F.regexp_extract(F.coalesce(description, F.lit("")), DEADLINE, 1)))
+
+    def said(text: Column) -> Column:
+        low = F.lower(text)
+        return F.when(let(low, lambda x: F.exists(F.array(*map(F.lit, DEADLINE_HOLDS)), lambda w: x.contains(w))), F.regexp_extract(text, DEADLINE, 1)).otherwise("")
+
+    day = F.coalesce(loose_date(F.coalesce(field, F.lit(""))), loose_date(let(F.coalesce(description, F.lit("")), said)))
+    return let(day, lambda found: _told(found, today, urgent_days))
+
+
+def _told(day: Column, today: Column, urgent_days: int) -> Column:
     left, iso = F.datediff(day, today), F.date_format(day, "yyyy-MM-dd")
     label = F.when(left < 0, F.concat(F.lit("Deadline passed ("), iso, F.lit(")"))).when(left == 0, "Closes today!").when(left <= urgent_days, F.concat(F.lit("Closes in "), left.cast("string"), F.lit("d ("), iso, F.lit(")"))).otherwise(F.concat(F.lit("Closes "), iso))
     return F.struct(day.alias("deadline"), left.alias("days"), F.when(day.isNotNull(), label).alias("label"))
