@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tarnwick.functions.names import folded
 from tarnwick.functions.relevance import SearchWords, core_words, search_classes, search_tokens
+from tarnwick.functions.text import let
 
 #: Invisible characters, directives to a language model, and requests that show a reader's attention, each with its label.
 INVISIBLE = r"[\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2069}\x{feff}\x{e0000}-\x{e007f}]"
@@ -39,6 +40,8 @@ CHROME = (
     r"(?i)\b(?:\d+\s*million\+|1\s*billion\+?)?\s*members\s*\|\s*manage your professional identity\.?", r"(?i)manage your professional identity\.?\s*build and engage with your professional network\.?",
     r"(?i)build and engage with your professional network\.?\s*access knowledge,\s*insights and opportunities\.?", r"(?i)access knowledge,\s*insights and opportunities\.?", r"(?i)sign in to view more content.*$", r"(?i)create your free account or sign in.*$",
 )
+#: What every text with one of them holds in lower case: a cheap test before the patterns.
+CHROME_HOLDS = ("manage your professional identity", "build and engage with your professional network", "access knowledge,", "sign in to view more content", "create your free account or sign in")
 APPLY_LINK = r"(?i)https?://[^\s]+(?:apply|job|career|lever\.co|greenhouse\.io|workday|ashbyhq\.com|bamboohr\.com)"
 HIRING_HEADLINE = r"(?i)\b(recruiter|talent acquisition|hiring manager|head of talent|technical recruiter|hr manager|lead recruiter|sourcer|hrbp|people operations)\b"
 #: Kinds of words that a plausible posting has, and the least of its length and of such words.
@@ -70,13 +73,15 @@ def guarded(text: Column) -> Column:
 
 def language_gate(title: Column, description: Column, cv: Column) -> Column:
     """Struct (score, required, missing): languages that a posting requires, and which of them a CV doesn't name (all, without a CV)."""
-    said, own = F.concat(_low(title), F.lit("\n"), _low(description)), _low(cv)
-    asks = lambda x: said.rlike(rf"{BEFORE_LANGUAGE}{x}\b|\b{x}{AFTER_LANGUAGE}|{MUST_SPEAK}{x}\b")
+    return let(F.concat(_low(title), F.lit("\n"), _low(description)), lambda said: let(_low(cv), lambda own: _gated(said, own)))
+
+
+def _gated(said: Column, own: Column) -> Column:
+    asks = lambda x: said.contains(x) & said.rlike(rf"{BEFORE_LANGUAGE}{x}\b|\b{x}{AFTER_LANGUAGE}|{MUST_SPEAK}{x}\b")
     present = lambda test: F.filter(F.array(*[F.when(test(x), F.lit(x.capitalize())) for x in LANGUAGES]), lambda x: x.isNotNull())
-    required = present(asks)
-    missing = F.array_except(required, present(lambda x: own.rlike(rf"\b{x}\b")))
-    score = F.when(F.size(required) == 0, 4.5).when(F.size(missing) == 0, 4.8).when(own == "", 3.0).otherwise(1.8)
-    return F.struct(score.alias("score"), required.alias("required"), missing.alias("missing"))
+    lacking = lambda required: F.array_except(required, present(lambda x: own.contains(x) & own.rlike(rf"\b{x}\b")))
+    score = lambda required, missing: F.when(F.size(required) == 0, 4.5).when(F.size(missing) == 0, 4.8).when(own == "", 3.0).otherwise(1.8)
+    return let(present(asks), lambda required: let(lacking(required), lambda missing: F.struct(score(required, missing).alias("score"), required.alias("required"), missing.alias("missing"))))
 
 
 @dataclass(frozen=True)
@@ -143,10 +148,15 @@ def in_countries(location: Column, title: Column, url: Column, wanted: list[str]
 
 def without_chrome(text: Column) -> Column:
     """A post without the lines that its site puts around it."""
-    out = F.coalesce(text, F.lit(""))
-    for pattern in CHROME:
-        out = F.regexp_replace(out, pattern, " ")
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+
+    def bared(plain: Column) -> Column:
+        out = plain
+        for pattern in CHROME:
+            out = F.regexp_replace(out, pattern, " ")
+        framed = let(F.lower(plain), lambda low: F.exists(F.array(*map(F.lit, CHROME_HOLDS)), lambda w: low.contains(w)))
+        return F.when(framed, out).otherwise(plain)
+
+    return F.trim(F.regexp_replace(let(F.coalesce(text, F.lit("")), bared), r"\s+", " "))
 
 
 def _links_to_apply(text: Column) -> Column:
@@ -157,18 +167,21 @@ def _links_to_apply(text: Column) -> Column:
 
 def hiring_intent(text: Column, headline: Column, against: tuple[str, ...], signals: tuple[str, ...], words: tuple[str, ...]) -> Column:
     """Struct (hiring, signals) of a post: any pattern against rejects; a signal, a link to apply, a recruiter's headline or, failing those, a word accepts."""
-    clean = without_chrome(text)
-    said = F.lower(F.trim(F.concat_ws(" ", clean, F.coalesce(headline, F.lit("")))))
+    said = lambda clean: F.lower(F.trim(F.concat_ws(" ", clean, F.coalesce(headline, F.lit("")))))
+    return let(without_chrome(text), lambda clean: let(said(clean), lambda low: _hires(clean, low, headline, against, signals, words)))
+
+
+def _hires(clean: Column, said: Column, headline: Column, against: tuple[str, ...], signals: tuple[str, ...], words: tuple[str, ...]) -> Column:
     found = F.filter(F.array(*[F.nullif(F.trim(F.regexp_extract(said, p, 0)), F.lit("")) for p in signals], F.when(_links_to_apply(clean), F.lit("direct_apply_link")), F.when(F.coalesce(headline, F.lit("")).rlike(HIRING_HEADLINE), F.lit("recruiter_author"))), lambda x: x.isNotNull())
     weak = F.lit(False)
     for w in words:
         weak = weak | said.contains(w)
-    found = F.when(F.size(found) > 0, found).when(weak, F.array(F.lit("verified_hiring_keyword"))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    signs = let(found, lambda f: F.when(F.size(f) > 0, f).when(weak, F.array(F.lit("verified_hiring_keyword"))).otherwise(none))
     out = (clean == "") | (F.char_length(said) < 20)
     for p in against:
         out = out | said.rlike(p)
-    found = F.when(out, F.array().cast("array<string>")).otherwise(found)
-    return F.struct((F.size(found) > 0).alias("hiring"), found.alias("signals"))
+    return let(F.when(out, none).otherwise(signs), lambda f: F.struct((F.size(f) > 0).alias("hiring"), f.alias("signals")))
 
 
 def author_kind(name: Column, headline: Column, url: Column, bots: tuple[str, ...], recruiters: tuple[str, ...]) -> Column:
