@@ -109,7 +109,8 @@ def greedy_dedup(s: SparkSession, d: str) -> DataFrame:
     """Documents as postings with several keys: their whole text, and their first and last hundred words, so that rows meet across keys."""
     words = F.filter(F.split(T.cleaned(F.coalesce("text", F.lit(""))), " "), lambda w: w != "")
     part = lambda a: F.md5(F.array_join(a, " "))
-    keys = F.array(F.concat(F.lit("t:"), F.md5(F.coalesce("text", F.lit("")))), F.concat(F.lit("a:"), part(F.slice(words, 1, 100))), F.concat(F.lit("z:"), part(F.reverse(F.slice(F.reverse(words), 1, 100)))))
+    whole = F.concat(F.lit("t:"), F.md5(F.coalesce("text", F.lit(""))))
+    keys = T.let(words, lambda w: F.array(whole, F.concat(F.lit("a:"), part(F.slice(w, 1, 100))), F.concat(F.lit("z:"), part(F.reverse(F.slice(F.reverse(w), 1, 100))))))
     return entity.greedy_merge(table(s, d, "documents").select("doc_id", keys.alias("keys")), "doc_id", "keys")
 
 

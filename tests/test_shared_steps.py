@@ -63,3 +63,12 @@ def test_texts_are_read_once(spark):
     }
     took = {name: _seconds(rows.select(c.alias("x"))) for name, c in each.items()}
     assert max(took.values()) < 12, took
+
+
+def test_greedy_merge_of_many_and_of_long_chains(spark):
+    alone = spark.range(1000, 31_000).select(F.col("id").alias("seq"), F.array(F.concat(F.lit("own"), "id")).alias("keys"))
+    chain = spark.range(300).select(F.col("id").alias("seq"), F.array(F.concat(F.lit("k"), "id"), F.concat(F.lit("k"), F.col("id") + 1)).alias("keys"))
+    start = time.monotonic()
+    got = {r.seq: r.cluster for r in entity.greedy_merge(alone.union(chain), "seq", "keys").collect()}
+    assert got == {n: n for n in range(1000, 31_000)} | dict.fromkeys(range(300), 0)
+    assert time.monotonic() - start < 60
