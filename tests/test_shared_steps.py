@@ -72,3 +72,14 @@ def test_greedy_merge_of_many_and_of_long_chains(spark):
     got = {r.seq: r.cluster for r in entity.greedy_merge(alone.union(chain), "seq", "keys").collect()}
     assert got == {n: n for n in range(1000, 31_000)} | dict.fromkeys(range(300), 0)
     assert time.monotonic() - start < 60
+
+
+def test_postings_words_are_not_shuffled(spark):
+    cvs = spark.createDataFrame([("c", "python and python and kafka"), ("none", "")], "cv_id string, cv_text string")
+    jobs = spark.createDataFrame([(1, "", "kafka python kafka python"), (2, "", ""), (3, "", "soup")], "job_id long, title string, text string")
+    out = match.cv_match(cvs, jobs, SHORT)
+    assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r.cv_id, r.job_id): r.semantic_score for r in out.collect()}
+    assert got[("c", 1)] > 0 and all(n == 0 for k, n in got.items() if k != ("c", 1))
+    counted = spark.createDataFrame([(["b", "a", "b", "a"],), ([],), (["x"],)], "w array<string>").select(match.counted_terms(F.col("w")).alias("f")).select("f.*").collect()
+    assert [dict(zip(r.terms, r.counts, strict=True)) for r in counted] == [{"a": 2, "b": 2, "a b": 1, "b a": 2}, {}, {"x": 1}]
