@@ -58,7 +58,8 @@ def inbox_stream(s: SparkSession, d: str) -> DataFrame:
     path, rows = shared_path(s, "inbox"), replies(s, d)
     for n in range(BATCHES):
         part = F.pmod(F.xxhash64("seq"), F.lit(BATCHES))
-        rows.where((part == n) | ((part == n - 1) & (F.col("seq") % 5 == 0))).write.parquet(f"{path}/part={n}")
+        # An application's replies of a part lie in one file, so that the batches of a part each take their own applications and none is told again for every batch.
+        rows.where((part == n) | ((part == n - 1) & (F.col("seq") % 5 == 0))).repartition("app").write.parquet(f"{path}/part={n}")
     stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(f"{path}/part=*")
     told = live.inbox(I.classified(stream), "app", "ts", "seq", "sender", "subject", "cur", "soft", late="400 days")
     return live.latest(streams.drained(told, "update"), "app").drop("n_late", "n_read")

@@ -74,3 +74,15 @@ def test_corrections(spark):
     df = spark.createDataFrame(rows, "app int, seq int, was string, intent string, cur string").withColumn("ts", F.timestamp_seconds("seq"))
     got = {r.app: (r.status, r.fixed) for r in I.reconciled(df, "app", "ts", "seq", "was", "intent", "cur").collect()}
     assert got == {1: ("rejected", True), 2: ("interview", False), 3: ("offer", False), 4: ("review", False), 6: ("interview", True), 7: (None, False)}
+
+
+def test_a_part_tells_each_application_from_one_file(spark, tmp_path, monkeypatch):
+    from tarnwick.plans import inbox as plans
+
+    kept = plans.shared_path
+    monkeypatch.setattr(plans, "shared_path", lambda s, name: f"{tmp_path}/{name}" if name == "inbox" else kept(s, name))
+    many = tmp_path / "in"
+    spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").repartition(8).write.parquet(f"{many}/conversations.parquet")
+    plans.inbox_stream(spark, str(many))
+    files = spark.read.parquet(f"{tmp_path}/inbox").select("part", "app", F.input_file_name().alias("file")).distinct()
+    assert files.groupBy("part", "app").count().where("count > 1").isEmpty()
