@@ -68,9 +68,8 @@ def _words(df: DataFrame, key: str) -> DataFrame:
 
 def bm25_best(s: SparkSession, d: str) -> DataFrame:
     """The best document for each benchmark text, ties to the smaller id."""
-    pairs = scoring.bm25_pairs(_words(table(s, d, "benchmark"), "item_id"), _words(table(s, d, "documents"), "doc_id"), "item_id", "doc_id")
-    best = pairs.groupBy("item_id").agg(F.min(F.struct((-F.col("bm25")).alias("m"), "doc_id")).alias("x"))
-    return best.select("item_id", F.col("x.doc_id").alias("doc_id"), (-F.col("x.m")).alias("bm25"))
+    docs = table(s, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("tokens"))
+    return scoring.bm25_best(_words(table(s, d, "benchmark"), "item_id"), docs, "item_id", "doc_id")
 
 
 def keyword_recall(s: SparkSession, d: str) -> DataFrame:

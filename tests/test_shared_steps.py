@@ -1,12 +1,14 @@
 """Steps that several queries share: each text is read once, whatever the number of rules that ask about it."""
 
+import math
+import re
 import time
 
 from pyspark.sql import functions as F
 
 from tarnwick.functions import posts, relevance, rules, urls
 from tarnwick.functions.lexicon import SHORT
-from tarnwick.operators import entity, match
+from tarnwick.operators import entity, match, scoring
 from tarnwick.plans import matching
 from tarnwick.plans import posts as matching_posts
 
@@ -83,3 +85,23 @@ def test_postings_words_are_not_shuffled(spark):
     assert got[("c", 1)] > 0 and all(n == 0 for k, n in got.items() if k != ("c", 1))
     counted = spark.createDataFrame([(["b", "a", "b", "a"],), ([],), (["x"],)], "w array<string>").select(match.counted_terms(F.col("w")).alias("f")).select("f.*").collect()
     assert [dict(zip(r.terms, r.counts, strict=True)) for r in counted] == [{"a": 2, "b": 2, "a b": 1, "b a": 2}, {}, {"x": 1}]
+
+
+def test_best_document_across_small_batches(spark):
+    words = [["a", "b", "a"], [], ["b"], ["c", "c", "c", "a"], ["b"], ["a", "a", "b"], ["z"]]
+    docs = spark.createDataFrame([(n, w) for n, w in enumerate(words)] + [(None, ["c"])], "doc long, tokens array<string>").coalesce(1)
+    asked = spark.createDataFrame([("x", "a"), ("x", "b"), ("x", "b"), ("y", "b"), ("z", "c"), ("none", "q")], "item string, token string")
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        out = scoring.bm25_best(asked, docs, "item", "doc")
+        got = {r.item: (r.doc, r.bm25) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert not re.search(r"hashpartitioning\((item|q)#\d+L?, (doc|d)#", out._jdf.queryExecution().executedPlan().toString())
+
+    def score(item, w):
+        mine = {t for i, t in (("x", "a"), ("x", "b"), ("y", "b"), ("z", "c")) if i == item}
+        return round(min(1.0, sum(math.log(4) * w.count(t) * 2.5 / (w.count(t) + 1.5 * (0.25 + 0.75 * len(w) / 150)) for t in mine if t in w) / (len(mine) * math.log(2) * 2.5)), 6)
+
+    assert got == {i: min(((n, score(i, w)) for n, w in enumerate(words)), key=lambda x: (-x[1], x[0])) for i in ("x", "y", "z")}
