@@ -37,10 +37,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage ends there, and a lost executor costs nothing."""
+    """Write df to the shared folder and read it back: the lineage ends there, and a lost executor costs nothing. What was shuffled for it is deleted at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     read = spark.read.schema(df.schema).parquet(path)
     read.cut_path = path
     return read
@@ -55,17 +56,25 @@ def discard(*tables: DataFrame) -> None:
 
 
 @contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """While it lasts, Python workers get at most so many rows at once (fewer if the session says so): whole texts may be long."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def setting(spark: SparkSession, name: str, value: str | int) -> Iterator[None]:
+    """While it lasts, the session has this setting."""
     before = spark.conf.get(name)
-    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """While it lasts, Python workers get at most so many rows at once (fewer if the session says so): whole texts may be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(name))
+    with setting(spark, name, min(rows, before) if before > 0 else rows):
+        yield
+
+
 def give_back() -> None:
     """In a Python worker: memory that is free goes back to the system. Workers outlive their tasks, and those of several stages stand side by side in an executor."""
     gc.collect()

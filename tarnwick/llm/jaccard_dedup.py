@@ -15,7 +15,7 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwick.llm.common import batches_of, cut, discard, give_back
@@ -24,7 +24,7 @@ from tarnwick.llm.simhash_dedup import SEED, _ones, _word_blocks, links, numbere
 
 #: The sketch counts shingles by so many leading bits of their hashes; at most so many of the fullest cells are broadcast.
 CELL_BITS = 22
-#: Parities by which pairs that can't be similar are told before their texts are fetched.
+#: Parities by which pairs that can't be similar are told before their texts are fetched: a power of two, so many at least and as many as a set has shingles.
 SIGN_BITS, FOLDED = 2048, 8
 MOST_HEAVY = 200_000
 #: Rounds in which the texts that share a shingle are compared with one of them only, before all that is left is compared.
@@ -108,7 +108,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
 
 
 def _begun(texts: DataFrame, column: str, size: int, percent: int) -> Column:
-    """A text's set as two hashes (k0, k1), its size n, the SimHash fp of its shingles, the parities (sign) of how many fall into each of SIGN_BITS cells, and its beginning (head) in the common order."""
+    """A text's set as two hashes (k0, k1), its size n, the SimHash fp of its shingles, the parities (sign) of how many fall into each of SIGN_BITS cells (more for a larger set), and its beginning (head) in the common order."""
     sent = texts.sparkSession.sparkContext.broadcast(_heavy(texts.select(F.col(column).alias("text")), size))
 
     @F.pandas_udf("struct<k0:long,k1:long,n:int,fp:long,sign:array<long>,head:array<long>>")
@@ -127,7 +127,8 @@ def _begun(texts: DataFrame, column: str, size: int, percent: int) -> Column:
             keep = n - -(-percent * n // 100) + 1 if n else 0
             k0, k1 = np.array([xxhash.xxh64_intdigest(s.tobytes(), i) for i in (0, 1)], np.uint64).view(np.int64)
             fp = np.packbits(2 * _ones(h) > len(h), bitorder="little").view(np.int64)[0]
-            sign = np.packbits(np.bincount((s % np.uint64(SIGN_BITS)).astype(np.int64), minlength=SIGN_BITS) & 1, bitorder="little").view(np.int64)
+            cells_n = max(SIGN_BITS, 1 << (n - 1).bit_length() if n else 0)
+            sign = np.packbits(np.bincount((s % np.uint64(cells_n)).astype(np.int64), minlength=cells_n) & 1, bitorder="little").view(np.int64)
             rows.append((k0, k1, np.int32(n), fp, sign, s[np.lexsort((s, weight))[:keep]].view(np.int64)))
         give_back()
         return pd.DataFrame(rows, columns=["k0", "k1", "n", "fp", "sign", "head"])
@@ -150,11 +151,19 @@ def _near(apart: Column, a: str, b: str, percent: int) -> Column:
     return (100 + percent) * apart <= (100 - percent) * (F.col(a) + F.col(b))
 
 
+def _differing(x: Column, y: Column) -> Column:
+    """How many parities of two sets differ; if one has twice as many cells as the other, its halves are added first."""
+    xor = lambda p, q: p.bitwiseXOR(q)
+    half = lambda s: F.zip_with(F.slice(s, F.lit(1), (F.size(s) / 2).cast("int")), F.slice(s, (F.size(s) / 2).cast("int") + 1, (F.size(s) / 2).cast("int")), xor)
+    even = lambda s, other: F.when(F.size(s) > F.size(other), half(s)).otherwise(s)
+    return F.aggregate(F.zip_with(even(x, y), even(y, x), lambda p, q: F.bit_count(xor(p, q))), F.lit(0), lambda total, v: total + v)
+
+
 def _possible(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
-    """The pairs that can be similar: two sets differ in at least as many shingles as their parities differ, so no similar pair is lost."""
+    """The pairs (a, b) that can be similar, and how alike (c) their parities are: two sets differ in at least as many shingles as their parities differ, so no similar pair is lost."""
     side = lambda k: heads.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("sign").alias(f"s_{k}"))
-    apart = sum((F.bit_count(F.get("s_a", F.lit(i)).bitwiseXOR(F.get("s_b", F.lit(i)))) for i in range(SIGN_BITS // 64)), F.lit(0))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(_near(apart, "n_a", "n_b", percent)).select(pairs.columns)
+    told = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", _differing(F.col("s_a"), F.col("s_b")).alias("apart"))
+    return told.where(_near(F.col("apart"), "n_a", "n_b", percent)).select("a", "b", (F.lit(1000) - F.floor(1000 * F.col("apart") / F.greatest(F.col("n_a") + F.col("n_b"), F.lit(1)))).alias("c"))
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -172,8 +181,8 @@ def similar_links(heads: DataFrame, texts: DataFrame, size: int = 5, percent: in
     that share a beginning and whose sizes allow it.
     """
     posted = heads.select("node", "n", F.posexplode("head").alias("i", "key"))
-    # Parities of 64 * FOLDED cells, each the sum of some of the SIGN_BITS: short enough to go along with each shared shingle.
-    fold = lambda k: F.aggregate(F.array(*[F.get("sign", F.lit(i)) for i in range(k, SIGN_BITS // 64, FOLDED)]), F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y)).alias(f"s{k}")
+    # Parities of 64 * FOLDED cells, each the sum of some of the sign's: short enough to go along with each shared shingle.
+    fold = lambda k: F.aggregate(F.filter("sign", lambda x, i: i % FOLDED == k), F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y)).alias(f"s{k}")
     folded = heads.select("node", *[fold(k) for k in range(FOLDED)])
     shared = posted.groupBy("key").agg(F.count("*").alias("_count")).where("_count > 1").select("key")
     posted = cut(posted.join(shared.hint("merge"), "key", "left_semi"))  # by the same plan whatever its size
@@ -185,17 +194,20 @@ def similar_links(heads: DataFrame, texts: DataFrame, size: int = 5, percent: in
         labelled = posted.join(roots, "node", "left").select("key", "node", "n", "i", F.coalesce("root", "node").alias("label"))
         open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct("node", "n", "label"), F.xxhash64(F.lit(k), "node")).alias("p")).where("lo <> hi")
         labelled = labelled.join(open_keys.select("key", "p"), "key")
-        labelled = cut(labelled if k < PIVOT_ROUNDS else labelled.join(folded, "node"))
+        # A pair that shares the shingle before this one too, with none that others share between, has been met there already.
+        before = F.lag("key").over(Window.partitionBy("node").orderBy("i")).alias("before")
+        labelled = cut(labelled if k < PIVOT_ROUNDS else labelled.select("*", before).join(folded, "node"))
         if k < PIVOT_ROUNDS:
             pairs = labelled.where((F.col("label") != F.col("p.label")) & fits(F.col("n"), F.col("p.n"))).select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("p.node").alias("b"), F.col("p.n").alias("nb"))
         else:
             # Of two texts that are not known to be one component, at least one is outside the fullest component of the key.
             most = labelled.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("most"))
-            left = labelled.join(most, "key").where("label <> most").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("label").alias("la"), *[F.col(f"s{x}").alias(f"sa{x}") for x in range(FOLDED)])
-            right = labelled.join(most, "key").select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("label").alias("lb"), *[F.col(f"s{x}").alias(f"sb{x}") for x in range(FOLDED)], (F.col("label") == F.col("most")).alias("main"))
+            left = labelled.join(most, "key").where("label <> most").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("before").alias("before_a"), F.col("label").alias("la"), *[F.col(f"s{x}").alias(f"sa{x}") for x in range(FOLDED)])
+            right = labelled.join(most, "key").select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("before").alias("before_b"), F.col("label").alias("lb"), *[F.col(f"s{x}").alias(f"sb{x}") for x in range(FOLDED)], (F.col("label") == F.col("most")).alias("main"))
             # The first shingle that a pair shares stands early enough in both for what follows it to make them similar.
             early = (100 + percent) * F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= percent * (F.col("na") + F.col("nb"))
-            ok = (F.col("la") != F.col("lb")) & (F.col("main") | (F.col("a") < F.col("b"))) & fits(F.col("na"), F.col("nb")) & early & _near(sum((F.bit_count(F.col(f"sa{x}").bitwiseXOR(F.col(f"sb{x}"))) for x in range(FOLDED)), F.lit(0)), "na", "nb", percent)
+            first = F.coalesce(F.col("before_a") != F.col("before_b"), F.lit(True))
+            ok = first & (F.col("la") != F.col("lb")) & (F.col("main") | (F.col("a") < F.col("b"))) & fits(F.col("na"), F.col("nb")) & early & _near(sum((F.bit_count(F.col(f"sa{x}").bitwiseXOR(F.col(f"sb{x}"))) for x in range(FOLDED)), F.lit(0)), "na", "nb", percent)
             pairs = left.join(right, "key").where(ok).select("a", "na", "b", "nb")
         # A pivot stands for a part of the shared shingles only, so in its rounds their number only chooses what to try: pairs that share enough, and those of sets
         # that are small enough for their parities to tell. The last round tries every pair that the parities allow.
@@ -204,8 +216,8 @@ def similar_links(heads: DataFrame, texts: DataFrame, size: int = 5, percent: in
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(flip, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(flip, F.col("na")).otherwise(F.col("nb")).alias("nb"))
         pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
         likely = ((100 + percent) * (F.col("c") + rest) >= percent * (F.col("na") + F.col("nb"))) | (F.col("na") + F.col("nb") < 2 * SIGN_BITS)
-        pairs = (pairs.where(likely) if k < PIVOT_ROUNDS else pairs).select("a", "b", "c")
-        pairs = pairs if k else pairs.union(suggested.withColumn("c", F.lit(0).cast("long"))).groupBy("a", "b").agg(F.max("c").alias("c"))
+        pairs = (pairs.where(likely) if k < PIVOT_ROUNDS else pairs).select("a", "b")
+        pairs = pairs if k else pairs.union(suggested).distinct()
         pairs = cut(_possible(pairs, heads, percent))
         discard(labelled)
         if k == PIVOT_ROUNDS:

@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import corpus_pipeline as pipeline
+from tarnwick.llm import jaccard_dedup
 from tests.llm.conftest import SF
 from tests.llm.test_operators import simhash
 
@@ -76,3 +77,30 @@ def test_hub_of_near_copies_on_either_side_of_the_threshold(spark):
     want, _ = kept_by_brute_force(texts)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert sorted(r.doc_id for r in pipeline.near_dedup(spark, docs, SF).collect()) == want
+
+
+def test_long_texts_that_share_a_passage_are_told_apart_without_their_texts(spark):
+    """2,048 parities say nothing of sets of 6,000 shingles and more; similar pairs are never lost, also where one set has twice as many cells."""
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(1500)]
+    texts = [" ".join(passage + [f"t{k}_{i}" for i in range(rng.randrange(4700, 7000))]) for k in range(8)]
+    base = [f"b{i}" for i in range(8150)]
+    texts += [" ".join(base), " ".join(base + [f"c{i}" for i in range(900)]), " ".join(edited(rng, base, 100))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    heads = docs.select("node", jaccard_dedup._begun(docs, "text", 5, 80).alias("made")).select("node", "made.*")
+    fits = [(a, b) for a, b in combinations(range(len(texts)), 2) if 5 * min(len(shingles(texts[a])), len(shingles(texts[b]))) >= 4 * max(len(shingles(texts[a])), len(shingles(texts[b])))]
+    assert len(fits) > 15
+    got = jaccard_dedup._possible(spark.createDataFrame(fits, "a long, b long"), heads, 80).select("a", "b").collect()
+    assert {tuple(r) for r in got} == {(8, 9), (8, 10), (9, 10)} & set(kept_by_brute_force(dict(enumerate(texts)))[1])
+    assert (8, 9) in {tuple(r) for r in got}
+
+
+def test_pairs_of_copies_with_shared_runs_are_met_once(spark):
+    """Near copies share long runs of shingles, with gaps between; each similar pair is found though only the first shingle of a run makes a row."""
+    rng = random.Random(13)
+    hub = [f"h{i}" for i in range(400)]
+    texts = {k: " ".join(edited(rng, hub, rng.randrange(0, 9))) for k in range(60)}
+    want, near = kept_by_brute_force(texts)
+    assert near
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert sorted(r.doc_id for r in pipeline.near_dedup(spark, docs, SF).collect()) == want
