@@ -50,13 +50,13 @@ def _trimmed(run: Column) -> Column:
     """The last words of a run without verbs and stop words at its beginning and stop words at its end."""
 
     def inner(low: Column, words: Column) -> Column:
-        first = F.array_position(F.transform(low, lambda w: w.isin(*STOP, *VERBS)), False)
-        last = F.array_position(F.transform(F.reverse(low), lambda w: w.isin(*STOP)), False)
-        n = F.size(low) - first.cast("int") + 1 - (last.cast("int") - 1)
-        return F.when((first > 0) & (n > 0), F.slice(words, first.cast("int"), n)).otherwise(F.array().cast("array<string>"))
+        first = F.array_position(F.transform(low, lambda w: w.isin(*STOP, *VERBS)), False).cast("int")
+        last = F.array_position(F.transform(F.reverse(low), lambda w: w.isin(*STOP)), False).cast("int")
+        kept = lambda at: F.size(low) - at["first"] - at["last"] + 2
+        return let(F.struct(first.alias("first"), last.alias("last")), lambda at: F.when((at["first"] > 0) & (kept(at) > 0), F.slice(words, at["first"], kept(at))).otherwise(F.array().cast("array<string>")))
 
-    words = F.filter(F.split(F.translate(run, _MARK, ""), " "), lambda w: w != "")
-    return let(F.slice(words, F.greatest(F.size(words) - LONGEST + 1, F.lit(1)), F.lit(LONGEST)), lambda w: let(F.transform(w, F.lower), lambda low: inner(low, w)))
+    words = F.split(F.translate(F.substring_index(F.rtrim(run), " ", -LONGEST), _MARK, ""), " ")
+    return let(words, lambda w: let(F.transform(w, F.lower), lambda low: inner(low, w)))
 
 
 def phrase_runs(text: Column) -> Column:
@@ -67,8 +67,9 @@ def phrase_runs(text: Column) -> Column:
     clauses = F.filter(F.split(F.coalesce(text, F.lit("")), CLAUSES), lambda c: ~c.rlike(DEGREES))
     breaks = [w for w in STOP if w not in ("of", "de")]
     marked = lambda c: F.array_join(F.transform(F.regexp_extract_all(c, F.lit(WORD), F.lit(0)), lambda t: F.when(F.lower(t).isin(*breaks), F.concat(F.lit(_MARK), t)).otherwise(t)), " ")
-    runs = F.flatten(F.transform(clauses, lambda c: F.regexp_extract_all(marked(c), F.lit(_RUN), F.lit(1))))
-    return F.filter(F.transform(F.filter(runs, lambda r: r != ""), _trimmed), lambda r: F.size(r) >= 2)
+    several = lambda r: F.instr(F.rtrim(r), " ") > 0
+    runs = F.flatten(F.transform(clauses, lambda c: F.filter(F.regexp_extract_all(marked(c), F.lit(_RUN), F.lit(1)), several)))
+    return F.filter(F.transform(runs, _trimmed), lambda r: F.size(r) >= 2)
 
 
 def telling(run: Column, title: Column, tools: Sequence[str] = (), exclude: Sequence[str] = ()) -> Column:

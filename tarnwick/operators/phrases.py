@@ -11,8 +11,12 @@ from tarnwick.functions import phrases as P
 
 
 def phrase_counts(df: DataFrame, key: str, text: Column, title: Column, tools: Sequence[str] = (), exclude: Sequence[str] = ()) -> DataFrame:
-    """(key, phrase, n, place, words): each telling phrase of a row of df in lower case, how often it comes, the place where it first does, and its words as they stand there. Counted before the shuffle."""
-    runs = df.select(F.col(key), title.alias("title_"), F.posexplode(P.phrase_runs(text)).alias("place", "words")).where(P.telling(F.col("words"), F.col("title_"), tools, exclude))
+    """(key, phrase, n, place, words): each telling phrase of a row of df in lower case, how often it comes, the place where it first does, and its words as they stand there.
+
+    Texts are dealt by their key, once: they are smaller than the phrases, and neither the counts nor what ranks them by key is shuffled again.
+    """
+    rows = df.select(F.col(key), title.alias("title_"), text.alias("text_")).repartition(key)
+    runs = rows.select(key, "title_", F.posexplode(P.phrase_runs(F.col("text_"))).alias("place", "words")).where(P.telling(F.col("words"), F.col("title_"), tools, exclude))
     phrase = F.array_join(F.transform("words", F.lower), " ")
     return runs.select(key, phrase.alias("phrase"), "place", "words").groupBy(key, "phrase").agg(F.count("*").alias("n"), F.min("place").alias("place"), F.min_by("words", "place").alias("words"))
 

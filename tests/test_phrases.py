@@ -52,3 +52,13 @@ def test_long_texts_take_linear_time(spark):
     start = time.monotonic()
     df.select(F.size(P.phrase_runs(F.col("t"))), F.size(P.named_tools(F.col("t"), F.lit("cv"), F.lit("x"), F.lit("y")))).collect()
     assert time.monotonic() - start < 60
+
+
+def test_only_texts_are_shuffled(spark):
+    """Counting by row and phrase, and ranking by row, go on where the texts were dealt; rows that share a key are counted together."""
+    df = spark.createDataFrame([(1, "data models. web data"), (1, "data models. the cloud of clouds"), (None, "data models")], "no int, t string")
+    ranked = O.key_phrases(O.phrase_counts(df, "no", F.col("t"), F.lit("x")), "no")
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1, plan
+    got = sorted((r.no or 0, r["rank"], r.phrase) for r in ranked.collect())
+    assert got == [(0, 1, "data models"), (1, 1, "data models"), (1, 2, "cloud of clouds"), (1, 3, "web data")]
