@@ -49,3 +49,34 @@ def test_shards_are_dealt_alike_whatever_the_partitions(spark, tmp_path):
             assert offset == at
             at += length
         assert at <= 2048
+
+
+class Counting:
+    """A tokenizer that counts the texts it gets."""
+
+    def __init__(self, model):
+        self.model, self.texts = model, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += len(texts)
+        return self.model.encode_batch_fast(texts, **options)
+
+
+def test_new_words_are_encoded_together():
+    path = public_tokenizers.path(WORD_TOKENIZER)
+    words, plain = packing.WordTokens(path), Tokenizer.from_file(path)
+    words.model = Counting(words.model)
+    text = " ".join(f"new{k}word,{k * k}" for k in range(12_345))
+    ids, ends = words.encode(pa.array([text, "", text]))
+    want = plain.encode(text, add_special_tokens=False).ids
+    assert ids.tolist() == want * 2 and ends.tolist() == [len(want), len(want), 2 * len(want)]
+    assert words.model.texts <= 200
+
+
+@pytest.mark.parametrize("text", ["a\0b \0 c", "\0", "Σ ΑΣ\0\0 <|endoftext|> x<|startoftext|>y", "́e   ́\0 'll 's"])
+def test_words_with_the_mark(text):
+    path = public_tokenizers.path(WORD_TOKENIZER)
+    ids, ends = packing.WordTokens(path).encode(pa.array([text, "other words", text]))
+    plain = Tokenizer.from_file(path)
+    want = [[i for w in t.encode().split() for i in plain.encode(w.decode(), add_special_tokens=False).ids] for t in (text, "other words")]
+    assert ids.tolist() == want[0] + want[1] + want[0] and ends.tolist()[-1] == len(ids)
