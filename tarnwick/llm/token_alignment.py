@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import batches_of, cut, discard
+from tarnwick.llm.common import batches_of, cut, discard, give_back
 
 #: Texts are aligned in groups of about this many bytes. A worker forgets its segments when it knows so many.
 GROUP = 2 << 20
@@ -116,7 +116,7 @@ class Pair:
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         coded = lists.flatten().dictionary_encode()
-        words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        words, index = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         # a space that follows white space (or nothing) begins no segment: texts with such spaces are cut by the pattern
         odd = np.array([not w or w[-1].isspace() for w in words], bool)
         slow = np.zeros(len(texts), np.int64)
@@ -146,6 +146,13 @@ def pair_of(a_path: str, b_path: str, remembered: int) -> Pair:
     return _PAIRS[a_path, b_path, remembered]
 
 
+def forget_pairs() -> None:
+    """What this worker has learnt of segments goes back to the system: tasks that follow the alignment in the same worker have no use for it."""
+    for pair in _PAIRS.values():
+        pair.forget()
+    give_back()
+
+
 def groups_of(batches: Iterator[pa.RecordBatch], size: int = GROUP) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about `size` bytes of text (the second column), or one text that is longer."""
     for batch in batches:
@@ -223,6 +230,7 @@ def _grouped(df: DataFrame, a_path: str, b_path: str, id_col: str, text_col: str
             flat = [pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (index[~lost], np.cumsum(kept), which, np.cumsum(held))]
             yield pa.RecordBatch.from_arrays([pa.array([no], pa.int64()), *whole, *flat], ["no", *lists, *raw])
             no += 1
+        give_back()
 
     with batches_of(df.sparkSession, 2_000):
         return cut(df.select(id_col, F.col(text_col).cast("string").alias("text_")).mapInArrow(made, schema))
@@ -257,6 +265,7 @@ def align_documents(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_
     schema = ", ".join(f"{c} {t}" for c, t in zip(columns, ["long", "int", kind, *["long"] * 4, "string", "long", "long", "array<struct<pair: long, times: long>>"], strict=True))
 
     def worth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_pairs()
         known, n, best = common.value
         for batch in batches:
             for k in range(batch.num_rows):

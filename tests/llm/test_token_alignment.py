@@ -110,3 +110,19 @@ def test_groups_are_given(spark, plain):
     df = spark.createDataFrame(list(enumerate(AWKWARD)), "doc_id int, text string")
     got = {r.doc_id: (r.n_a, r.n_b, r.n_groups, r.n_links, hashlib.sha256(r.groups.encode()).hexdigest() if r.groups else "") for r in alignments(df, A, B).collect()}
     assert got == {i: (*row[:4], row[6]) for i, row in enumerate(expected(AWKWARD, plain))}
+
+
+def test_a_worker_forgets_segments_when_it_values_pairs(monkeypatch):
+    """The tasks that follow the alignment run in the same workers, beside all that the JVM has by then; what is learnt after it is right again."""
+    import pyarrow as pa
+
+    from tarnwick.llm import token_alignment
+
+    monkeypatch.setattr(token_alignment, "_PAIRS", {})
+    pair = token_alignment.pair_of(A, B, 400_000)
+    texts = pa.array([" ".join(f"new{k}word" for k in range(20_000)), "two words"])
+    before = [x.tolist() for x in token_alignment._counted(pair, *pair.numbered(texts))[:1]]
+    assert len(pair.known) > 20_000 and len(pair.counts) > 20_000
+    token_alignment.forget_pairs()
+    assert not pair.known and not pair.texts and len(pair.counts) < 20_000
+    assert before == [x.tolist() for x in token_alignment._counted(pair, *pair.numbered(texts))[:1]]
