@@ -29,8 +29,10 @@ SIGN_BITS, FOLDED = 2048, 8
 MOST_HEAVY = 200_000
 #: Rounds in which the texts that share a shingle are compared with one of them only, before all that is left is compared.
 PIVOT_ROUNDS = 1
+#: Rows are chosen by a bit each, 64 to a long; that table is broadcast up to so many longs.
+MOST_WORDS = 1 << 20
 #: Rounds in which each text of the pairs that are left is compared with its most promising partners only, if it has many, before all that is left is compared.
-BEST_ROUNDS = 3
+WIDE_ROUNDS, BEST_ROUNDS = 1, 3
 #: Texts, and pairs of texts, that a Python worker gets at once.
 TEXTS_A_BATCH, PAIRS_A_BATCH = 1_000, 200
 
@@ -75,6 +77,15 @@ def _heavy(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     return rows.cell.to_numpy(np.int64), rows.n.to_numpy(np.int64)
 
 
+def _only(rows: DataFrame, number: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose `number` is among the first column of `wanted`. Numbers are row numbers, so 64 of them are one long of bits, and rows with whole texts stay where they are at every size."""
+    word, bit = "shiftright({0}, 6)", "shiftleft(1L, cast({0} & 63 as int))"
+    no = wanted.select(F.col(wanted.columns[0]).alias("_no"))
+    bits = cut(no.groupBy(F.expr(word.format("_no")).alias("_word")).agg(F.expr(f"bit_or({bit.format('_no')})").alias("_bits")))
+    bits = F.broadcast(bits) if bits.count() <= MOST_WORDS else bits
+    return rows.join(bits, F.expr(word.format(number)) == F.col("_word")).where(f"_bits & {bit.format(number)} <> 0").select(*[rows[c] for c in rows.columns])
+
+
 def _similar(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sets have a similarity of at least percent / 100. Texts travel to the pairs, as they are smaller than their sets."""
 
@@ -99,7 +110,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
         return pd.Series(out, dtype=bool)
 
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    asked = cut(texts.join(asked, "node", "left_semi"))
+    asked = cut(_only(texts, "node", asked))
     side = lambda k: asked.select(F.col("node").alias(k), F.col("text").alias(f"t{k}"))
     with batches_of(texts.sparkSession, PAIRS_A_BATCH):
         found = cut(pairs.join(side("a"), "a").join(side("b"), "b").where(alike("ta", "tb")).select("a", "b"))
@@ -151,6 +162,11 @@ def _near(apart: Column, a: str, b: str, percent: int) -> Column:
     return (100 + percent) * apart <= (100 - percent) * (F.col(a) + F.col(b))
 
 
+def _alike(apart: Column, a: str, b: str) -> Column:
+    """How alike sets of a and b shingles seem whose parities differ in `apart` cells: 1000 at most."""
+    return F.lit(1000) - F.floor(1000 * apart / F.greatest(F.col(a) + F.col(b), F.lit(1)))
+
+
 def _differing(x: Column, y: Column) -> Column:
     """How many parities of two sets differ; if one has twice as many cells as the other, its halves are added first."""
     xor = lambda p, q: p.bitwiseXOR(q)
@@ -163,7 +179,16 @@ def _possible(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that can be similar, and how alike (c) their parities are: two sets differ in at least as many shingles as their parities differ, so no similar pair is lost."""
     side = lambda k: heads.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("sign").alias(f"s_{k}"))
     told = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", _differing(F.col("s_a"), F.col("s_b")).alias("apart"))
-    return told.where(_near(F.col("apart"), "n_a", "n_b", percent)).select("a", "b", (F.lit(1000) - F.floor(1000 * F.col("apart") / F.greatest(F.col("n_a") + F.col("n_b"), F.lit(1)))).alias("c"))
+    return told.where(_near(F.col("apart"), "n_a", "n_b", percent)).select("a", "b", _alike(F.col("apart"), "n_a", "n_b").alias("c"))
+
+
+def _best(pairs: DataFrame) -> DataFrame | None:
+    """For each node of pairs (a, b, c) the partner that c favours most, if nodes have many partners, else None."""
+    wide = pairs.agg(F.count("*").alias("n"), F.approx_count_distinct("a").alias("nodes")).first()
+    if wide.n <= 4 * wide.nodes:
+        return None
+    of_a, of_b = pairs.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b")), pairs.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a"))
+    return cut(of_a.union(of_b.select("a", "b")).distinct())
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -207,27 +232,36 @@ def similar_links(heads: DataFrame, texts: DataFrame, size: int = 5, percent: in
             # The first shingle that a pair shares stands early enough in both for what follows it to make them similar.
             early = (100 + percent) * F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= percent * (F.col("na") + F.col("nb"))
             first = F.coalesce(F.col("before_a") != F.col("before_b"), F.lit(True))
-            ok = first & (F.col("la") != F.col("lb")) & (F.col("main") | (F.col("a") < F.col("b"))) & fits(F.col("na"), F.col("nb")) & early & _near(sum((F.bit_count(F.col(f"sa{x}").bitwiseXOR(F.col(f"sb{x}"))) for x in range(FOLDED)), F.lit(0)), "na", "nb", percent)
-            pairs = left.join(right, "key").where(ok).select("a", "na", "b", "nb")
+            apart = sum((F.bit_count(F.col(f"sa{x}").bitwiseXOR(F.col(f"sb{x}"))) for x in range(FOLDED)), F.lit(0))
+            ok = first & (F.col("la") != F.col("lb")) & (F.col("main") | (F.col("a") < F.col("b"))) & fits(F.col("na"), F.col("nb")) & early & _near(apart, "na", "nb", percent)
+            pairs = left.join(right, "key").where(ok).select("a", "na", "b", "nb", _alike(apart, "na", "nb").alias("c"))
         # A pivot stands for a part of the shared shingles only, so in its rounds their number only chooses what to try: pairs that share enough, and those of sets
         # that are small enough for their parities to tell. The last round tries every pair that the parities allow.
         rest = F.greatest(F.ceil(F.col("na") * percent / 100), F.ceil(F.col("nb") * percent / 100)) - 1
         flip = F.col("a") > F.col("b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(flip, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(flip, F.col("na")).otherwise(F.col("nb")).alias("nb"))
-        pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+        count = F.count("*") if k < PIVOT_ROUNDS else F.first("c")
+        ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(flip, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(flip, F.col("na")).otherwise(F.col("nb")).alias("nb")]
+        pairs = pairs.select(*ends, *[c for c in pairs.columns if c == "c"]).groupBy("a", "b", "na", "nb").agg(count.alias("c"))
         likely = ((100 + percent) * (F.col("c") + rest) >= percent * (F.col("na") + F.col("nb"))) | (F.col("na") + F.col("nb") < 2 * SIGN_BITS)
-        pairs = (pairs.where(likely) if k < PIVOT_ROUNDS else pairs).select("a", "b")
-        pairs = pairs if k else pairs.union(suggested).distinct()
-        pairs = cut(_possible(pairs, heads, percent))
+        pairs = pairs.where(likely).select("a", "b").union(suggested).distinct() if k < PIVOT_ROUNDS else cut(pairs.select("a", "b", "c"))
+        # In a large group most nodes have many candidates, and one true link makes the others needless: once before the full parities are fetched, and after.
+        for _ in range(WIDE_ROUNDS if k == PIVOT_ROUNDS else 0):
+            best = _best(pairs)
+            if best is None:
+                break
+            found = found.union(_similar(cut(_possible(best, heads, percent)).select("a", "b"), texts, size, percent))
+            roots = components(found, "a", "b")
+            last, pairs = pairs, cut(_apart(pairs, roots).join(best, ["a", "b"], "left_anti"))
+            discard(last)
+        last, pairs = pairs, cut(_possible(pairs.select("a", "b"), heads, percent))
         discard(labelled)
         if k == PIVOT_ROUNDS:
+            discard(last)
             for _ in range(BEST_ROUNDS):
-                # In a large group most nodes have many candidates, and one true link makes the others needless.
-                wide = pairs.agg(F.count("*").alias("n"), F.approx_count_distinct("a").alias("nodes")).first()
-                if wide.n <= 4 * wide.nodes:
+                best = _best(pairs)
+                if best is None:
                     break
-                best = pairs.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b")).union(pairs.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")).distinct()
-                found = found.union(_similar(cut(best), texts, size, percent))
+                found = found.union(_similar(best, texts, size, percent))
                 roots = components(found, "a", "b")
                 last, pairs = pairs, cut(_apart(pairs, roots).join(best, ["a", "b"], "left_anti"))
                 discard(last)
@@ -249,9 +283,9 @@ def keep_one_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with batches_of(df.sparkSession, TEXTS_A_BATCH):
         rows = numbered(df, _begun(df, text_col, size, percent))
     nodes = cut(rows.groupBy("made.k0", "made.k1").agg(F.min(rank(id_col)).alias("first")).select("first", F.col("first.row").alias("node")))
-    heads = cut(rows.select(F.col("no").alias("node"), "made.n", "made.fp", "made.sign", "made.head").join(nodes.select("node"), "node", "left_semi"))
+    heads = cut(_only(rows.select(F.col("no").alias("node"), "made.n", "made.fp", "made.sign", "made.head"), "node", nodes.select("node")))
     roots = similar_links(heads, rows.select(F.col("no").alias("node"), F.col(f"row.`{text_col}`").alias("text")), size, percent, radius)
     rooted = nodes.join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
     kept = cut(rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("no")))
     discard(heads, nodes)
-    return rows.join(kept, "no", "left_semi").select("row.*")
+    return _only(rows, "no", kept).select("row.*")

@@ -104,3 +104,36 @@ def test_pairs_of_copies_with_shared_runs_are_met_once(spark):
     assert near
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert sorted(r.doc_id for r in pipeline.near_dedup(spark, docs, SF).collect()) == want
+
+
+def test_a_hub_asks_for_few_parities(spark, monkeypatch):
+    """Of a large group's candidates, each text's most promising one is tried before the parities of all are fetched."""
+    rng = random.Random(5)
+    hub = rng.choices([f"w{i}" for i in range(3000)], k=200)
+    texts = {i: " ".join(edited(rng, hub, rng.randrange(3, 6))) for i in range(1, 201)}
+    tried, possible = [], jaccard_dedup._possible
+    monkeypatch.setattr(jaccard_dedup, "_possible", lambda pairs, *more: tried.append(pairs.count()) or possible(pairs, *more))
+    monkeypatch.setattr(jaccard_dedup, "PIVOT_ROUNDS", 0)
+    kept = jaccard_dedup.keep_one_similar(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == kept_by_brute_force(texts)[0]
+    assert sum(tried) <= 10 * len(texts), tried
+
+
+def test_whole_rows_are_not_shuffled(spark):
+    """Rows with their texts stay where they are, however small the tables are that Spark may broadcast by itself."""
+    from tarnwick.llm.common import setting
+
+    rows = [(i, f"a text of some words that is number {i // 2} of a few") for i in range(40)]
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", -1):
+        kept = jaccard_dedup.keep_one_similar(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert "Exchange hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 40, 2))
+
+
+def test_rows_are_chosen_by_bits(spark, monkeypatch):
+    rows = spark.createDataFrame([(n, str(n)) for n in (0, 1, 62, 63, 64, 127, 128, (1 << 33) + 63, (7 << 33) + 64)], "no long, row string")
+    for most in (1 << 20, 0):
+        monkeypatch.setattr(jaccard_dedup, "MOST_WORDS", most)
+        wanted = [0, 63, 64, (1 << 33) + 63]
+        assert sorted(r.no for r in jaccard_dedup._only(rows, "no", spark.createDataFrame([(n,) for n in [*wanted, 63, 5]], "x long")).collect()) == wanted
+        assert jaccard_dedup._only(rows, "no", spark.createDataFrame([], "x long")).count() == 0
