@@ -36,12 +36,16 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage ends there, and a lost executor costs nothing. What was shuffled for it is deleted at once."""
+def cut(df: DataFrame, together: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: the lineage ends there, and a lost executor costs nothing. What was shuffled for it is deleted at once.
+
+    together: so many rows at most are held at once when the table is written and read. For rows of megabytes: otherwise Parquet holds a hundred
+    of them at least, and Spark unpacks 4,096 at a time or as many as were held.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
-        df.write.parquet(path)
+        df.write.options(**{"parquet.block.row.count.limit": together} if together else {}).parquet(path)
     read = spark.read.schema(df.schema).parquet(path)
     read.cut_path = path
     return read

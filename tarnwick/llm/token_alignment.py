@@ -19,6 +19,8 @@ from tarnwick.llm.common import batches_of, cut, discard, give_back
 #: Texts are aligned in groups of about this many bytes. A worker forgets its segments when it knows so many.
 GROUP = 2 << 20
 REMEMBERED = 400_000
+#: Rows of such groups that are written and read together, about 3 MB each.
+TOGETHER = 4
 #: So many of the most frequent id pairs are broadcast (17 bytes each); the others are joined.
 FREQUENT = 1 << 20
 
@@ -233,7 +235,7 @@ def _grouped(df: DataFrame, a_path: str, b_path: str, id_col: str, text_col: str
         give_back()
 
     with batches_of(df.sparkSession, 2_000):
-        return cut(df.select(id_col, F.col(text_col).cast("string").alias("text_")).mapInArrow(made, schema))
+        return cut(df.select(id_col, F.col(text_col).cast("string").alias("text_")).mapInArrow(made, schema), TOGETHER)
 
 
 def _b_id(pairs: Column) -> Column:
@@ -291,7 +293,7 @@ def align_documents(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_
                 numbers = pa.array(np.full(len(segment_ends), row["no"].as_py())), pa.array(np.arange(len(segment_ends), dtype=np.int32))
                 yield pa.RecordBatch.from_arrays([*numbers, row["ids"].values, *[row[c].values for c in names], row["digests"].values, *map(pa.array, sums), rares], columns)
 
-    with batches_of(spark, 4):
+    with batches_of(spark, TOGETHER):
         valued = cut(grouped.mapInArrow(worth, schema))
     discard(grouped)
     parts = valued.select("no_", "at_", F.explode("rare_").alias("x")).select("no_", "at_", "x.pair", "x.times")

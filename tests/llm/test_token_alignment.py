@@ -126,3 +126,15 @@ def test_a_worker_forgets_segments_when_it_values_pairs(monkeypatch):
     token_alignment.forget_pairs()
     assert not pair.known and not pair.texts and len(pair.counts) < 20_000
     assert before == [x.tolist() for x in token_alignment._counted(pair, *pair.numbered(texts))[:1]]
+
+
+def test_few_groups_are_held_at_once(spark):
+    """A row of the table between the two readings is some MB; what is written and read at once must not grow with the rows of a task."""
+    import pyarrow.parquet as pq
+
+    from tarnwick.llm.token_alignment import _grouped
+
+    texts = [f"one{k} two\n" * 200_000 for k in range(9)]
+    grouped = _grouped(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), A, B, "doc_id", "text", 400_000)
+    held = [meta.row_group(i).num_rows for f in grouped.inputFiles() for meta in [pq.ParquetFile(f.removeprefix("file://")).metadata] for i in range(meta.num_row_groups)]
+    assert sum(held) == len(texts) and max(held) <= 4
